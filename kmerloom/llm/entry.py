@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, token_files
+from . import exact_dedup, language_id, mixing, packing, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_shard_best_fit": sharding.op1_shard_best_fit,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": token_files.op8_token_files,
     "op9_pack_best_fit": packing.op9_pack_best_fit,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
