@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, sharding, token_counts, token_files
+from . import exact_dedup, language_id, mixing, packing, secret_scan, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_shard_best_fit": sharding.op1_shard_best_fit,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": token_files.op8_token_files,
     "op9_pack_best_fit": packing.op9_pack_best_fit,
