@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files
+from . import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_shard_best_fit": sharding.op1_shard_best_fit,
+    "op2_fingerprint_iblt": fingerprints.op2_fingerprint_iblt,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
