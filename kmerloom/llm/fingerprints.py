@@ -5,7 +5,7 @@ digest. A fingerprint is a table of 3 * SIDE cells (count, XOR of digests, XOR o
 values); a digest enters one cell of each third. Subtracting two tables cancels what both
 texts hold. Peeling then reads the difference off: a cell whose count is 1 or -1 and whose check
 value fits holds one digest, which is taken out of its other cells, and so on. If that
-does not empty the table, the difference is too large for it: it is retried with 2^r tables, over
+does not empty the table, the difference is too large for it: it is retried with more tables, over
 which the digests are dealt by hash, about EACH per table; tables that still fail are dealt over
 SPLIT more by other bits, and what fails even then (a few in a million) is compared digest by
 digest. Likeness is the Jaccard similarity of the two sets of digests, from their sizes and
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import partitions_for, text_or_empty
 
-RUN, SIDE, EACH, SPLIT, ROUNDS = 48, 10, 10, 8, 8
+RUN, SIDE, EACH, SPLIT, ROUNDS = 96, 12, 14, 4, 8
 _FIRST = -(1 << 63)
 
 
@@ -38,17 +38,17 @@ def paragraphs(text: Column) -> Column:
 
 
 def placed(digests: Column) -> Column:
-    """Each digest with its cells and its check value."""
+    """Each digest with its cells, as bits of a mask, and its check value."""
 
     def place(d):
-        third = lambda j: (F.shiftrightunsigned(d, 20 * j).bitwiseAND(F.lit(0xFFFFF)) % SIDE + SIDE * j).cast("int")
-        return F.struct(d.alias("k"), third(0).alias("h0"), third(1).alias("h1"), third(2).alias("h2"), F.xxhash64(d).bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"))
+        third = lambda j: _bit((F.shiftrightunsigned(d, 20 * j).bitwiseAND(F.lit(0xFFFFF)) % SIDE + SIDE * j).cast("int"))
+        return F.struct(d.alias("k"), third(0).bitwiseOR(third(1)).bitwiseOR(third(2)).alias("cells"), F.xxhash64(d).bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"))
 
     return F.transform(digests, place)
 
 
-def _hit(p: Column, i: Column) -> Column:
-    return (p["h0"] == i) | (p["h1"] == i) | (p["h2"] == i)
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
 def _cell(c: Column, k: Column, x: Column) -> Column:
@@ -59,7 +59,7 @@ def table(items: Column) -> Column:
     """Cells of placed digests."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
     add = lambda a, p: _cell(a["c"] + 1, a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"]))
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE - 1)), lambda i: F.aggregate(F.filter(items, lambda p: _hit(p, i)), empty, add))
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE - 1)), lambda i: F.aggregate(F.filter(items, lambda p: p["cells"].bitwiseAND(_bit(i)) != 0), empty, add))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -81,7 +81,7 @@ def peel(cells: Column) -> Column:
             items = placed(F.transform(found, lambda f: f["k"]))
             signed = F.zip_with(items, found, lambda p, f: p.withField("s", f["s"]))
             without = lambda a, p: _cell(a["c"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"]))
-            cells = F.transform(F.array(signed), lambda ps: F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(ps, lambda p: _hit(p, i)), c, without)))[0]
+            cells = F.transform(F.array(signed), lambda ps: F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(ps, lambda p: p["cells"].bitwiseAND(_bit(i)) != 0), c, without)))[0]
             return F.when(F.size(found) > 0, F.struct(cells.alias("cells"), (state["n"] + F.size(found)).alias("n"))).otherwise(state)
 
         return F.transform(F.array(pure(state)), apply)[0]
@@ -106,7 +106,7 @@ def _exact(a: Column, b: Column) -> Column:
 
 def difference(a: Column, cells_a: Column, b: Column, cells_b: Column) -> Column:
     """Number of digests in one of two placed sets only."""
-    tables = F.pow(F.lit(2.0), F.ceil(F.log2((F.size(a) + F.size(b)) / F.lit(float(EACH))))).cast("int")
+    tables = F.ceil((F.size(a) + F.size(b)) / F.lit(float(EACH))).cast("int")
     again = lambda x, y: _dealt(x, y, F.lit(SPLIT), 2, _exact)
     return F.coalesce(peel(subtract(cells_a, cells_b)), _dealt(a, b, F.greatest(tables, F.lit(2)), 1, again))
 
@@ -141,20 +141,20 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", text: st
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("digests", paragraphs(F.col("text"))).withColumn("cells", table(placed(F.col("digests"))))
-    pairs = with_next(rows, ["text", "digests", "cells"])
+    pairs = with_next(rows.withColumn("digests", paragraphs(F.col("text"))), ["text", "digests"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     pairs = pairs.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "cells", "next_cells",
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         placed(F.col("digests")).alias("own"), placed(F.col("next_digests")).alias("following"), placed(paragraphs(F.col("edited"))).alias("new"),
     )
-    pairs = pairs.withColumn("new_cells", table(F.col("new")))
-    near = lambda items, cells: likeness(F.size("own"), F.size(items), difference(F.col("own"), F.col("cells"), F.col(items), F.col(cells)))
+    pairs = pairs.withColumns({"cells": table(F.col("own")), "new_cells": table(F.col("new")), "next_cells": table(F.col("following"))})
+    differ = lambda items, cells: difference(F.col("own"), F.col("cells"), F.col(items), F.col(cells))
+    pairs = pairs.withColumns({"new_differ": differ("new", "new_cells"), "next_differ": differ("following", "next_cells")})
     return pairs.select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("cells")).alias("fingerprint"), spelled(F.col("new_cells")).alias("edited_fingerprint"),
-        near("new", "new_cells").alias("near_edited"), near("following", "next_cells").alias("near_next"),
+        likeness(F.size("own"), F.size("new"), F.col("new_differ")).alias("near_edited"), likeness(F.size("own"), F.size("following"), F.col("next_differ")).alias("near_next"),
     )
 
 
