@@ -19,8 +19,8 @@ words); two documents link when the sets' Jaccard similarity is at least 3/4.
    cannot change any component, so no link between components is lost.
 
 Verification reads both sorted sets, tries the suffix filter (overlap bounds from halving one
-set around the other's median) and then counts the overlap. Sets are 56-bit hashes: two
-different shingles of one pair count as equal with probability 2^-56 each.
+set around the other's median) and then counts the overlap. Sets are read as 44-bit hashes:
+two sets of a thousand shingles count one too many in common with probability 10^-7.
 
 Defined results: an empty table gives no rows; a null or wordless text has no shingles and is
 its own component; repeated rows link with each other; the component's id is its smallest
@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import written
+from ._common import partitions_for, written
 
 WORDS = 5
-#: Cells of the count-min row: the driver and every worker hold so many 32-bit counts, whatever the input.
-CELLS = 1 << 20
+#: Cells of the count-min row: the driver and every worker hold a byte for each, whatever the input.
+CELLS = 1 << 25
 _BITS, _MASK = 56, (1 << 56) - 1
 _SLICES = 16
 _SPACE = np.zeros(256, bool)
@@ -124,50 +124,82 @@ def _texts(batch):
         yield lowered(text.as_py())
 
 
-def sketch(docs: DataFrame, text: str = "text", cells: int = CELLS) -> np.ndarray:
-    """Counts of all documents' shingles by cell; copies within a task count once."""
+FIRST = T.StructType().add("row", "long").add("doc_id", "long").add("cls", "binary").add("n", "integer").add("part", "integer").add("counts", "binary")
 
-    def count(batches):
+
+def _batch(schema: T.StructType, *columns) -> pa.RecordBatch:
+    """Columns of one length; those left out are null."""
+    kinds = {"long": pa.int64(), "integer": pa.int32(), "binary": pa.binary()}
+    n = len(columns[0]) if columns[0] is not None else len(columns[-1])
+    arrays = [c if isinstance(c, pa.Array) else pa.array([None] * n if c is None else c, kinds[f.dataType.typeName()]) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+
+def survey(docs: DataFrame, text: str = "text", cells: int = CELLS) -> DataFrame:
+    """A row per document (row, doc_id, cls, n), and a task's counts of shingles by cell in _SLICES parts.
+
+    Copies within a task count once. ``row`` is the task's number and the row's place in it.
+    """
+
+    def run(batches):
         import zstandard
 
-        total, seen, held = np.zeros(cells, np.uint32), set(), []
-        for batch in batches:
-            for raw in _texts(batch):
-                if (c := _class(raw)) not in seen:
-                    seen.add(c)
-                    held.append((shingles(raw) % np.uint64(cells)).astype(np.uint32))
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+        task, row = TaskContext.get().partitionId() << 32, 0
+        total, seen, held = np.zeros(cells, np.uint16), set(), []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                classes, sizes = [], []
+                for raw in _texts(batch):
+                    own = shingles(raw)
+                    classes.append(_class(raw))
+                    sizes.append(len(own))
+                    if classes[-1] not in seen:
+                        seen.add(classes[-1])
+                        held.append((own % np.uint64(cells)).astype(np.uint32))
+                cell, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]), return_counts=True)
+                total[cell] = np.minimum(total[cell] + n, 65535)
                 held = []
-        parts = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in np.split(total, _SLICES)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(_SLICES), pa.int32()), "counts": pa.array(parts, pa.binary())})
+                yield _batch(FIRST, task + np.arange(row, row + len(sizes)), batch.column(0), classes, sizes, None, None)
+                row += len(sizes)
+        if row:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield _batch(FIRST, None, None, None, None, list(range(_SLICES)), [pack(p.tobytes()) for p in np.split(total, _SLICES)])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FIRST)
+
+
+def ranks(surveyed: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """Logarithm of every cell's count over all documents, a byte each: fixed size, whatever the input."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        total = np.zeros(cells // _SLICES, np.uint64)
+        total = np.zeros(cells // _SLICES, np.float32)
         for raw in frame["counts"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint16)
+        out = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zstandard.ZstdCompressor(level=1).compress(out.tobytes())]})
+
+    import zstandard
 
-    schema = "part int, counts binary"
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()
-    found = {r.part: np.frombuffer(r.counts, np.uint32) for r in rows}
-    return np.concatenate([found.get(i, np.zeros(cells // _SLICES, np.uint32)) for i in range(_SLICES)])
+    rows = surveyed.where("counts is not null").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    out = np.zeros((_SLICES, cells // _SLICES), np.uint8)
+    for r in rows:
+        out[r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.uint8)
+    return out.ravel()
 
 
-def ordered(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set in the global order: each shingle with the logarithm of its count above its hash."""
-    seen = counts[(keys % np.uint64(len(counts))).astype(np.int64)]
-    rank = np.minimum(8 * np.log2(1.0 + seen), 255).astype(np.uint64)
-    return np.sort(rank << np.uint64(_BITS) | keys)
+def ordered(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The set in the global order: each shingle's rank above its hash."""
+    return np.sort(table[keys % np.uint64(len(table))].astype(np.uint64) << np.uint64(_BITS) | keys)
 
 
 def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-ENTRY = T.StructType().add("row", "long").add("doc_id", "long").add("cls", "binary").add("n", "integer").add("bucket", "integer").add("entries", "binary")
+ENTRY = T.StructType().add("task", "long").add("bucket", "long").add("entries", "binary")
 
 
 def _pack(key: np.ndarray, row: np.ndarray, pos: np.ndarray) -> bytes:
@@ -186,48 +218,40 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low.astype(np.int64) | high.astype(np.int64) << 32, np.frombuffer(raw, "<u4", n, 6 * n).astype(np.int64), np.frombuffer(raw, "<u4", n, 10 * n).astype(np.int32)
 
 
-def entries(docs: DataFrame, counts: np.ndarray, buckets: int, hot: int, text: str = "text") -> DataFrame:
-    """A row per document (row, doc_id, cls, n) and, with a bucket (-1: hot), packed prefix entries of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def entries(docs: DataFrame, table, buckets: int, hot: int, text: str = "text") -> DataFrame:
+    """Prefix entries of a task's distinct texts, packed by bucket. Those of shingles that may be hot
+    are in buckets of their own, below 0, one for each part of a task."""
+    limit = int(min(8 * np.log2(1 + hot), 255))
 
     def run(batches):
-        table, task = shared.value, TaskContext.get().partitionId() << 32
-        seen, row = set(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                first, classes, sizes, keys, rows, places = row, [], [], [], [], []
-                for raw in _texts(batch):
-                    cls = _class(raw)
-                    own = ordered(shingles(raw), table)
-                    classes.append(cls)
-                    sizes.append(len(own))
-                    if len(own) and cls not in seen:
-                        seen.add(cls)
-                        p = prefix_length(len(own))
-                        keys.append(own[:p])
-                        rows.append(np.full(p, row))
-                        places.append(np.arange(p))
-                    row += 1
-                n = batch.num_rows
-                yield _entry_batch(task + np.arange(first, row), batch.column(0), classes, sizes, [None] * n, [None] * n)
-                if not keys:
-                    continue
-                key, owner, pos = (np.concatenate(x) for x in (keys, rows, places))
-                often = table[((key & np.uint64(_MASK)) % np.uint64(len(table))).astype(np.int64)] >= hot
-                key &= np.uint64((1 << 48) - 1)
-                bucket = np.where(often, -1, (_mix(key) % np.uint64(buckets)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                found, edges = np.unique(bucket[order], return_index=True)
-                parts = [_pack(key[o], owner[o], pos[o]) for o in np.split(order, edges[1:])]
-                yield _entry_batch([task] * len(found), [None] * len(found), [None] * len(found), [None] * len(found), found, parts)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENTRY)
-
-
-def _entry_batch(*columns) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=ENTRY.names)
+        ranked, task = table.value, TaskContext.get().partitionId() << 32
+        seen, row, size, held, flushes = set(), 0, 0, [], 0
+
+        def flush(hot_bucket):
+            key, owner, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            often = (key >> np.uint64(_BITS)) >= limit
+            key &= np.uint64((1 << 48) - 1)
+            bucket = np.where(often, hot_bucket, (_mix(key) % np.uint64(buckets)).astype(np.int64))
+            order = np.argsort(bucket, kind="stable")
+            found, edges = np.unique(bucket[order], return_index=True)
+            return _batch(ENTRY, [task] * len(found), found, [_pack(key[o], owner[o], pos[o]) for o in np.split(order, edges[1:])])
+
+        for batch in batches:
+            for raw in _texts(batch):
+                if (cls := _class(raw)) not in seen:
+                    seen.add(cls)
+                    if n := len(own := ordered(shingles(raw), ranked)):
+                        p = prefix_length(n)
+                        held.append((own[:p], np.full(p, row), np.arange(p)))
+                        size += p
+                row += 1
+                if size > 2_000_000:
+                    yield flush(-1 - flushes - task)
+                    held, size, flushes = [], 0, flushes + 1
+        if held:
+            yield flush(-1 - flushes - task)
+
+    return docs.select(F.col("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENTRY)
 
 
 SHARED = "key long, row long, pos int"
@@ -238,13 +262,15 @@ def _frame(key, row, pos) -> pd.DataFrame:
 
 
 def _entries_of(frame: pd.DataFrame):
-    parts = [(*_unpack(raw), task) for raw, task in zip(frame["entries"], frame["row"], strict=True)]
+    parts = [(*_unpack(raw), task) for raw, task in zip(frame["entries"], frame["task"], strict=True)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[3] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
 def _of_two(frame: pd.DataFrame) -> pd.DataFrame:
-    """The entries whose key another row has too."""
+    """The entries whose key another row has too; of a hot bucket, all."""
     key, row, pos = _entries_of(frame)
+    if frame["bucket"].iloc[0] < 0:
+        return _frame(key, row, pos)
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.concatenate(([False], key[1:] == key[:-1], [False]))
@@ -252,10 +278,20 @@ def _of_two(frame: pd.DataFrame) -> pd.DataFrame:
     return _frame(key, row[order], pos[order])
 
 
-def _all(frames):
-    for frame in frames:
-        for i in range(len(frame)):
-            yield _frame(*_entries_of(frame.iloc[i : i + 1]))
+def _packed_set(keys: np.ndarray) -> bytes:
+    """A set as sorted 44-bit hashes: the low halves, and the high ones, which ascend."""
+    import zstandard
+
+    keys = np.unique(keys & np.uint64((1 << 44) - 1))
+    return zstandard.ZstdCompressor(level=1).compress((keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes())
+
+
+def _unpacked_set(raw) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.int64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.int64) << 32
 
 
 def _overlap_at_most(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -283,7 +319,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)]
+            keep = [similar(_unpacked_set(p.as_buffer()), _unpacked_set(q.as_buffer())) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -319,15 +355,14 @@ _LENGTH = "n_a * 4 >= n_b * 3 AND n_b * 4 >= n_a * 3"
 def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_000_000, cells: int = CELLS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, component (a label without nulls)."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    counts = sketch(docs, text, cells)
-    found = written(entries(docs, counts, buckets, hot, text), "entries")
-    per_doc = found.where("entries is null").select("row", "doc_id", "cls", "n")
-    packed = found.where("entries is not null").select("row", "bucket", "entries")
+    buckets = max(partitions_for(docs), docs.rdd.getNumPartitions())
+    surveyed = written(survey(docs, text, cells), "survey")
+    table = spark.sparkContext.broadcast(ranks(surveyed, cells))
+    per_doc = surveyed.where("counts is null").select("row", "doc_id", "cls", "n")
     of_class = per_doc.groupBy("cls").agg(F.min("row").alias("node"), F.first("n").alias("n"))
 
     # Prefix entries of classes that share one with another class.
-    rows = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(_of_two, SHARED).union(packed.where("bucket < 0").mapInPandas(_all, SHARED))
+    rows = entries(docs, table, buckets, hot, text).groupBy("bucket").applyInPandas(_of_two, SHARED)
     node_of_row = per_doc.where("n > 0").select("row", "cls").join(of_class, "cls").select("row", "node", "n")
     of_nodes = written(rows.join(node_of_row, "row").groupBy("key", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "shared")
     several = of_nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
@@ -335,8 +370,8 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_0
     active = written(shared.select("node", "n").distinct(), "active")
 
     # Their sets, from one text of each class.
-    doc_of_node = per_doc.join(active.select(F.col("node").alias("row")), "row", "left_semi").select("doc_id", "cls")
-    sets = written(_sets(docs, doc_of_node, of_class, counts, text), "sets")
+    wanted = per_doc.join(active.select(F.col("node").alias("row")), "row", "left_semi").select("doc_id", "cls")
+    sets = written(_sets(docs, wanted, text).join(of_class, "cls").select("node", "items"), "sets")
 
     labels = active.select("node", F.col("node").alias("comp"))
     for salt in range(rounds):
@@ -366,23 +401,24 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_0
     return whole.join(least, "component").select("doc_id", "n_shingles", "component_id", "component")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, of_class: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
-    """node, items (the ordered set as bytes) of the wanted classes; wanted: doc_id, cls."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+#: Rows of (doc_id, class) that a worker may be sent whole: 24 bytes each.
+SENT_ROWS = 1_000_000
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """cls, items (the packed set) of the wanted classes; wanted: doc_id, cls. A repeated document's class may come twice."""
 
     def run(batches):
         for batch in batches:
-            keep, items = [], []
-            for raw, cls in zip(_texts(batch), batch.column(0), strict=True):
-                same = _class(raw) == cls.as_py()  # a repeated doc_id may have other texts
-                keep.append(same)
-                items.append(ordered(shingles(raw), shared.value).tobytes() if same else None)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), pa.array(items, pa.binary()).filter(mask)], names=["cls", "items"])
+            # A repeated doc_id may have other texts.
+            own = [(cls.as_py(), shingles(raw)) for raw, cls in zip(_texts(batch), batch.column(0), strict=True) if _class(raw) == cls.as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), pa.array([_packed_set(k) for _, k in own], pa.binary())], names=["cls", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(text).alias("text"))
-    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(run, "cls binary, items binary")
-    return found.dropDuplicates(["cls"]).join(of_class, "cls").select("node", "items")
+    wanted = written(wanted, "wanted")
+    if wanted.count() <= SENT_ROWS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(run, "cls binary, items binary")
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
