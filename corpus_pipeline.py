@@ -1,6 +1,65 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each of one operator.
+
+Each stage takes what the one before it kept, as a Parquet table. All but the last return the
+columns of ``documents``; the last returns packed pieces (doc_id, piece, start, length,
+ids_crc32, sequence_id, offset). A document that the mix repeats is packed once for each use.
+The rows cannot be expressed in SQL (a trained network, tokenizers), so ORACLE_SQL is None; the
+tests hold every stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kmerloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
+from kmerloom.llm._common import documents, written
+
+#: Below this probability of its best language a document counts as written in none of them.
+LEAST_SCORE = 0.3
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters or with no likely language go."""
+    columns = docs.columns
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+
+
+def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the longest as written, then the smallest doc_id."""
+    return exact_dedup.keep_one(docs)
+
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in order of training positions: a row for each use of a document."""
+    return mixing.stream(docs)
+
+
+def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences of 4096 tokens."""
+    return packing.packed_digests(docs)
+
+
+STAGES = [
+    ("language_id", stage_language),
+    ("exact_dedup", stage_exact),
+    ("near_dedup", stage_near),
+    ("mix_sources", stage_mix),
+    ("pack", stage_pack),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
