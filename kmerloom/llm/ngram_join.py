@@ -11,12 +11,13 @@ words); two documents link when the sets' Jaccard similarity is at least 3/4.
    no second text shares are dropped. The sketch bounds every other shingle's entries; a
    shingle that may have ``hot`` or more skips the bucket and stays as rows.
 3. Links are found without pairing a group's members all with all: in each of ``rounds``
-   rounds, every class is compared with one leader it shares prefix shingles with, outside
+   rounds, every class is compared with up to ``tries`` leaders of its prefix shingles outside
    its own component, and links merge components. Large groups of near copies end up as one
    component after a number of comparisons in proportion to their size.
 4. Exactness: then every pair of classes that shares a prefix shingle *across components*
-   and passes the length and positional filters is verified, once. Pairs inside a component
-   cannot change any component, so no link between components is lost.
+   and passes the length and positional filters is verified, once. Of a pair, the smaller set's
+   first common shingle lies in its first seventh, so only such entries meet others. Pairs
+   inside a component cannot change any component, so no link between components is lost.
 
 Verification reads both sorted sets, tries the suffix filter (overlap bounds from halving one
 set around the other's median) and then counts the overlap. Sets are read as 44-bit hashes:
@@ -37,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -313,18 +314,25 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return enough(int((merged[1:] == merged[:-1]).sum()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+#: Packed bytes of sets that one side of a block of comparisons holds, on average.
+_BLOCK_BYTES = 8_000_000
 
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [similar(_unpacked_set(p.as_buffer()), _unpacked_set(q.as_buffer())) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _verified(pairs: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    Pairs are cut into blocks * blocks parts by their ends, and a set goes once to each part it has a
+    pair in, so that what moves is bounded by the sets and not by the pairs.
+    """
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    cut = written(pairs.withColumn("part", part("a") * blocks + part("b")), "pairs")
+    ends = cut.select(F.col("part").alias("block"), F.col("a").alias("node")).union(cut.select("part", "b")).distinct()
+
+    def run(some: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        own = {n: _unpacked_set(raw) for n, raw in zip(items["node"], items["items"], strict=True)}
+        return some.loc[[similar(own[a], own[b]) for a, b in zip(some["a"], some["b"], strict=True)], ["a", "b"]]
+
+    return cut.groupBy("part").cogroup(ends.join(sets, "node").groupBy("block")).applyInPandas(run, "a long, b long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,11 +356,21 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-#: Sizes n and m can reach 3/4 only within 3/4 of each other.
-_LENGTH = "n_a * 4 >= n_b * 3 AND n_b * 4 >= n_a * 3"
+#: Two sets of 3/4 similarity, met at their first common shingle, the one at pos_a and pos_b: sizes within 3/4 of each
+#: other, and enough left from there on. A pair that fails at this shingle may pass at its first one.
+_FIRST = "n_a * 4 >= n_b * 3 AND n_b * 4 >= n_a * 3 AND 7 * least(n_a - pos_a, n_b - pos_b) >= 3 * (n_a + n_b)"
 
 
-def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_000_000, cells: int = CELLS) -> DataFrame:
+#: Earlier shingles that an entry carries; a pair whose first common one lies beyond them is only met more than once.
+EARLY = 32
+
+
+def _smaller():
+    """Whether an entry can be the first common shingle with a set that is not smaller."""
+    return F.col("pos") * 7 <= F.col("n")
+
+
+def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3, hot: int = 1_000_000, cells: int = CELLS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, component (a label without nulls)."""
     spark = docs.sparkSession
     buckets = max(partitions_for(docs), docs.rdd.getNumPartitions())
@@ -365,7 +383,7 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_0
     rows = entries(docs, table, buckets, hot, text).groupBy("bucket").applyInPandas(_of_two, SHARED)
     node_of_row = per_doc.where("n > 0").select("row", "cls").join(of_class, "cls").select("row", "node", "n")
     of_nodes = written(rows.join(node_of_row, "row").groupBy("key", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "shared")
-    several = of_nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    several = of_nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
     shared = written(of_nodes.join(several, "key", "left_semi"), "shared")
     active = written(shared.select("node", "n").distinct(), "active")
 
@@ -373,27 +391,33 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 2, hot: int = 1_0
     wanted = per_doc.join(active.select(F.col("node").alias("row")), "row", "left_semi").select("doc_id", "cls")
     sets = written(_sets(docs, wanted, text).join(of_class, "cls").select("node", "items"), "sets")
 
+    blocks = max(8, -(-(sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // _BLOCK_BYTES))
     labels = active.select("node", F.col("node").alias("comp"))
     for salt in range(rounds):
         mine = shared.join(labels, "node")
-        lead = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node"), "node", "comp", "n")).alias("lead"))
-        lead = lead.select("key", F.col("lead.node").alias("b"), F.col("lead.comp").alias("comp_b"), F.col("lead.n").alias("n_b"))
-        met = mine.withColumnsRenamed({"node": "a", "n": "n_a"}).join(lead, "key").where("comp <> comp_b").where(_LENGTH)
-        pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).groupBy("a").agg(F.max(F.struct("keys", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        labels = merged(labels, written(_verified(pairs, sets), "found"))
-
-    # Whatever is left between components.
+        lead = mine.groupBy("key").agg(F.min(F.struct((~_smaller()).alias("last"), F.xxhash64(F.lit(salt), "node"), "node", "comp", "n", "pos")).alias("lead"))
+        lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "comp", "n", "pos")]).withColumnRenamed("node_b", "b")
+        met = mine.withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(lead, "key").where("comp <> comp_b").where(_FIRST)
+        most = Window.partitionBy("a").orderBy(F.col("keys").desc(), "b")
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= tries).select("a", "b")
+        labels = merged(labels, written(_verified(pairs, sets, blocks), "found"))
+
+    # Whatever is left between components: a smaller set's entry meets entries of other components.
     mine = shared.join(labels, "node")
-    mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    mine = written(mine.join(mixed, "key", "left_semi"), "mixed")
-    sides = mine.select("key", "comp").distinct()
-    meet = sides.toDF("key", "comp_a").join(sides.toDF("key", "comp_b"), "key").where("comp_a < comp_b")
-    side = lambda x: mine.select("key", F.col("comp").alias(f"comp_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"))
-    met = meet.join(side("a"), ["key", "comp_a"]).join(side("b"), ["key", "comp_b"]).where(_LENGTH)
-    once = met.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("n_a", "n_b", "pos_a", "pos_b")])
-    # The first shared shingle is at both least positions: what follows it bounds the overlap.
-    once = once.where(7 * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= 3 * (F.col("n_a") + F.col("n_b")))
-    labels = merged(labels, written(_verified(once.select("a", "b"), sets), "found"))
+    mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
+    # Each entry with the first of its set's earlier mixed shingles, to meet a partner at the first common one only.
+    numbered = mine.join(mixed, "key", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")))
+    early = numbered.where(F.col("i") <= EARLY).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("early"))
+    mine = numbered.join(early, "node").withColumn("early", F.slice("early", F.lit(1), F.least(F.col("i") - 1, F.lit(EARLY)))).drop("i")
+    mine = written(mine, "mixed")
+    side = lambda rows: rows.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    small, large = side(mine.where(_smaller())), side(mine)
+    meet = small.toDF("key", "comp_b", "least_b", "most_b").join(large.toDF("key", "comp_a", "least_a", "most_a"), "key")
+    meet = meet.where("comp_a <> comp_b AND least_b <= most_a AND 4 * most_b >= 3 * least_a").select("key", "comp_a", "comp_b")
+    nodes = lambda rows, x: rows.select("key", F.col("comp").alias(f"comp_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("early").alias(f"early_{x}"))
+    met = meet.join(nodes(mine.where(_smaller()), "b"), ["key", "comp_b"]).join(nodes(mine, "a"), ["key", "comp_a"]).where("n_b <= n_a").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
+    once = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = merged(labels, written(_verified(once, sets, blocks), "found"))
 
     component = of_class.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
     whole = per_doc.join(component, "cls").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
