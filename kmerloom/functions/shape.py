@@ -57,7 +57,7 @@ def name_of(shape: Shape, values: list[Column]) -> Column:
     """Name of the base values at the positions read."""
     out = F.lit(0).cast("long")
     for value, block in zip(reversed(values), reversed(shape.g[1:]), strict=True):
-        out = F.when(value < 0, F.lit(0).cast("long")).otherwise(1 + value * F.lit(block) + out)
+        out = F.when(value < 0, F.lit(0).cast("long")).otherwise(1 + value.cast("long") * F.lit(block) + out)
     return out
 
 

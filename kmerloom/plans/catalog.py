@@ -1,4 +1,457 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each over its whole table, and their SQL where SQL expresses them."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna, packed
+from ..functions.shape import Shape, catalogue, kmers, spelling
+from ..operators import index, kernels, links, selection, suffixes
+from ..operators.tables import kept
+from ..sources import fasta, generated, models, suites
+from . import sql
+from .index import GappedIndex
+
+QUERIES, ORACLES = {}, {}
+
+#: Shapes of the queries: a short one for tables of names, a short one for whole indexes, one of weight 21 for lookups.
+SHORT, SMALL, LONG = Shape("##.##"), Shape("##.#"), Shape("##########.###########")
+MAX_ADD, LEAST = 8, 3
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return dna.texts(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _benchmark(spark, sf_dir) -> DataFrame:
+    return dna.texts(_table(spark, sf_dir, "benchmark"), "item_id")
+
+
+DOCS, ITEMS = ("documents", "doc_id"), ("benchmark", "item_id")
+
+
+# Lookups
+
+
+@query(f"""
+WITH d AS (SELECT text_id, name, count(*) AS n FROM ({sql.kmers(*DOCS, LONG)}) GROUP BY ALL), i AS (SELECT text_id, name, count(*) AS n FROM ({sql.kmers(*ITEMS, LONG)}) GROUP BY ALL)
+SELECT i.text_id AS item_id, d.text_id AS doc_id, count(*) AS shared_names, CAST(sum(d.n * i.n) AS BIGINT) AS hits FROM d JOIN i USING (name) WHERE name > 0 GROUP BY ALL""")
+def benchmark_hits(spark, sf_dir):
+    """Which documents share gapped k-mers with each benchmark item, and how many."""
+    counts = lambda texts, n: kmers(texts, LONG).where("name > 0").groupBy("text_id", "name").agg(F.count("*").alias(n))
+    items = counts(_benchmark(spark, sf_dir), "ni").withColumnRenamed("text_id", "item_id")
+    docs = kmers(_documents(spark, sf_dir), LONG).join(items.select("name").distinct(), "name", "left_semi").groupBy("text_id", "name").agg(F.count("*").alias("nd"))
+    return docs.join(items, "name").groupBy("item_id", F.col("text_id").alias("doc_id")).agg(F.count("*").alias("shared_names"), F.sum(F.col("nd") * F.col("ni")).alias("hits"))
+
+
+_WINDOWS = f"""SELECT query_id, p AS "window", {sql.name(LONG, "p", "query")} AS name FROM (SELECT query_id, query, unnest(range(0, length(query) - {LONG.span - 1})) AS p FROM q)"""
+
+
+@query(f"""
+WITH q AS (SELECT conv_id * 10000 + turn AS query_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', repeat('A', 22)) AS query FROM conversations)
+SELECT DISTINCT query_id, text_id, pos FROM ({_WINDOWS}) JOIN ({sql.kmers(*ITEMS, LONG)}) USING (name)""")
+def locate(spark, sf_dir):
+    """Positions of the benchmark's compressed index that share a whole window with each conversation turn."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("query_id"), dna.clean(F.col("text")).alias("query"))
+    return GappedIndex.build(_benchmark(spark, sf_dir), LONG.pattern).locate(turns)
+
+
+@query(f"""
+WITH q AS (SELECT text_id AS query_id, dna AS query FROM ({sql.clean(*ITEMS)}))
+SELECT query_id, count(*) AS hits FROM (SELECT DISTINCT query_id, text_id, pos FROM ({_WINDOWS}) JOIN ({sql.kmers(*DOCS, LONG)}) USING (name)) GROUP BY query_id""")
+def locate_reads(spark, sf_dir):
+    """Number of document positions that each benchmark item, as a read, locates."""
+    reads = _benchmark(spark, sf_dir).toDF("query_id", "query")
+    probes = index.windows(reads, LONG).select("query_id", "name").distinct()
+    hits = kmers(_documents(spark, sf_dir), LONG).join(probes, "name").select("query_id", "text_id", "pos").distinct()
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+# Cleaning, naming, postings
+
+
+@query(f"SELECT text_id, length(dna) AS n, md5(dna) AS dna_md5 FROM ({sql.clean(*DOCS)})")
+def clean_dna(spark, sf_dir):
+    return _documents(spark, sf_dir).select("text_id", F.length("dna").cast("long").alias("n"), F.md5("dna").alias("dna_md5"))
+
+
+@query(f"""
+SELECT text_id, instr('ACGT', c) - 1 AS base_value, c AS base_char, count(*) AS n
+FROM (SELECT text_id, unnest(string_split(dna, '')) AS c FROM ({sql.clean(*DOCS)})) WHERE c <> '' GROUP BY ALL""")
+def base_values(spark, sf_dir):
+    values = _documents(spark, sf_dir).select("text_id", F.explode(dna.base_values(F.col("dna"))).alias("base_value"))
+    counted = values.groupBy("text_id", "base_value").agg(F.count("*").alias("n"))
+    return counted.select("text_id", F.col("base_value").cast("long"), dna.base_char(F.col("base_value")).alias("base_char"), "n")
+
+
+@query(f"SELECT name, count(*) AS n, count(DISTINCT text_id) AS texts, CAST(sum(pos) AS BIGINT) AS pos_sum FROM ({sql.kmers(*DOCS, SHORT)}) GROUP BY name")
+def kmer_names(spark, sf_dir):
+    per_text = kmers(_documents(spark, sf_dir), SHORT).groupBy("name", "text_id").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+    return per_text.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("pos_sum").alias("pos_sum"))
+
+
+@query(f"""
+WITH named AS (SELECT name, min(text_id) AS text_id, arg_min(dna_at, text_id) AS w FROM (
+  SELECT text_id, {sql.name(SHORT, "pos")} AS name, substr(dna, CAST(pos + 1 AS BIGINT), {SHORT.span}) AS dna_at FROM (SELECT text_id, dna, unnest(range(0, length(dna) + 1)) AS pos FROM ({sql.clean(*DOCS)}))) GROUP BY name)
+SELECT name, {" || ".join(f"CASE WHEN length(w) > {o} THEN substr(w, {o + 1}, 1) ELSE '$' END" for o in SHORT.care)} AS spelling FROM named""")
+def name_spelling(spark, sf_dir):
+    """Spelling of every name that occurs, from the name alone."""
+    return kmers(_documents(spark, sf_dir), SHORT).select("name").distinct().withColumn("spelling", spelling(F.col("name"), SHORT))
+
+
+@query(sql.kmers(*ITEMS, SMALL))
+def kmer_postings(spark, sf_dir):
+    return suffixes.postings(_benchmark(spark, sf_dir), SMALL)
+
+
+@query(f"SELECT text_id, name, count(*) AS size FROM ({sql.kmers(*DOCS, SHORT)}) GROUP BY ALL")
+def interval_sizes(spark, sf_dir):
+    return kmers(_documents(spark, sf_dir), SHORT).groupBy("text_id", "name").agg(F.count("*").alias("size"))
+
+
+@query(f"SELECT text_id, name, CAST(dense_rank() OVER (PARTITION BY text_id ORDER BY name) - 1 AS BIGINT) AS symbol FROM (SELECT DISTINCT text_id, name FROM ({sql.kmers(*DOCS, SHORT)}))")
+def name_ranks(spark, sf_dir):
+    return suffixes.name_ranks(_documents(spark, sf_dir), SHORT).withColumn("symbol", F.col("symbol").cast("long"))
+
+
+@query(f"""
+WITH shapes(label, pattern) AS (VALUES {", ".join(f"('{n}', '{s.pattern}')" for n, s in catalogue())})
+SELECT label, pattern, length(pattern) AS span, length(replace(pattern, '.', '')) AS weight, sum(length(dna) + 1)::BIGINT AS windows, sum(greatest(0, length(dna) - length(pattern) + 1))::BIGINT AS whole_windows
+FROM shapes CROSS JOIN ({sql.clean(*DOCS)}) GROUP BY label, pattern""")
+def shape_catalog(spark, sf_dir):
+    """The benchmark's shapes and the windows that the documents have for each."""
+    n = F.length("dna").cast("long")
+    shapes = catalogue()
+    sums = _documents(spark, sf_dir).agg(F.sum(n + 1).alias("all"), *[F.sum(F.greatest(F.lit(0), n - s.span + 1)).alias(f"w{i}") for i, (_, s) in enumerate(shapes)])
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(s.pattern).alias("pattern"), F.lit(s.span).cast("long").alias("span"), F.lit(s.weight).cast("long").alias("weight"), F.col("all").alias("windows"), F.col(f"w{i}").alias("whole_windows")) for i, (label, s) in enumerate(shapes)])
+    return sums.select(F.inline(rows))
+
+
+# Widths and bytes
+
+
+@query(f"""SELECT text_id, length(dna) AS n, {sql.bytes_needed("length(dna)")}::BIGINT AS bytes_n, {sql.bytes_needed("greatest(length(dna) - 1, 0)")}::BIGINT AS width FROM ({sql.clean(*DOCS)})""")
+def byte_widths(spark, sf_dir):
+    n = F.length("dna").cast("long")
+    return _documents(spark, sf_dir).select("text_id", n.alias("n"), packed.bytes_needed(n).cast("long").alias("bytes_n"), packed.estimated_width(n).cast("long").alias("width"))
+
+
+@query(f"""SELECT text_id, lower(lpad(to_hex(length(dna)), 8, '0')) AS be_hex, length(dna) AS decoded FROM ({sql.clean(*DOCS)})""")
+def be_roundtrip(spark, sf_dir):
+    raw = packed.put_be(F.length("dna"), F.lit(4))
+    return _documents(spark, sf_dir).select("text_id", F.lower(F.hex(raw)).alias("be_hex"), packed.get_be(raw).alias("decoded"))
+
+
+@query(f"""SELECT text_id, name, 4 + {sql.bytes_needed("count(*)")} - 1 AS marker FROM ({sql.kmers(*DOCS, SHORT)}) GROUP BY text_id, name""")
+def marker_byte(spark, sf_dir):
+    """Marker bytes of entries that store all positions of a name."""
+    none, n = F.lit(None).cast("int"), F.col("n")
+    sizes = kmers(_documents(spark, sf_dir), SHORT).groupBy("text_id", "name").agg(F.count("*").alias("n"))
+    return sizes.select("text_id", "name", packed.marker(F.lit(False), none, none, F.lit(True), n).alias("marker"))
+
+
+@query(f"""
+WITH w AS (SELECT text_id, {sql.bytes_needed("greatest(length(dna) - 1, 0)")} AS pb FROM ({sql.clean(*DOCS)}))
+SELECT text_id, pb::BIGINT AS pb, coalesce(min(num) FILTER (pb * (num - 1) - 1 - 1 > 0), 64)::BIGINT AS least FROM w CROSS JOIN (SELECT unnest(range(1, 65)) AS num) GROUP BY text_id, pb""")
+def coverage_breakeven(spark, sf_dir):
+    pb = packed.estimated_width(F.length("dna"))
+    return _documents(spark, sf_dir).select("text_id", pb.cast("long").alias("pb"), packed.breakeven_coverage(pb, MAX_ADD).cast("long").alias("least"))
+
+
+# Suffix arrays and links
+
+
+@query(sql.lextext(*DOCS, SHORT))
+def lextext(spark, sf_dir):
+    return suffixes.lextext(_documents(spark, sf_dir), SHORT)
+
+
+@query(f"WITH {sql.gsa(*ITEMS, SMALL)} SELECT * FROM gsa")
+def gsa(spark, sf_dir):
+    return suffixes.gsa(_benchmark(spark, sf_dir), SMALL)
+
+
+@query(f"WITH {sql.gsa(*ITEMS, SMALL)} SELECT * FROM gsa")
+def gsa_by_doubling(spark, sf_dir):
+    return suffixes.gsa_by_doubling(_benchmark(spark, sf_dir), SMALL)
+
+
+@query()
+def gsa_documents(spark, sf_dir):
+    """Per document: ranks, sum of rank * position modulo 2^31 - 1 and of common prefixes."""
+    ranked = suffixes.gsa(_documents(spark, sf_dir), SHORT)
+    return ranked.groupBy("text_id").agg(F.count("*").alias("m"), F.sum((F.col("rank") * F.col("orig")) % 2147483647).alias("order_sum"), F.sum("lcp").alias("lcp_sum"))
+
+
+@query(f"WITH {sql.gsa(*ITEMS, SMALL)} SELECT * FROM intervals")
+def intervals(spark, sf_dir):
+    return suffixes.intervals(suffixes.gsa(_benchmark(spark, sf_dir), SMALL))
+
+
+def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    ranked = kept(suffixes.gsa(_benchmark(spark, sf_dir), SMALL), "gsa")
+    return ranked, suffixes.intervals(ranked)
+
+
+def _found(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ranked, own = _ranked(spark, sf_dir)
+    return links.candidates(ranked, own, SMALL.span, MAX_ADD, LEAST), ranked, own
+
+
+_CANDIDATES = sql.candidates(*ITEMS, SMALL, MAX_ADD, LEAST)
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumn("covered", F.array_join(F.transform("covered", lambda r: r.cast("string")), ","))
+
+
+@query(f"WITH {_CANDIDATES} SELECT * FROM candidates")
+def candidates(spark, sf_dir):
+    return _flat(_found(spark, sf_dir)[0])
+
+
+@query(f"WITH {_CANDIDATES} SELECT * FROM preferred")
+def preferred_links(spark, sf_dir):
+    return _flat(links.preferred(_found(spark, sf_dir)[0]))
+
+
+_EDGES = f"WITH {_CANDIDATES}, edges AS (SELECT p.text_id, g.name AS src_name, p.name, p.add, p.cov FROM preferred p JOIN gsa g ON g.text_id = p.text_id AND g.rank = p.src_lo)"
+
+
+@query(f"{_EDGES} SELECT * FROM edges")
+def pref_edges(spark, sf_dir):
+    found, ranked, _ = _found(spark, sf_dir)
+    return links.preference_edges(found, ranked)
+
+
+@query(f"{_EDGES} SELECT text_id, '  n' || src_name || ' -->|add=' || add || ' cov=' || cov || '| n' || name AS line FROM edges")
+def pref_graph(spark, sf_dir):
+    found, ranked, _ = _found(spark, sf_dir)
+    return models.mermaid(links.preference_edges(found, ranked))
+
+
+@query(f"{_EDGES} SELECT text_id, src_name, count(*) AS served FROM edges GROUP BY ALL")
+def hub_degree(spark, sf_dir):
+    found, ranked, _ = _found(spark, sf_dir)
+    return links.preference_edges(found, ranked).groupBy("text_id", "src_name").agg(F.count("*").alias("served"))
+
+
+@query(f"""
+WITH {_CANDIDATES}, ranks AS (SELECT DISTINCT text_id, name, unnest(range(src_lo, src_hi)) AS rank FROM candidates),
+edges AS (SELECT DISTINCT r.text_id, r.name AS a, g.name AS b FROM ranks r JOIN gsa g ON g.text_id = r.text_id AND g.rank = r.rank)
+SELECT text_id, CAST(count(*) AS DOUBLE) / count(DISTINCT a) AS mean_degree FROM edges GROUP BY text_id""")
+def dep_graph(spark, sf_dir):
+    """Mean number of names that a name's candidates read from."""
+    found, ranked, _ = _found(spark, sf_dir)
+    degrees = links.source_edges(found, ranked).groupBy("text_id", "a").agg(F.count("*").alias("n"))
+    return degrees.groupBy("text_id").agg((F.sum("n") / F.count("*")).alias("mean_degree"))
+
+
+@query(f"""
+WITH {_CANDIDATES}, s AS (SELECT text_id, name, unnest(range(src_lo, src_hi)) AS rank FROM preferred), c AS (SELECT text_id, name AS other, unnest(CAST(string_split(covered, ',') AS BIGINT[])) AS rank FROM preferred)
+SELECT DISTINCT s.text_id, name, other FROM s JOIN c ON s.text_id = c.text_id AND s.rank = c.rank""")
+def preferred_conflicts(spark, sf_dir):
+    return links.conflicts(links.preferred(_found(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {sql.gsa(*ITEMS, SMALL)},
+pairs AS (
+  SELECT t.text_id, t.name, a.add, t.rank AS t, s.rank AS s FROM gsa t JOIN intervals i ON i.text_id = t.text_id AND i.name = t.name AND i.size >= {LEAST}
+  CROSS JOIN (SELECT unnest(range(1, {MAX_ADD + 1})) AS add) a JOIN gsa s ON s.text_id = t.text_id AND s.orig = t.orig - a.add * {SMALL.span}
+),
+marked AS (SELECT *, s - row_number() OVER (PARTITION BY text_id, name, add ORDER BY s) AS run FROM pairs),
+spans AS (SELECT a.text_id, a.name, a.add, a.run, a.s AS src_lo, b.s + 1 AS src_hi FROM marked a JOIN marked b USING (text_id, name, add, run) WHERE b.s >= a.s + {LEAST - 1}),
+links AS (SELECT s.text_id, s.name, s.add, src_lo, src_hi, count(*) AS cov, bool_or(m.t >= src_lo AND m.t < src_hi) AS clash FROM spans s JOIN marked m ON m.text_id = s.text_id AND m.name = s.name AND m.add = s.add AND m.run = s.run AND m.s >= src_lo AND m.s < src_hi GROUP BY ALL)
+SELECT text_id, name, CAST(add AS INTEGER) AS add, CAST(src_lo AS INTEGER) AS src_lo, CAST(src_hi AS INTEGER) AS src_hi, CAST(cov AS INTEGER) AS cov FROM links WHERE NOT clash""".replace("GROUP BY ALL)\nSELECT", "GROUP BY s.text_id, s.name, s.add, src_lo, src_hi)\nSELECT"))
+def all_links(spark, sf_dir):
+    """Every decodable link of the benchmark items."""
+    ranked, own = _ranked(spark, sf_dir)
+    return links.all_links(ranked, own, SMALL.span, MAX_ADD, LEAST).drop("covered")
+
+
+@query()
+def ilp_constraints(spark, sf_dir):
+    """The exact selection problem over the candidates, as linear constraints."""
+    return models.constraints(_found(spark, sf_dir)[0])
+
+
+# Compressed indexes
+
+
+def _decoded(algo: str):
+    def run(spark, sf_dir):
+        return GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, algo).decoded()
+
+    run.__name__ = f"decode_{algo.replace('-', '_')}"
+    run.__doc__ = f"All positions decoded from the index that {algo} selected: the true postings."
+    return query(sql.kmers(*ITEMS, SMALL))(run)
+
+
+for _algo in kernels.ALGORITHMS:
+    if _algo != "exact":
+        _decoded(_algo)
+
+
+@query(sql.kmers(*ITEMS, SMALL))
+def decode_serialized(spark, sf_dir):
+    """The same from the packed bytes."""
+    built = GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "tree-dp")
+    c_array, h_table = index.deserialize(*built.serialized())
+    return index.positions(h_table, c_array, SMALL.span, ["text_id", "name"])
+
+
+@query(sql.kmers(*DOCS, SHORT))
+def decode_documents(spark, sf_dir):
+    """All positions of all documents, decoded from their greedy index."""
+    return GappedIndex.build(_documents(spark, sf_dir), SHORT.pattern).decoded()
+
+
+@query()
+def exact_links(spark, sf_dir):
+    """Per item: |C| of the search over all candidates, whether it is certainly the least, and greedy's |C|."""
+    items = _benchmark(spark, sf_dir)
+    best = GappedIndex.build(items, SMALL.pattern, "exact", nodes=20_000)
+    whole = best.chosen.groupBy("text_id").agg(F.min("whole").alias("optimal"))
+    greedy = GappedIndex.build(items, SMALL.pattern, "greedy").stats().select("text_id", F.col("c_count").alias("greedy"))
+    joined = best.stats().join(whole, "text_id", "left").join(greedy, "text_id")
+    gap = 100.0 * (F.col("greedy") - F.col("c_count")) / F.col("c_count")
+    return joined.select("text_id", "m", F.col("c_count").alias("least"), F.coalesce("optimal", F.lit(True)).alias("optimal"), "greedy", gap.alias("gap_pct"))
+
+
+@query()
+def gsa_table(spark, sf_dir):
+    """The compressed suffix array, with spellings, of every benchmark item."""
+    return GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "dep-order").table()
+
+
+@query()
+def h_table(spark, sf_dir):
+    return GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "dep-order").h_table
+
+
+@query()
+def index_sizes(spark, sf_dir):
+    return GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "tree-dp").sizes()
+
+
+@query()
+def serialize_h(spark, sf_dir):
+    _, entries = GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "tree-dp").serialized()
+    return entries.select("text_id", "name", "start", F.lower(F.hex("entry")).alias("entry"))
+
+
+@query()
+def greedy_rounds(spark, sf_dir):
+    """Greedy selection by joins alone."""
+    found, ranked, own = _found(spark, sf_dir)
+    return _flat(selection.greedy_rounds(found, ranked, own))
+
+
+@query()
+def links_feasible(spark, sf_dir):
+    """Per item: links that dep-order chose, their covered ranks, and m - |C|, which is the same."""
+    built = GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern, "dep-order")
+    gain = built.chosen.groupBy("text_id").agg(F.count("*").alias("links"), F.sum("cov").alias("covered"))
+    return built.stats().join(gain, "text_id").select("text_id", "links", "covered", (F.col("m") - F.col("c_count")).alias("saved"))
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    items, out = _benchmark(spark, sf_dir), None
+    for algo in ("greedy", "dep-order", "tree-dp"):
+        sizes = GappedIndex.build(items, SMALL.pattern, algo).sizes().withColumn("algo", F.lit(algo))
+        out = sizes if out is None else out.unionByName(sizes)
+    return out
+
+
+@query()
+def algo_scoreboard(spark, sf_dir):
+    return suites.scoreboard(_results(spark, sf_dir))
+
+
+@query()
+def bench_summary(spark, sf_dir):
+    return suites.summary(_results(spark, sf_dir).withColumnRenamed("algo", "label"))
+
+
+# Sources and sinks
+
+
+@query(f"""
+SELECT text_id, line_no, CASE WHEN line_no = 0 THEN '>' || text_id ELSE substr(dna, CAST((line_no - 1) * 60 + 1 AS BIGINT), 60) END AS line
+FROM (SELECT text_id, dna, unnest(range(0, 1 + (length(dna) + 59) // 60)) AS line_no FROM ({sql.clean(*DOCS)}))""")
+def fasta_wrap(spark, sf_dir):
+    return fasta.wrapped(_documents(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(f"SELECT CAST(text_id AS VARCHAR) AS header, length(dna) AS n, md5(dna) AS seq_md5 FROM ({sql.clean(*DOCS)})")
+def fasta_records(spark, sf_dir):
+    """The documents written as FASTA and parsed back."""
+    path = kept(spark.range(1), "fasta").inputFiles()[0].rsplit("/", 1)[0] + f"-{uuid.uuid4().hex}"
+    fasta.write(_documents(spark, sf_dir), path)
+    return fasta.records(spark, path).select("header", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
+
+
+@query(f"SELECT text_id, substr(repeat(dna, CAST(1000 // greatest(length(dna), 1) + 1 AS BIGINT)), 1, 1000) AS dna FROM ({sql.clean(*ITEMS)})")
+def gen_periodic(spark, sf_dir):
+    return _benchmark(spark, sf_dir).select("text_id", generated.periodic(F.col("dna"), F.lit(1000)).alias("dna"))
+
+
+@query()
+def gen_random(spark, sf_dir):
+    """A random text as long as each document."""
+    return _documents(spark, sf_dir).select("text_id", generated.random_dna(F.length("dna"), 42, F.col("text_id")).alias("dna"))
+
+
+@query(f"SELECT text_id, length(dna) * 10 AS block, CAST(floor(length(dna) * 10 / 0.5 + 0.5) AS BIGINT) AS total, true AS periodic FROM ({sql.clean(*ITEMS)})")
+def gen_repeats(spark, sf_dir):
+    """Ten copies of each item and as much random padding; whether the copies are where they belong."""
+    made = _benchmark(spark, sf_dir).withColumn("text", generated.repeats(F.col("dna"), 10, 0.5, 42, F.col("text_id")))
+    block = F.length("dna") * 10
+    return made.select("text_id", block.cast("long").alias("block"), F.length("text").cast("long").alias("total"), (F.substring(F.col("text"), F.lit(1), block) == F.repeat("dna", 10)).alias("periodic"))
+
+
+@query()
+def gen_pangenome(spark, sf_dir):
+    """Four strains of each item at 1 % divergence."""
+    return generated.pangenome(_benchmark(spark, sf_dir), 4, 0.01)
+
+
+@query("""
+WITH planned AS (SELECT DISTINCT source AS dataset, shape, algo, CAST(max_add AS INTEGER) AS max_add FROM documents CROSS JOIN (VALUES ('##.##'), ('##.#')) s(shape) CROSS JOIN (VALUES ('greedy'), ('tree-dp')) a(algo) CROSS JOIN (VALUES (8), (16)) m(max_add)),
+done AS (SELECT DISTINCT source AS dataset FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT * FROM planned WHERE NOT (algo = 'greedy' AND max_add = 8 AND dataset IN (SELECT dataset FROM done WHERE dataset IS NOT NULL))""")
+def resume_plan(spark, sf_dir):
+    """Runs of a suite over the documents' sources that are still to do; greedy at 8 is done for sources with a toxic label."""
+    docs = _table(spark, sf_dir, "documents")
+    options = F.array(*[F.struct(F.lit(s).alias("shape"), F.lit(a).alias("algo"), F.lit(m).alias("max_add")) for s in ("##.##", "##.#") for a in ("greedy", "tree-dp") for m in (8, 16)])
+    planned = docs.select(F.col("source").alias("dataset")).distinct().select("dataset", F.inline(options))
+    toxic = docs.join(_table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("dataset")).distinct()
+    return suites.unfinished(planned, planned.join(toxic, "dataset").where("algo = 'greedy' AND max_add = 8"))
+
+
+@query()
+def gzip_ratio(spark, sf_dir):
+    return suites.gzip_ratios(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def file_sha256(spark, sf_dir):
+    return suites.file_digests(spark, f"{sf_dir}/benchmark.parquet")
