@@ -107,10 +107,7 @@ def kmer_names(spark, sf_dir):
     return per_text.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("pos_sum").alias("pos_sum"))
 
 
-@query(f"""
-WITH named AS (SELECT name, min(text_id) AS text_id, arg_min(dna_at, text_id) AS w FROM (
-  SELECT text_id, {sql.name(SHORT, "pos")} AS name, substr(dna, CAST(pos + 1 AS BIGINT), {SHORT.span}) AS dna_at FROM (SELECT text_id, dna, unnest(range(0, length(dna) + 1)) AS pos FROM ({sql.clean(*DOCS)}))) GROUP BY name)
-SELECT name, {" || ".join(f"CASE WHEN length(w) > {o} THEN substr(w, {o + 1}, 1) ELSE '$' END" for o in SHORT.care)} AS spelling FROM named""")
+@query(f"SELECT DISTINCT name, spelling FROM ({sql.spellings(*DOCS, SHORT)})")
 def name_spelling(spark, sf_dir):
     """Spelling of every name that occurs, from the name alone."""
     return kmers(_documents(spark, sf_dir), SHORT).select("name").distinct().withColumn("spelling", spelling(F.col("name"), SHORT))

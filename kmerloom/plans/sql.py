@@ -16,9 +16,24 @@ def name(shape: Shape, p: str = "p", dna: str = "dna") -> str:
     return f"CAST({out} AS BIGINT)"
 
 
+def letters(table: str, key: str) -> str:
+    """text_id, pos, c: every letter, and null at the end of the text."""
+    return f"""SELECT text_id, unnest(range(0, length(dna) + 1)) AS pos, unnest(list_append(regexp_extract_all(dna, '.'), NULL)) AS c FROM ({clean(table, key)})"""
+
+
 def kmers(table: str, key: str, shape: Shape) -> str:
     """text_id, pos, name of every window."""
-    return f"""SELECT text_id, pos, {name(shape, "pos")} AS name FROM (SELECT text_id, dna, unnest(range(0, length(dna) + 1)) AS pos FROM ({clean(table, key)}))"""
+    out = "0"
+    for offset, block in zip(reversed(shape.care), reversed(shape.g[1:]), strict=True):
+        v = f"lead(v, {offset}) OVER w"
+        out = f"CASE WHEN {v} IS NULL THEN 0 ELSE 1 + {v} * {block} + {out} END"
+    return f"""SELECT text_id, pos, CAST({out} AS BIGINT) AS name FROM (SELECT text_id, pos, CAST(instr('ACGT', c) - 1 AS BIGINT) AS v FROM ({letters(table, key)})) WINDOW w AS (PARTITION BY text_id ORDER BY pos)"""
+
+
+def spellings(table: str, key: str, shape: Shape) -> str:
+    """name, spelling of every window."""
+    spelled = " || ".join(f"coalesce(lead(c, {o}) OVER w, '$')" for o in shape.care)
+    return f"""SELECT name, spelling FROM ({kmers(table, key, shape)}) JOIN (SELECT text_id, pos, {spelled} AS spelling FROM ({letters(table, key)}) WINDOW w AS (PARTITION BY text_id ORDER BY pos)) USING (text_id, pos)"""
 
 
 def lextext(table: str, key: str, shape: Shape) -> str:
