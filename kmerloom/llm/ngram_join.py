@@ -3,13 +3,16 @@
 A document's set is its distinct 5-word shingles (its whole word sequence if it has fewer
 words); two documents link when the sets' Jaccard similarity is at least 3/4.
 
-1. A count-min row of fixed width over the shingles of all documents gives their global
-   order: rare first, ties by hash. Any one order is correct; rare first is fast.
-2. One pass turns each text into its sorted set. Texts with the same word sequence are one
-   class. A set of n has a prefix of n - ceil(3n/4) + 1 shingles, one of which every partner
-   has in its own prefix. Prefix entries go, packed, to buckets by shingle, where those that
-   no second text shares are dropped. The sketch bounds every other shingle's entries; a
-   shingle that may have ``hot`` or more skips the bucket and stays as rows.
+1. One pass turns each text into its set. Texts with the same word sequence are one class, and
+   copies within a task count once. All (shingle, row) entries go, packed, to buckets by shingle.
+   There, each shingle's exact document frequency is counted over all documents, and entries
+   with a frequency above 1 return to the task they came from. A shingle that is in ``HOT`` or more
+   texts of one part of a task sends a count instead of its entries, so that no bucket gathers
+   a frequent shingle's whole list.
+2. Back home, a set of n shingles has its global order: rare first (frequency, then hash). Only
+   shared shingles matter: u unshared ones come first, and the prefix of n - ceil(3n/4) + 1
+   shingles holds others only if u is smaller. Every pair that links has a common shingle in
+   both prefixes; most documents have none to look up.
 3. Links are found without pairing a group's members all with all: in each of ``rounds``
    rounds, every class is compared with up to ``tries`` leaders of its prefix shingles outside
    its own component, and links merge components. Large groups of near copies end up as one
@@ -19,7 +22,7 @@ words); two documents link when the sets' Jaccard similarity is at least 3/4.
    first common shingle lies in its first seventh, so only such entries meet others. Pairs
    inside a component cannot change any component, so no link between components is lost.
 
-Verification reads both sorted sets, tries the suffix filter (overlap bounds from halving one
+Verification reads both sets' shared shingles, tries the suffix filter (overlap bounds from halving one
 set around the other's median) and then counts the overlap. Sets are read as 44-bit hashes:
 two sets of a thousand shingles count one too many in common with probability 10^-7.
 
@@ -45,10 +48,9 @@ from pyspark.sql import types as T
 from ._common import partitions_for, written
 
 WORDS = 5
-#: Cells of the count-min row: the driver and every worker hold a byte for each, whatever the input.
-CELLS = 1 << 25
-_BITS, _MASK = 56, (1 << 56) - 1
-_SLICES = 16
+#: Texts of one part of a task from which on a shingle is counted instead of listed, and entries of a part.
+HOT, PART = 256, 2_000_000
+_BITS = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -101,7 +103,7 @@ def _word_hashes(raw: bytes) -> np.ndarray:
 
 
 def shingles(raw: bytes) -> np.ndarray:
-    """Distinct 56-bit shingle hashes of a lower-cased text, ascending."""
+    """Distinct 64-bit shingle hashes of a lower-cased text, ascending."""
     words = _word_hashes(raw)
     k = min(WORDS, len(words))
     if not k:
@@ -109,7 +111,7 @@ def shingles(raw: bytes) -> np.ndarray:
     total = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
         total += words[i : len(words) - k + 1 + i] * _PLACES[i]
-    return np.unique(_mix(total + np.uint64(k) * _PLACES[WORDS:]) & np.uint64(_MASK))
+    return np.unique(_mix(total + np.uint64(k) * _PLACES[WORDS:]))
 
 
 def lowered(text: str | None) -> bytes:
@@ -125,174 +127,153 @@ def _texts(batch):
         yield lowered(text.as_py())
 
 
-FIRST = T.StructType().add("row", "long").add("doc_id", "long").add("cls", "binary").add("n", "integer").add("part", "integer").add("counts", "binary")
-
-
-def _batch(schema: T.StructType, *columns) -> pa.RecordBatch:
-    """Columns of one length; those left out are null."""
-    kinds = {"long": pa.int64(), "integer": pa.int32(), "binary": pa.binary()}
-    n = len(columns[0]) if columns[0] is not None else len(columns[-1])
-    arrays = [c if isinstance(c, pa.Array) else pa.array([None] * n if c is None else c, kinds[f.dataType.typeName()]) for c, f in zip(columns, schema, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-
-def survey(docs: DataFrame, text: str = "text", cells: int = CELLS) -> DataFrame:
-    """A row per document (row, doc_id, cls, n), and a task's counts of shingles by cell in _SLICES parts.
-
-    Copies within a task count once. ``row`` is the task's number and the row's place in it.
-    """
-
-    def run(batches):
-        import zstandard
-
-        task, row = TaskContext.get().partitionId() << 32, 0
-        total, seen, held = np.zeros(cells, np.uint16), set(), []
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                classes, sizes = [], []
-                for raw in _texts(batch):
-                    own = shingles(raw)
-                    classes.append(_class(raw))
-                    sizes.append(len(own))
-                    if classes[-1] not in seen:
-                        seen.add(classes[-1])
-                        held.append((own % np.uint64(cells)).astype(np.uint32))
-                cell, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint32)]), return_counts=True)
-                total[cell] = np.minimum(total[cell] + n, 65535)
-                held = []
-                yield _batch(FIRST, task + np.arange(row, row + len(sizes)), batch.column(0), classes, sizes, None, None)
-                row += len(sizes)
-        if row:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            yield _batch(FIRST, None, None, None, None, list(range(_SLICES)), [pack(p.tobytes()) for p in np.split(total, _SLICES)])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FIRST)
-
-
-def ranks(surveyed: DataFrame, cells: int = CELLS) -> np.ndarray:
-    """Logarithm of every cell's count over all documents, a byte each: fixed size, whatever the input."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        total = np.zeros(cells // _SLICES, np.float32)
-        for raw in frame["counts"]:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint16)
-        out = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zstandard.ZstdCompressor(level=1).compress(out.tobytes())]})
-
-    import zstandard
-
-    rows = surveyed.where("counts is not null").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    out = np.zeros((_SLICES, cells // _SLICES), np.uint8)
-    for r in rows:
-        out[r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.uint8)
-    return out.ravel()
-
-
-def ordered(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The set in the global order: each shingle's rank above its hash."""
-    return np.sort(table[keys % np.uint64(len(table))].astype(np.uint64) << np.uint64(_BITS) | keys)
-
-
 def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-ENTRY = T.StructType().add("task", "long").add("bucket", "long").add("entries", "binary")
-
-
-def _pack(key: np.ndarray, row: np.ndarray, pos: np.ndarray) -> bytes:
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays by planes of their bytes, compressed; 64-bit ones as differences."""
     import zstandard
 
-    parts = ((key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32)).astype("<u2"), row.astype("<u4"), pos.astype("<u4"))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<u4").tobytes()]
+    for a in arrays:
+        a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a
+        parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(raw: bytes) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(raw) // 14
-    low, high = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n)
-    return low.astype(np.int64) | high.astype(np.int64) << 32, np.frombuffer(raw, "<u4", n, 6 * n).astype(np.int64), np.frombuffer(raw, "<u4", n, 10 * n).astype(np.int32)
+    count = int(np.frombuffer(raw, "<u4", 1)[0])
+    heads = np.frombuffer(raw, "<u4", 2 * count, 4).reshape(-1, 2).tolist()
+    out, at = [], 4 + 8 * count
+    for n, width in heads:
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        a = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+        out.append(np.cumsum(a, dtype=np.uint64) if width == 8 else a)
+        at += n * width
+    return out
 
 
-def entries(docs: DataFrame, table, buckets: int, hot: int, text: str = "text") -> DataFrame:
-    """Prefix entries of a task's distinct texts, packed by bucket. Those of shingles that may be hot
-    are in buckets of their own, below 0, one for each part of a task."""
-    limit = int(min(8 * np.log2(1 + hot), 255))
-
-    def run(batches):
-        ranked, task = table.value, TaskContext.get().partitionId() << 32
-        seen, row, size, held, flushes = set(), 0, 0, [], 0
-
-        def flush(hot_bucket):
-            key, owner, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            often = (key >> np.uint64(_BITS)) >= limit
-            key &= np.uint64((1 << 48) - 1)
-            bucket = np.where(often, hot_bucket, (_mix(key) % np.uint64(buckets)).astype(np.int64))
-            order = np.argsort(bucket, kind="stable")
-            found, edges = np.unique(bucket[order], return_index=True)
-            return _batch(ENTRY, [task] * len(found), found, [_pack(key[o], owner[o], pos[o]) for o in np.split(order, edges[1:])])
-
-        for batch in batches:
-            for raw in _texts(batch):
-                if (cls := _class(raw)) not in seen:
-                    seen.add(cls)
-                    if n := len(own := ordered(shingles(raw), ranked)):
-                        p = prefix_length(n)
-                        held.append((own[:p], np.full(p, row), np.arange(p)))
-                        size += p
-                row += 1
-                if size > 2_000_000:
-                    yield flush(-1 - flushes - task)
-                    held, size, flushes = [], 0, flushes + 1
-        if held:
-            yield flush(-1 - flushes - task)
-
-    return docs.select(F.col("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENTRY)
+ENTRY = T.StructType().add("part", "long").add("task", "long").add("payload", "binary")
 
 
-SHARED = "key long, row long, pos int"
-
-
-def _frame(key, row, pos) -> pd.DataFrame:
-    return pd.DataFrame({"key": key, "row": row, "pos": pos})
-
-
-def _entries_of(frame: pd.DataFrame):
-    parts = [(*_unpack(raw), task) for raw, task in zip(frame["entries"], frame["task"], strict=True)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[3] for p in parts]), np.concatenate([p[2] for p in parts])
+def entries(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """Packed entries of a task by bucket of shingles, and, in parts from ``buckets`` on, what stays at home: the part's
+    documents and its frequent shingles' lists. ``task`` numbers the parts: the task's number and the part's."""
 
+    def run(batches):
+        worker, seen, flushes = TaskContext.get().partitionId(), {}, 0
+        ids, classes, sizes, held, size = [], [], [], [], 0
+
+        def flush():
+            task = (worker << 20) + flushes
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
+            rows = np.concatenate([np.zeros(0, np.uint32), *(np.full(len(k), r, np.uint32) for k, r in held)])
+            order = np.argsort(keys, kind="stable")
+            keys, rows = keys[order], rows[order]
+            distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
+            frequent = n >= HOT
+            listed = ~np.repeat(frequent, n)
+            home = _packed(np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x is None for x in ids], np.uint8), np.frombuffer(b"".join(classes), np.uint8), np.array(sizes, np.uint32), keys[~listed], rows[~listed])
+            out = [(buckets + task, task, home)]
+            cuts = (np.arange(1, buckets, dtype=np.float64) * (2.0**_BITS / buckets)).astype(np.uint64)
+            keys, rows, hot, counts = keys[listed], rows[listed], distinct[frequent], n[frequent].astype(np.uint32)
+            for b, (k, r, h, c) in enumerate(zip(*(np.split(x, np.searchsorted(y, cuts)) for x, y in ((keys, keys), (rows, keys), (hot, hot), (counts, hot))), strict=True)):
+                if len(k) or len(h):
+                    out.append((b, task, _packed(k, r, h, c)))
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=ENTRY.names)
 
-def _of_two(frame: pd.DataFrame) -> pd.DataFrame:
-    """The entries whose key another row has too; of a hot bucket, all."""
-    key, row, pos = _entries_of(frame)
-    if frame["bucket"].iloc[0] < 0:
-        return _frame(key, row, pos)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = np.concatenate(([False], key[1:] == key[:-1], [False]))
-    order, key = order[same[1:] | same[:-1]], key[same[1:] | same[:-1]]
-    return _frame(key, row[order], pos[order])
+        for batch in batches:
+            for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
+                cls = _class(raw)
+                if cls not in seen:
+                    own = shingles(raw)
+                    seen[cls] = len(own)
+                    held.append((np.unique(own >> np.uint64(64 - _BITS)), len(ids)))
+                    size += len(own)
+                ids.append(doc_id)
+                classes.append(cls)
+                sizes.append(seen[cls])
+                if size > PART:
+                    yield flush()
+                    ids, classes, sizes, held, size, flushes = [], [], [], [], 0, flushes + 1
+        if ids:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENTRY)
+
+
+def _counted(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket: the entries whose shingle another row has too, with its frequency, back to their parts."""
+    if len(frame) == 1 and frame["part"].iloc[0] == frame["task"].iloc[0] + frame["home"].iloc[0]:
+        return pd.DataFrame({"task": frame["task"], "home": True, "payload": frame["payload"]})
+    blobs = [_unpacked(raw) for raw in frame["payload"]]
+    keys = np.concatenate([x for k, _, h, _ in blobs for x in (k, h)])
+    counts = np.concatenate([x for k, _, _, c in blobs for x in (np.ones(len(k), np.uint32), c)])
+    distinct, place = np.unique(keys, return_inverse=True)
+    total = np.bincount(place, counts).astype(np.int64)
+    rank = np.minimum(16 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)  # 0: in one text only
+    out, at = [], 0
+    for k, r, h, _ in blobs:
+        own, hot = rank[place[at : at + len(k)]], rank[place[at + len(k) : at + len(k) + len(h)]]
+        at += len(k) + len(h)
+        out.append(_packed(k[own > 0], r[own > 0], own[own > 0], h, hot))
+    return pd.DataFrame({"task": frame["task"], "home": False, "payload": out})
+
+
+DOCUMENT = T.StructType().add("row", "long").add("doc_id", "long").add("cls", "binary").add("n", "integer").add("prefix", "binary").add("items", "binary")
+
+
+def _documents(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a part of a task: its documents, and for those with shared shingles in the prefix these and the whole shared set."""
+    ids, null, classes, sizes, hot_keys, hot_rows = _unpacked(frame.loc[frame["home"], "payload"].iloc[0])
+    back = [_unpacked(raw) for raw in frame.loc[~frame["home"], "payload"]]
+    take = lambda i, kind: np.concatenate([np.zeros(0, kind), *(b[i] for b in back)])
+    hot, hot_rank = take(3, np.uint64), take(4, np.uint8)
+    order = np.argsort(hot)
+    ranks_of_hot = hot_rank[order][np.searchsorted(hot[order], hot_keys)] if len(hot_keys) else np.zeros(0, np.uint8)
+    keys = np.concatenate([take(0, np.uint64), hot_keys])
+    rows = np.concatenate([take(1, np.uint32), hot_rows]).astype(np.int64)
+    rank = np.concatenate([take(2, np.uint8), ranks_of_hot]).astype(np.uint64)
+    order = np.lexsort((rank << np.uint64(_BITS) | keys, rows))
+    keys, rows = keys[order], rows[order]
+    edges = np.searchsorted(rows, np.arange(len(ids) + 1))
+    prefix, items = [None] * len(ids), [None] * len(ids)
+    for i in range(len(ids)):
+        own = keys[edges[i] : edges[i + 1]]
+        alone = int(sizes[i]) - len(own)
+        inside = prefix_length(int(sizes[i])) - alone
+        if len(own) and inside > 0:
+            prefix[i] = np.concatenate(([np.uint64(alone)], own[:inside])).astype("<u8").tobytes()
+            items[i] = _packed_set(own)
+    row = (int(frame["task"].iloc[0]) << 24) + np.arange(len(ids))
+    raw = classes.tobytes()
+    doc_id = pd.Series(ids.view(np.int64)).astype("Int64").mask(null.astype(bool))
+    return pd.DataFrame({"row": row, "doc_id": doc_id, "cls": [raw[16 * i : 16 * i + 16] for i in range(len(ids))], "n": sizes.astype(np.int32), "prefix": prefix, "items": items})
+
+
+def surveyed(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """A row per document: row, doc_id, cls, n, and prefix and items where it may have partners."""
+    sent = entries(docs, buckets, text).withColumn("home", F.lit(buckets))
+    back = sent.groupBy("part").applyInPandas(_counted, "task long, home boolean, payload binary")
+    return back.groupBy("task").applyInPandas(_documents, DOCUMENT)
+
+
+def _prefix_rows(batches):
+    for batch in batches:
+        for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(raw.as_buffer(), "<u8").astype(np.int64)
+            places = own[0] + np.arange(len(own) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(own[1:]), pa.array(np.full(len(places), row)), pa.array(places, pa.int32())], names=["key", "row", "pos"])
 
 
 def _packed_set(keys: np.ndarray) -> bytes:
-    """A set as sorted 44-bit hashes: the low halves, and the high ones, which ascend."""
-    import zstandard
-
-    keys = np.unique(keys & np.uint64((1 << 44) - 1))
-    return zstandard.ZstdCompressor(level=1).compress((keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes())
-
-
-def _unpacked_set(raw) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(raw) // 6
-    return np.frombuffer(raw, "<u4", n).astype(np.int64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.int64) << 32
+    """A set as sorted 44-bit hashes."""
+    return _packed(np.unique(keys & np.uint64((1 << 44) - 1)))
 
 
 def _overlap_at_most(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -304,10 +285,9 @@ def _overlap_at_most(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return _overlap_at_most(x[:cut], y[:middle], depth - 1) + _overlap_at_most(x[cut:], y[middle:], depth - 1)
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, for two sets in one order."""
-    both = len(x) + len(y)
-    enough = lambda n: 7 * n >= 3 * both  # noqa: E731  n / (both - n) >= 3 / 4
+def similar(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+    """100 * intersection >= 75 * union, for sets of n and m of which x and y hold all they can share."""
+    enough = lambda k: 7 * k >= 3 * (n + m)  # noqa: E731  k / (n + m - k) >= 3 / 4
     if not enough(_overlap_at_most(x, y)):
         return False
     merged = np.sort(np.concatenate((x, y)), kind="stable")
@@ -329,8 +309,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
     ends = cut.select(F.col("part").alias("block"), F.col("a").alias("node")).union(cut.select("part", "b")).distinct()
 
     def run(some: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        own = {n: _unpacked_set(raw) for n, raw in zip(items["node"], items["items"], strict=True)}
-        return some.loc[[similar(own[a], own[b]) for a, b in zip(some["a"], some["b"], strict=True)], ["a", "b"]]
+        own = {node: _unpacked(raw)[0] for node, raw in zip(items["node"], items["items"], strict=True)}
+        size = dict(zip(items["node"], items["n"], strict=True))
+        return some.loc[[similar(own[a], own[b], int(size[a]), int(size[b])) for a, b in zip(some["a"], some["b"], strict=True)], ["a", "b"]]
 
     return cut.groupBy("part").cogroup(ends.join(sets, "node").groupBy("block")).applyInPandas(run, "a long, b long")
 
@@ -370,27 +351,22 @@ def _smaller():
     return F.col("pos") * 7 <= F.col("n")
 
 
-def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3, hot: int = 1_000_000, cells: int = CELLS) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, component (a label without nulls)."""
-    spark = docs.sparkSession
-    buckets = max(partitions_for(docs), docs.rdd.getNumPartitions())
-    surveyed = written(survey(docs, text, cells), "survey")
-    table = spark.sparkContext.broadcast(ranks(surveyed, cells))
-    per_doc = surveyed.where("counts is null").select("row", "doc_id", "cls", "n")
+    buckets = max(partitions_for(docs), 2 * docs.rdd.getNumPartitions())
+    found = written(surveyed(docs, buckets, text), "survey")
+    per_doc = found.select("row", "doc_id", "cls", "n")
     of_class = per_doc.groupBy("cls").agg(F.min("row").alias("node"), F.first("n").alias("n"))
 
     # Prefix entries of classes that share one with another class.
-    rows = entries(docs, table, buckets, hot, text).groupBy("bucket").applyInPandas(_of_two, SHARED)
-    node_of_row = per_doc.where("n > 0").select("row", "cls").join(of_class, "cls").select("row", "node", "n")
+    rows = found.where("prefix is not null").select("row", "prefix").mapInArrow(_prefix_rows, "key long, row long, pos int")
+    node_of_row = found.where("prefix is not null").select("row", "cls").join(of_class, "cls").select("row", "node", "n")
     of_nodes = written(rows.join(node_of_row, "row").groupBy("key", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "shared")
     several = of_nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
     shared = written(of_nodes.join(several, "key", "left_semi"), "shared")
     active = written(shared.select("node", "n").distinct(), "active")
 
-    # Their sets, from one text of each class.
-    wanted = per_doc.join(active.select(F.col("node").alias("row")), "row", "left_semi").select("doc_id", "cls")
-    sets = written(_sets(docs, wanted, text).join(of_class, "cls").select("node", "items"), "sets")
-
+    sets = written(found.select(F.col("row").alias("node"), "n", "items").join(active.select("node"), "node", "left_semi"), "sets")
     blocks = max(8, -(-(sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // _BLOCK_BYTES))
     labels = active.select("node", F.col("node").alias("comp"))
     for salt in range(rounds):
@@ -425,26 +401,6 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     return whole.join(least, "component").select("doc_id", "n_shingles", "component_id", "component")
 
 
-#: Rows of (doc_id, class) that a worker may be sent whole: 24 bytes each.
-SENT_ROWS = 1_000_000
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """cls, items (the packed set) of the wanted classes; wanted: doc_id, cls. A repeated document's class may come twice."""
-
-    def run(batches):
-        for batch in batches:
-            # A repeated doc_id may have other texts.
-            own = [(cls.as_py(), shingles(raw)) for raw, cls in zip(_texts(batch), batch.column(0), strict=True) if _class(raw) == cls.as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), pa.array([_packed_set(k) for _, k in own], pa.binary())], names=["cls", "items"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col(text).alias("text"))
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= SENT_ROWS:  # else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    return texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(run, "cls binary, items binary")
-
-
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their class, one of each repeated doc_id; all columns stay."""
     stay = classes(docs, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
