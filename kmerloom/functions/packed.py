@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def bytes_needed(value: Column) -> Column:
-    """Bytes of an unsigned number, 1 to 8."""
+    """Bytes of an unsigned number, 1 to 8; null of null."""
     out = F.lit(8)
     for n in range(7, 0, -1):
         out = F.when(value < F.lit(1 << (8 * n)), F.lit(n)).otherwise(out)
-    return F.when(value < 0, F.lit(8)).otherwise(out)
+    return F.when(value < 0, F.lit(8)).when(value.isNotNull(), out)
 
 
 def put_be(value: Column, width: Column) -> Column:
