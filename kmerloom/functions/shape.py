@@ -81,14 +81,17 @@ def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
 
 def spelling(name: Column, shape: Shape) -> Column:
     """The letters of a name, ``$`` past the text's end."""
-    letters = []
-    rest = name
-    for block in shape.g[1:]:
+
+    def step(state, block):
+        rest = state["rest"]
+        inside = F.pmod(rest - 1, block)
         # A multiple of the block over the block: exact in floating point, the quotient being 0 to 3.
-        value = F.round((rest - 1 - F.pmod(rest - 1, F.lit(block))) / F.lit(block)).cast("int")
-        letters.append(F.when(rest == 0, "$").otherwise(base_char(value)))
-        rest = F.when(rest == 0, rest).otherwise(F.pmod(rest - 1, F.lit(block)))
-    return F.concat(*letters)
+        value = F.round((rest - 1 - inside) / block).cast("int")
+        letter = F.when(rest == 0, "$").otherwise(base_char(value))
+        return F.struct(F.when(rest == 0, rest).otherwise(inside).alias("rest"), F.concat(state["letters"], letter).alias("letters"))
+
+    blocks = F.array(*[F.lit(b).cast("long") for b in shape.g[1:]])
+    return F.aggregate(blocks, F.struct(name.cast("long").alias("rest"), F.lit("").alias("letters")), step)["letters"]
 
 
 def catalogue() -> list[tuple[str, Shape]]:

@@ -17,7 +17,7 @@ def texts(spark, *some):
     return spark.createDataFrame(list(enumerate(some)), "text_id long, dna string")
 
 
-@pytest.mark.parametrize("place,algo", enumerate(["exact", "greedy", "dep-order", "tree-dp", "tree-dp3"]))
+@pytest.mark.parametrize("place,algo", list(enumerate(["exact", "greedy", "dep-order", "tree-dp", "tree-dp3"])))
 def test_published_sizes(spark, place, algo):
     built = GappedIndex.build(texts(spark, *[g[0] for g in GOLDEN]), "#.#", algo, universe="full" if algo == "exact" else "legacy")
     assert [r.c_count for r in built.stats().orderBy("text_id").collect()] == [g[2 + place] for g in GOLDEN]
