@@ -378,7 +378,7 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
         pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= tries).select("a", "b")
         labels = merged(labels, written(_verified(pairs, sets, blocks), "found"))
 
-    # Whatever is left between components: a smaller set's entry meets entries of other components.
+    # Whatever is left between components.
     mine = shared.join(labels, "node")
     mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
     # Each entry with the first of its set's earlier mixed shingles, to meet a partner at the first common one only.
@@ -386,13 +386,12 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     early = numbered.where(F.col("i") <= EARLY).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("early"))
     mine = numbered.join(early, "node").withColumn("early", F.slice("early", F.lit(1), F.least(F.col("i") - 1, F.lit(EARLY)))).drop("i")
     mine = written(mine, "mixed")
-    side = lambda rows: rows.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    small, large = side(mine.where(_smaller())), side(mine)
-    meet = small.toDF("key", "comp_b", "least_b", "most_b").join(large.toDF("key", "comp_a", "least_a", "most_a"), "key")
-    meet = meet.where("comp_a <> comp_b AND least_b <= most_a AND 4 * most_b >= 3 * least_a").select("key", "comp_a", "comp_b")
-    nodes = lambda rows, x: rows.select("key", F.col("comp").alias(f"comp_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("early").alias(f"early_{x}"))
-    met = meet.join(nodes(mine.where(_smaller()), "b"), ["key", "comp_b"]).join(nodes(mine, "a"), ["key", "comp_a"]).where("n_b <= n_a").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
-    once = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # The entries outside a shingle's largest component meet all others: no component meets itself.
+    largest = mine.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    side = lambda rows, x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "pos", "early")])
+    outside = side(mine, "a").join(largest, "key").where("comp_a <> main")
+    met = outside.join(side(mine, "b"), "key").where("comp_a <> comp_b AND (comp_b = main OR node_a < node_b)").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
+    once = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     labels = merged(labels, written(_verified(once, sets, blocks), "found"))
 
     component = of_class.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
