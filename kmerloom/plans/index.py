@@ -13,6 +13,18 @@ from ..operators import index, links, selection, suffixes
 from ..operators.tables import kept
 
 
+def diff_problem(texts: DataFrame, shape: str, max_add: int = 8, min_coverage: int = 3, universe: str = "full", intra: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The selection problem itself: ranked suffixes, intervals and candidate links of a universe."""
+    if universe not in links.UNIVERSES:
+        raise ValueError(f"unknown universe {universe!r}")
+    parsed = Shape(shape)
+    ranked = kept(suffixes.gsa(texts, parsed), "gsa")
+    intervals = kept(suffixes.intervals(ranked), "intervals")
+    if universe == "legacy":
+        return ranked, intervals, links.candidates(ranked, intervals, parsed.span, max_add, min_coverage, intra)
+    return ranked, intervals, links.all_links(ranked, intervals, parsed.span, max_add, min_coverage, sub_runs=universe == "full")
+
+
 @dataclass
 class GappedIndex:
     shape: Shape
@@ -31,17 +43,10 @@ class GappedIndex:
         min_coverage "auto" takes the break-even of the longest text's position width.
         """
         parsed = Shape(shape)
-        if universe not in links.UNIVERSES:
-            raise ValueError(f"unknown universe {universe!r}")
         if min_coverage == "auto":
             longest = texts.agg(F.max(F.length("dna")).alias("n"))
             min_coverage = longest.select(breakeven_coverage(estimated_width(F.coalesce("n", F.lit(0))), max_add)).first()[0]
-        ranked = kept(suffixes.gsa(texts, parsed), "gsa")
-        intervals = kept(suffixes.intervals(ranked), "intervals")
-        if universe == "legacy":
-            found = links.candidates(ranked, intervals, parsed.span, max_add, min_coverage, intra)
-        else:
-            found = links.all_links(ranked, intervals, parsed.span, max_add, min_coverage, sub_runs=universe == "full")
+        ranked, intervals, found = diff_problem(texts, shape, max_add, min_coverage, universe, intra)
         chosen = kept(selection.select(found, ranked, intervals, algo, min_coverage, **options), "chosen")
         return cls.of_links(texts, parsed, ranked, intervals, chosen)
 
