@@ -41,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,13 +160,14 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 ENTRY = T.StructType().add("part", "long").add("task", "long").add("payload", "binary")
 
 
-def entries(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+def entries(docs: DataFrame, buckets: int, text: str = "text", mark: str | None = None) -> DataFrame:
     """Packed entries of a task by bucket of shingles, and, in parts from ``buckets`` on, what stays at home: the part's
-    documents and its frequent shingles' lists. ``task`` numbers the parts: the task's number and the part's."""
+    documents and its frequent shingles' lists. ``task`` numbers the parts: the task's number and the part's. A document
+    carries its value of the long column ``mark``, if that is named."""
 
     def run(batches):
         worker, seen, flushes = TaskContext.get().partitionId(), {}, 0
-        ids, classes, sizes, held, size = [], [], [], [], 0
+        ids, marks, classes, sizes, held, size = [], [], [], [], [], 0
 
         def flush():
             task = (worker << 20) + flushes
@@ -177,7 +178,7 @@ def entries(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
             distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
             frequent = n >= HOT
             listed = ~np.repeat(frequent, n)
-            home = _packed(np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x is None for x in ids], np.uint8), np.frombuffer(b"".join(classes), np.uint8), np.array(sizes, np.uint32), keys[~listed], rows[~listed])
+            home = _packed(np.array([x or 0 for x in ids], np.int64).view(np.uint64), np.array([x is None for x in ids], np.uint8), np.array(marks, np.int64).view(np.uint64), np.frombuffer(b"".join(classes), np.uint8), np.array(sizes, np.uint32), keys[~listed], rows[~listed])
             out = [(buckets + task, task, home)]
             cuts = (np.arange(1, buckets, dtype=np.float64) * (2.0**_BITS / buckets)).astype(np.uint64)
             keys, rows, hot, counts = keys[listed], rows[listed], distinct[frequent], n[frequent].astype(np.uint32)
@@ -188,7 +189,7 @@ def entries(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=ENTRY.names)
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
+            for doc_id, own_mark, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _texts(batch), strict=True):
                 cls = _class(raw)
                 if cls not in seen:
                     own = shingles(raw)
@@ -196,15 +197,17 @@ def entries(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
                     held.append((np.unique(own >> np.uint64(64 - _BITS)), len(ids)))
                     size += len(own)
                 ids.append(doc_id)
+                marks.append(own_mark)
                 classes.append(cls)
                 sizes.append(seen[cls])
                 if size > PART:
                     yield flush()
-                    ids, classes, sizes, held, size, flushes = [], [], [], [], 0, flushes + 1
+                    ids, marks, classes, sizes, held, size, flushes = [], [], [], [], [], 0, flushes + 1
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENTRY)
+    carried = (F.col(mark) if mark else F.lit(0)).cast("long").alias("mark")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), carried).mapInArrow(run, ENTRY)
 
 
 def _counted(frame: pd.DataFrame) -> pd.DataFrame:
@@ -225,12 +228,12 @@ def _counted(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"task": frame["task"], "home": False, "payload": out})
 
 
-DOCUMENT = T.StructType().add("row", "long").add("doc_id", "long").add("cls", "binary").add("n", "integer").add("prefix", "binary").add("items", "binary")
+DOCUMENT = T.StructType().add("row", "long").add("doc_id", "long").add("mark", "long").add("cls", "binary").add("n", "integer").add("prefix", "binary").add("items", "binary")
 
 
 def _documents(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a part of a task: its documents, and for those with shared shingles in the prefix these and the whole shared set."""
-    ids, null, classes, sizes, hot_keys, hot_rows = _unpacked(frame.loc[frame["home"], "payload"].iloc[0])
+    ids, null, marks, classes, sizes, hot_keys, hot_rows = _unpacked(frame.loc[frame["home"], "payload"].iloc[0])
     back = [_unpacked(raw) for raw in frame.loc[~frame["home"], "payload"]]
     take = lambda i, kind: np.concatenate([np.zeros(0, kind), *(b[i] for b in back)])
     hot, hot_rank = take(3, np.uint64), take(4, np.uint8)
@@ -253,12 +256,12 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
     row = (int(frame["task"].iloc[0]) << 24) + np.arange(len(ids))
     raw = classes.tobytes()
     doc_id = pd.Series(ids.view(np.int64)).astype("Int64").mask(null.astype(bool))
-    return pd.DataFrame({"row": row, "doc_id": doc_id, "cls": [raw[16 * i : 16 * i + 16] for i in range(len(ids))], "n": sizes.astype(np.int32), "prefix": prefix, "items": items})
+    return pd.DataFrame({"row": row, "doc_id": doc_id, "mark": marks.view(np.int64), "cls": [raw[16 * i : 16 * i + 16] for i in range(len(ids))], "n": sizes.astype(np.int32), "prefix": prefix, "items": items})
 
 
-def surveyed(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """A row per document: row, doc_id, cls, n, and prefix and items where it may have partners."""
-    sent = entries(docs, buckets, text).withColumn("home", F.lit(buckets))
+def surveyed(docs: DataFrame, buckets: int, text: str = "text", mark: str | None = None) -> DataFrame:
+    """A row per document: row, doc_id, mark, cls, n, and prefix and items where it may have partners."""
+    sent = entries(docs, buckets, text, mark).withColumn("home", F.lit(buckets))
     back = sent.groupBy("part").applyInPandas(_counted, "task long, home boolean, payload binary")
     return back.groupBy("task").applyInPandas(_documents, DOCUMENT)
 
@@ -351,11 +354,11 @@ def _smaller():
     return F.col("pos") * 7 <= F.col("n")
 
 
-def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, component (a label without nulls)."""
+def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3, mark: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, component (a label without nulls), mark (0 if no column is named)."""
     buckets = max(partitions_for(docs), 2 * docs.rdd.getNumPartitions())
-    found = written(surveyed(docs, buckets, text), "survey")
-    per_doc = found.select("row", "doc_id", "cls", "n")
+    found = written(surveyed(docs, buckets, text, mark), "survey")
+    per_doc = found.select("row", "doc_id", "mark", "cls", "n")
     of_class = per_doc.groupBy("cls").agg(F.min("row").alias("node"), F.first("n").alias("n"))
 
     # Prefix entries of classes that share one with another class.
@@ -395,16 +398,29 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     labels = merged(labels, written(_verified(once, sets, blocks), "found"))
 
     component = of_class.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
-    whole = per_doc.join(component, "cls").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
+    whole = per_doc.join(component, "cls").select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "component").select("doc_id", "n_shingles", "component_id", "component")
+    return whole.join(least, "component").select("doc_id", "n_shingles", "component_id", "component", "mark")
+
+
+def _mark(docs: DataFrame) -> Column:
+    """A hash of the whole row, except maps, which Spark does not hash."""
+    known = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    return F.xxhash64(*known, *[c.isNull() for c in known])
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their class, one of each repeated doc_id; all columns stay."""
-    stay = classes(docs, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class: that of the smallest doc_id (nulls last), then of the smallest hash of the row; all columns stay.
+
+    Rows with equal doc_ids, or with none, are told apart by that hash, which is the same wherever a row is computed.
+    Of rows equal in all columns as many stay as make classes of their own (wordless ones do).
+    """
+    docs_marked = docs.withColumn("_mark", _mark(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("first")
+    chosen = classes(docs_marked, text, mark="_mark").groupBy("component").agg(first)
+    stay = chosen.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_kept")).agg(F.count("*").cast("int").alias("_times"))
+    kept = docs_marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept"))).dropDuplicates(["doc_id", "_mark"])
+    return kept.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
