@@ -13,7 +13,7 @@ from ..operators import index, kernels, links, selection, suffixes
 from ..operators.tables import kept
 from ..sources import fasta, generated, models, suites
 from . import sql
-from .index import GappedIndex
+from .index import GappedIndex, diff_problem
 
 QUERIES, ORACLES = {}, {}
 
@@ -286,8 +286,8 @@ def all_links(spark, sf_dir):
 
 @query()
 def ilp_constraints(spark, sf_dir):
-    """The exact selection problem over the candidates, as linear constraints."""
-    return models.constraints(_found(spark, sf_dir)[0])
+    """The exact selection problem over every decodable link (the full universe), as linear constraints."""
+    return models.constraints(diff_problem(_benchmark(spark, sf_dir), SMALL.pattern, MAX_ADD, LEAST)[2])
 
 
 # Compressed indexes
@@ -323,9 +323,9 @@ def decode_documents(spark, sf_dir):
 
 @query()
 def exact_links(spark, sf_dir):
-    """Per item: |C| of the search over all candidates, whether it is certainly the least, and greedy's |C|."""
+    """Per item: |C| of the search over every decodable link (the full universe), whether it is certainly the least, and greedy's |C|."""
     items = _benchmark(spark, sf_dir)
-    best = GappedIndex.build(items, SMALL.pattern, "exact", nodes=20_000)
+    best = GappedIndex.build(items, SMALL.pattern, "exact", universe="full")
     whole = best.chosen.groupBy("text_id").agg(F.min("whole").alias("optimal"))
     greedy = GappedIndex.build(items, SMALL.pattern, "greedy").stats().select("text_id", F.col("c_count").alias("greedy"))
     joined = best.stats().join(whole, "text_id", "left").join(greedy, "text_id")
