@@ -5,13 +5,17 @@ Two texts are equal when they are identical after deleting every character of
 
 1. *Locally*: Spark's map-side aggregate keeps one row per (digest, salt, content) in each
    task, whatever number of copies the task reads.
-2. *Salted merge*: those rows meet by (digest, salt). The salt comes from the input
-   partition, so the copies of a hot text spread over ``salts`` reducers.
-3. *Globally*: at most ``salts`` winners per content meet by (digest, content).
-
-Content is a grouping key at every stage, so a digest collision cannot merge two texts.
-Each document then looks its group up by SHA-256, a second hash and the length; that join
-carries no text, and adaptive execution splits its skewed partitions.
+2. *Salted merge*: those rows meet by (digest, salt). The salt comes from the input partition
+   where the digest is hot, so that the copies of a hot text spread over ``salts`` reducers; other
+   digests have one salt, so that their content moves once.
+3. *Globally*: at most ``salts`` winners per hot content meet by (digest, content).
+
+Content is a grouping key at every stage, so a digest collision cannot merge two texts. A digest is
+hot if it belongs to more than 1 / HOT of all documents: fewer than HOT digests, found by a count of
+one small row a document, which is kept as a table. By its key (SHA-256, a second hash, length)
+each document then looks its group up, hot keys by a salt; that join carries no text.
+``keep_one`` joins whole rows, once, by key and rank: the copies of a text have different ranks,
+and rows of equal rank are combined in the task that reads them.
 
 Defined results: an empty table gives no rows; a null or blank text belongs to the group of
 the empty text; a null doc_id sorts after every other one; repeated rows count one by one in
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, text_or_empty
+from ._common import SPACE, text_or_empty, written
 
 #: Rank of a row within its group as one number: code points first, then the smaller doc_id, null last.
 #: A fixed-width decimal keeps the aggregation hash-based, which a struct would not.
@@ -54,50 +58,66 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     ).select("doc_id", "n", "content", F.unhex(F.sha2("content", 256)).alias("digest"))
 
 
-def winners(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
-    """One row per distinct content: digest, other (hash), length, top (rank of the best row), group_size."""
-    keyed = _keyed(docs, text).withColumn("salt", F.spark_partition_id() % salts)
-    ranked = keyed.withColumn("rank", _rank(F.col("n"), F.col("doc_id")))
-    salted = ranked.groupBy("digest", "salt", "content").agg(F.max("rank").alias("rank"), F.count("*").alias("copies"))
-    return (
-        salted.groupBy("digest", "content")
-        .agg(F.max("rank").alias("top"), F.sum("copies").alias("group_size"))
-        .select("digest", F.xxhash64("content").alias("other"), F.octet_length("content").alias("length"), "top", "group_size")
-    )
+#: Hot digests are those of more than 1 / HOT of all documents.
+HOT = 4096
+KEY = ["digest", "other", "length"]
+
+
+def _hashes() -> list[Column]:
+    return [F.col("digest"), F.xxhash64("content").alias("other"), F.octet_length("content").alias("length")]
+
+
+def keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A small row per document: digest, other (hash), length of its content, and rank."""
+    ranked = _keyed(docs, text).select(*_hashes(), _rank(F.col("n"), F.col("doc_id")).alias("rank"))
+    return written(ranked, "keys")
+
+
+def hot_digests(of_documents: DataFrame) -> DataFrame:
+    """digest, hot (true): fewer than HOT rows, so that they can be broadcast."""
+    most = of_documents.count() // HOT
+    counted = of_documents.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return written(counted.select("digest", F.lit(True).alias("hot")), "hot")
+
+
+def winners(docs: DataFrame, hot: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
+    """One row per distinct content: digest, other, length, top (rank of the best row), group_size, hot."""
+    keyed = _keyed(docs, text).join(F.broadcast(hot), "digest", "left")
+    salt = F.when(F.col("hot"), F.spark_partition_id() % salts).otherwise(0)
+    ranked = keyed.select("digest", F.col("hot").isNotNull().alias("hot"), salt.alias("salt"), "content", _rank(F.col("n"), F.col("doc_id")).alias("rank"))
+    merged = ranked.groupBy("digest", "hot", "salt", "content").agg(F.max("rank").alias("top"), F.count("*").alias("group_size"))
+    # Content goes on only where other salts may hold the same.
+    merged = written(merged.select(*_hashes(), "hot", "top", "group_size", F.when(F.col("hot"), F.col("content")).alias("content")), "salted")
+    whole = merged.where("hot").groupBy(*KEY, "content").agg(F.max("top").alias("top"), F.sum("group_size").alias("group_size"), F.lit(True).alias("hot"))
+    columns = [*KEY, "top", "group_size", "hot"]
+    return merged.where("NOT hot").select(*columns).unionByName(whole.select(*columns))
 
 
 def decide(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    rows = _keyed(docs, text).select(
-        "doc_id", "n", "digest", F.xxhash64("content").alias("other"), F.octet_length("content").alias("length")
-    )
-    joined = rows.join(winners(docs, text, salts), ["digest", "other", "length"])
+    own = keys(docs, text)
+    hot = hot_digests(own)
+    best = winners(docs, hot, text, salts).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    spread = F.when(F.col("hot"), (F.monotonically_increasing_id() % salts).cast("int")).otherwise(0)
+    rows = own.join(F.broadcast(hot), "digest", "left").withColumn("salt", spread)
+    joined = rows.select(*KEY, "salt", "rank").join(best.select(*KEY, "salt", "top", "group_size"), [*KEY, "salt"])
     return joined.select(
-        "doc_id",
+        _id_of(F.col("rank")).alias("doc_id"),
         _id_of(F.col("top")).alias("keep_id"),
         "group_size",
-        (_rank(F.col("n"), F.col("doc_id")) == F.col("top")).alias("kept"),
+        (F.col("rank") == F.col("top")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
     """The rows that stay, with all their columns; one of each set of repeated rows."""
-    best = winners(docs, text, salts).select(
-        _id_of(F.col("top")).alias("_keep_id"), F.col("top").alias("_top"), F.lower(F.hex("digest")).alias("_digest")
-    )
-    content = F.regexp_replace(text_or_empty(text), SPACE, "")
-    rows = docs.withColumns(
-        {
-            "_digest_": F.sha2(content, 256),
-            "_rank_": _rank(F.char_length(text_or_empty(text)), F.col("doc_id")),
-        }
-    )
-    # On doc_id alone, so that dropDuplicates finds its rows already together.
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_keep_id"))).where(
-        (F.col("_digest") == F.col("_digest_")) & (F.col("_top") == F.col("_rank_"))
-    )
-    return kept.dropDuplicates(["doc_id", "_digest_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = winners(docs, hot_digests(keys(docs, text)), text, salts).select(*KEY, F.col("top").alias("rank"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    content = F.regexp_replace(text_or_empty(text), SPACE, "").alias("content")
+    rank = _rank(F.char_length(text_or_empty(text)), F.col("doc_id").cast("long")).alias("rank")
+    rows = docs.select(whole, content, rank).select("row", F.unhex(F.sha2("content", 256)).alias("digest"), "content", "rank").select("row", *_hashes(), "rank")
+    return rows.dropDuplicates([*KEY, "rank"]).join(best, [*KEY, "rank"], "left_semi").select("row.*")
 
 
 SQL = r"""
