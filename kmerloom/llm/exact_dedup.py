@@ -11,7 +11,7 @@ Two texts are equal when they are identical after deleting every character of
 3. *Globally*: at most ``salts`` winners per hot content meet by (digest, content).
 
 Content is a grouping key at every stage, so a digest collision cannot merge two texts. A digest is
-hot if it belongs to more than 1 / HOT of all documents: fewer than HOT digests, found by a count of
+hot if it belongs to more than 1 / 4096 of all documents: fewer than 4096 digests, found by a count of
 one small row a document, which is kept as a table. By its key (SHA-256, a second hash, length)
 each document then looks its group up, hot keys by a salt; that join carries no text.
 ``keep_one`` joins whole rows, once, by key and rank: the copies of a text have different ranks,
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, text_or_empty, written
+from ._common import SPACE, hot_values, packed_row, salted_join, text_or_empty, written
 
 #: Rank of a row within its group as one number: code points first, then the smaller doc_id, null last.
 #: A fixed-width decimal keeps the aggregation hash-based, which a struct would not.
@@ -58,8 +58,6 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     ).select("doc_id", "n", "content", F.unhex(F.sha2("content", 256)).alias("digest"))
 
 
-#: Hot digests are those of more than 1 / HOT of all documents.
-HOT = 4096
 KEY = ["digest", "other", "length"]
 
 
@@ -73,13 +71,6 @@ def keys(docs: DataFrame, text: str = "text") -> DataFrame:
     return written(ranked, "keys")
 
 
-def hot_digests(of_documents: DataFrame) -> DataFrame:
-    """digest, hot (true): fewer than HOT rows, so that they can be broadcast."""
-    most = of_documents.count() // HOT
-    counted = of_documents.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return written(counted.select("digest", F.lit(True).alias("hot")), "hot")
-
-
 def winners(docs: DataFrame, hot: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
     """One row per distinct content: digest, other, length, top (rank of the best row), group_size, hot."""
     keyed = _keyed(docs, text).join(F.broadcast(hot), "digest", "left")
@@ -96,11 +87,8 @@ def winners(docs: DataFrame, hot: DataFrame, text: str = "text", salts: int = 16
 def decide(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     own = keys(docs, text)
-    hot = hot_digests(own)
-    best = winners(docs, hot, text, salts).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    spread = F.when(F.col("hot"), (F.monotonically_increasing_id() % salts).cast("int")).otherwise(0)
-    rows = own.join(F.broadcast(hot), "digest", "left").withColumn("salt", spread)
-    joined = rows.select(*KEY, "salt", "rank").join(best.select(*KEY, "salt", "top", "group_size"), [*KEY, "salt"])
+    hot = hot_values(own, "digest")
+    joined = salted_join(own, winners(docs, hot, text, salts).drop("hot"), KEY, hot)
     return joined.select(
         _id_of(F.col("rank")).alias("doc_id"),
         _id_of(F.col("top")).alias("keep_id"),
@@ -112,11 +100,10 @@ def decide(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
     """The rows that stay, with all their columns; one of each set of repeated rows."""
-    best = winners(docs, hot_digests(keys(docs, text)), text, salts).select(*KEY, F.col("top").alias("rank"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    best = winners(docs, hot_values(keys(docs, text), "digest"), text, salts).select(*KEY, F.col("top").alias("rank"))
     content = F.regexp_replace(text_or_empty(text), SPACE, "").alias("content")
     rank = _rank(F.char_length(text_or_empty(text)), F.col("doc_id").cast("long")).alias("rank")
-    rows = docs.select(whole, content, rank).select("row", F.unhex(F.sha2("content", 256)).alias("digest"), "content", "rank").select("row", *_hashes(), "rank")
+    rows = docs.select(packed_row(docs), content, rank).select("row", F.unhex(F.sha2("content", 256)).alias("digest"), "content", "rank").select("row", *_hashes(), "rank")
     return rows.dropDuplicates([*KEY, "rank"]).join(best, [*KEY, "rank"], "left_semi").select("row.*")
 
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import word_count
+from ._common import packed_row, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Schedule slopes beside the weights: heavy sources lead, light ones come late.
@@ -114,13 +114,12 @@ def stream(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """
     planned = plan(docs, text, whole_documents=True, **options).where("taken > 0")
     uses = planned.dropDuplicates(["doc_id", "source", "size"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "target", "slope", "source_size", "offset",
-        F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).alias("_epoch"),
-    )
-    uses = uses.select("_id", "_source", "_size", position(F.col("offset") + F.col("_epoch") * F.col("source_size"), F.col("target"), F.col("slope")).alias("_position"))
-    rows = docs.withColumn("_words", word_count(text))
-    mixed = rows.join(uses, rows.doc_id.eqNullSafe(uses._id) & rows.source.eqNullSafe(uses._source) & (F.col("_words") == F.col("_size")))
-    return mixed.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+        "doc_id", "source", "size", "target", "slope", "source_size", "offset", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).alias("epoch")
+    )
+    uses = uses.select("doc_id", "source", "size", position(F.col("offset") + F.col("epoch") * F.col("source_size"), F.col("target"), F.col("slope")).alias("position"))
+    rows = docs.select(packed_row(docs), "doc_id", "source", word_count(text).alias("size"))
+    mixed = rows.join(uses, rows.doc_id.eqNullSafe(uses.doc_id) & rows.source.eqNullSafe(uses.source) & (rows["size"] == uses["size"])).select("row", rows.doc_id, "position")
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 SQL = r"""

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import partitions_for, written
+from ._common import hot_values, packed_row, partitions_for, salted_join, written
 
 WORDS = 5
 #: Texts of one part of a task from which on a shingle is counted instead of listed, and entries of a part.
@@ -243,7 +243,7 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
     rows = np.concatenate([take(1, np.uint32), hot_rows]).astype(np.int64)
     rank = np.concatenate([take(2, np.uint8), ranks_of_hot]).astype(np.uint64)
     order = np.lexsort((rank << np.uint64(_BITS) | keys, rows))
-    keys, rows = keys[order], rows[order]
+    keys, rows, rank = keys[order], rows[order], rank[order]
     edges = np.searchsorted(rows, np.arange(len(ids) + 1))
     prefix, items = [None] * len(ids), [None] * len(ids)
     for i in range(len(ids)):
@@ -251,7 +251,8 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
         alone = int(sizes[i]) - len(own)
         inside = prefix_length(int(sizes[i])) - alone
         if len(own) and inside > 0:
-            prefix[i] = np.concatenate(([np.uint64(alone)], own[:inside])).astype("<u8").tobytes()
+            ranked = own[:inside] | rank[edges[i] : edges[i] + inside] << np.uint64(_BITS)
+            prefix[i] = np.concatenate(([np.uint64(alone)], ranked)).astype("<u8").tobytes()
             items[i] = _packed_set(own)
     row = (int(frame["task"].iloc[0]) << 24) + np.arange(len(ids))
     raw = classes.tobytes()
@@ -266,6 +267,26 @@ def surveyed(docs: DataFrame, buckets: int, text: str = "text", mark: str | None
     return back.groupBy("task").applyInPandas(_documents, DOCUMENT)
 
 
+#: Entries of a shingle that meet in one place, on average.
+SALTED = 512
+
+
+def _salts(key: Column, dimensions: int = 1) -> Column:
+    """Places over which a shingle's entries are dealt, by the document frequency that the key carries above its hash."""
+    frequency = F.pow(F.lit(2.0), F.shiftright(key, _BITS) / 16)
+    return F.greatest(F.lit(1), F.ceil(F.pow(frequency / SALTED, F.lit(1 / dimensions))).cast("int"))
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """entries with their place among those of the key."""
+    return entries.withColumn("salt", F.pmod(F.xxhash64("node"), _salts(F.col("key"))).cast("int"))
+
+
+def _everywhere(keys: DataFrame) -> DataFrame:
+    """A row per key as one for each place."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("key")) - 1)))
+
+
 def _prefix_rows(batches):
     for batch in batches:
         for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -360,23 +381,24 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     found = written(surveyed(docs, buckets, text, mark), "survey")
     per_doc = found.select("row", "doc_id", "mark", "cls", "n")
     of_class = per_doc.groupBy("cls").agg(F.min("row").alias("node"), F.first("n").alias("n"))
+    hot_cls = hot_values(per_doc, "cls")
 
     # Prefix entries of classes that share one with another class.
     rows = found.where("prefix is not null").select("row", "prefix").mapInArrow(_prefix_rows, "key long, row long, pos int")
-    node_of_row = found.where("prefix is not null").select("row", "cls").join(of_class, "cls").select("row", "node", "n")
+    node_of_row = salted_join(found.where("prefix is not null").select("row", "cls"), of_class, ["cls"], hot_cls).select("row", "node", "n")
     of_nodes = written(rows.join(node_of_row, "row").groupBy("key", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "shared")
     several = of_nodes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
-    shared = written(of_nodes.join(several, "key", "left_semi"), "shared")
+    shared = written(_dealt(of_nodes).join(_everywhere(several), ["key", "salt"], "left_semi"), "shared")
     active = written(shared.select("node", "n").distinct(), "active")
 
     sets = written(found.select(F.col("row").alias("node"), "n", "items").join(active.select("node"), "node", "left_semi"), "sets")
     blocks = max(8, -(-(sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // _BLOCK_BYTES))
     labels = active.select("node", F.col("node").alias("comp"))
-    for salt in range(rounds):
+    for turn in range(rounds):
         mine = shared.join(labels, "node")
-        lead = mine.groupBy("key").agg(F.min(F.struct((~_smaller()).alias("last"), F.xxhash64(F.lit(salt), "node"), "node", "comp", "n", "pos")).alias("lead"))
+        lead = mine.groupBy("key").agg(F.min(F.struct((~_smaller()).alias("last"), F.xxhash64(F.lit(turn), "node"), "node", "comp", "n", "pos")).alias("lead"))
         lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "comp", "n", "pos")]).withColumnRenamed("node_b", "b")
-        met = mine.withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(lead, "key").where("comp <> comp_b").where(_FIRST)
+        met = mine.withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(_everywhere(lead), ["key", "salt"]).where("comp <> comp_b").where(_FIRST)
         most = Window.partitionBy("a").orderBy(F.col("keys").desc(), "b")
         pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= tries).select("a", "b")
         labels = merged(labels, written(_verified(pairs, sets, blocks), "found"))
@@ -385,22 +407,28 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     mine = shared.join(labels, "node")
     mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
     # Each entry with the first of its set's earlier mixed shingles, to meet a partner at the first common one only.
-    numbered = mine.join(mixed, "key", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")))
+    numbered = mine.join(_everywhere(mixed), ["key", "salt"], "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")))
     early = numbered.where(F.col("i") <= EARLY).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("early"))
     mine = numbered.join(early, "node").withColumn("early", F.slice("early", F.lit(1), F.least(F.col("i") - 1, F.lit(EARLY)))).drop("i")
     mine = written(mine, "mixed")
     # The entries outside a shingle's largest component meet all others: no component meets itself.
     largest = mine.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    side = lambda rows, x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "pos", "early")])
-    outside = side(mine, "a").join(largest, "key").where("comp_a <> main")
-    met = outside.join(side(mine, "b"), "key").where("comp_a <> comp_b AND (comp_b = main OR node_a < node_b)").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
+    side = lambda rows, x, *more: rows.select("key", *more, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "pos", "early")])
+    outside = mine.join(_everywhere(largest), ["key", "salt"]).where("comp <> main")
+    # A frequent shingle's entries meet in a square of places, one side dealt over its rows, the other over its columns.
+    edge = _salts(F.col("key"), 2)
+    own, each = F.pmod(F.xxhash64("node"), edge).cast("int"), F.explode(F.sequence(F.lit(0), edge - 1))
+    left = side(outside.withColumns({"x": own, "y": each}), "a", "x", "y", "main")
+    right = side(mine.withColumns({"x": each, "y": own}), "b", "x", "y")
+    met = left.join(right, ["key", "x", "y"]).where("comp_a <> comp_b AND (comp_b = main OR node_a < node_b)").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
     once = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     labels = merged(labels, written(_verified(once, sets, blocks), "found"))
 
     component = of_class.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
-    whole = per_doc.join(component, "cls").select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
+    whole = salted_join(per_doc, component, ["cls"], hot_cls).select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
+    whole = written(whole, "classes")
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "component").select("doc_id", "n_shingles", "component_id", "component", "mark")
+    return salted_join(whole, least, ["component"], hot_values(whole, "component")).select("doc_id", "n_shingles", "component_id", "component", "mark")
 
 
 def _mark(docs: DataFrame) -> Column:
@@ -415,12 +443,14 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     Rows with equal doc_ids, or with none, are told apart by that hash, which is the same wherever a row is computed.
     Of rows equal in all columns as many stay as make classes of their own (wordless ones do).
     """
-    docs_marked = docs.withColumn("_mark", _mark(docs))
+    rows = docs.select(packed_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), _mark(docs).alias("mark"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("first")
-    chosen = classes(docs_marked, text, mark="_mark").groupBy("component").agg(first)
-    stay = chosen.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_kept")).agg(F.count("*").cast("int").alias("_times"))
-    kept = docs_marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_kept"))).dropDuplicates(["doc_id", "_mark"])
-    return kept.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = classes(rows, mark="mark").groupBy("component").agg(first).select("first.*")
+    # Plain columns as keys, so that equal rows are combined where they are read and whole rows move once.
+    key = lambda df, *more: df.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "mark", *more)
+    stay = key(chosen).groupBy("id", "none", "mark").agg(F.count("*").cast("int").alias("times"))
+    kept = key(rows, "row").dropDuplicates(["id", "none", "mark"]).join(stay, ["id", "none", "mark"])
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -39,5 +39,6 @@ def nothing(docs):
 @pytest.fixture(scope="session")
 def clashing(docs):
     """Extra columns named like the operators' own."""
-    names = ["size", "digest", "content", "rank", "salt", "kept", "keep_id", "key", "bucket", "item", "shard", "slot", "component", "node", "cls", "n", "position", "score", "lang_pred", "cells", "next_text", "piece", "length"]
+    names = ["size", "digest", "content", "rank", "salt", "kept", "keep_id", "key", "bucket", "item", "shard", "slot", "component", "node", "cls", "n", "position", "score", "lang_pred", "cells", "next_text", "piece", "length",
+             "row", "mark", "none", "id", "times", "hot", "other", "top", "copies", "words", "epoch", "offset", "target", "taken", "source_size", "_id", "_kept", "_mark", "_times", "_top", "_keep_id", "_digest", "_digest_", "_rank_", "_size", "_source", "_epoch", "_position", "_words", "_row", "_cell", "_bin", "_salt", "_n", "_place", "_range", "_first", "_into", "_home", "task", "part", "home", "payload", "prefix", "items", "spans", "chunk", "group", "held_out"]
     return docs.withColumns({c: F.lit(1) for c in names})

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kmerloom.llm import mixing
 
@@ -25,3 +27,23 @@ def test_stages(spark, docs):
             assert Counter(ids) == Counter({d: n for d, n in taken.items() if n})
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, "")
     assert {r.doc_id for r in packed.collect()} == set(ids)
+
+
+def test_clashing_and_empty(spark, clashing, nothing):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, clashing.withColumn("score", F.lit("mine")), "")
+        assert made.columns == clashing.columns and {r.score for r in made.collect()} == {"mine"}, name
+        assert stage(spark, nothing, "").columns == nothing.columns and stage(spark, nothing, "").isEmpty()
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, nothing, "").isEmpty()
+    assert {r.doc_id for r in last(spark, clashing, "").collect()} == {r.doc_id for r in clashing.collect()}
+
+
+def test_null_and_repeated_rows(spark):
+    text = " ".join(f"word{i} of some plain prose" for i in range(40))
+    other = " ".join(f"further {i} letters that stand here" for i in range(40))
+    table = [(None, text, "en", "a", 1), (None, other, "en", "a", 1), (None, None, None, None, None), (4, text, "en", "a", 1), (4, text, "en", "a", 1), (5, "", "en", None, 0)]
+    kept = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.written(stage(spark, kept, ""), name)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(4, text), (None, other)])
