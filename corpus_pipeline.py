@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept, as a Parquet table. All but the last return the
 columns of ``documents``; the last returns packed pieces (doc_id, piece, start, length,
 ids_crc32, sequence_id, offset). A document that the mix repeats is packed once for each use.
+Defined results, for every stage: an empty table gives an empty one; a null or letterless text goes in
+stage one (so later stages see none from ``run``, but take them: null counts as the empty text); null
+doc_ids are documents like any others, told apart by their texts; of repeated rows one stays after
+exact dedup; ties go to the smallest doc_id, null last; extra columns pass through all stages but
+the last, whatever their names, those of the operators' own columns included.
+
 The rows cannot be expressed in SQL (a trained network, tokenizers), so ORACLE_SQL is None; the
 tests hold every stage against a brute-force version.
 """
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from kmerloom.llm._common import documents, written
+from kmerloom.llm._common import documents, packed_row, written
 
 #: Below this probability of its best language a document counts as written in none of them.
 LEAST_SCORE = 0.3
@@ -21,9 +27,9 @@ LEAST_SCORE = 0.3
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters or with no likely language go."""
-    columns = docs.columns
-    found = language_id.predict(docs, language_id.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    rows = docs.select(packed_row(docs), "text")
+    found = language_id.predict(rows, language_id.train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
