@@ -15,12 +15,14 @@ target stops at ``max_repeat`` times its source's size and the excess is shared
 weight. That repeated resharing ends at target = min(cap, weight * level) for one level,
 which is found by sorting the sources by cap / weight; only per-source rows meet there.
 
-Cumulative offsets are summed in two levels: a source's queue is cut into ``buckets`` by its
-order key, bucket totals are summed over buckets, and rows are summed inside a bucket, so a
-source with a third of all rows is never one task's work.
+Cumulative offsets are summed in two levels: a source's queue is cut into buckets by the leading
+bits of its order key, as many as the table needs for about ``part`` rows each, bucket totals are
+summed over buckets, and rows are summed inside a bucket, so a source with a third of all rows
+is never one task's work. Rows without a doc_id have their text's MD5 as key; those of one key are
+alike and dealt over SPLIT further buckets.
 
 Defined results: an empty table gives no rows; a null text has size 0 and is never taken;
-ids may repeat or be null (null is queued last of its bucket); with no words at all, every
+ids may repeat or be null; with no words at all, every
 target is 0. Repeated rows are queued one after another in undefined mutual order, which
 changes no figure of the source. Extra columns are ignored by the plan.
 """
@@ -60,23 +62,29 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int =
     )
 
 
-def _source_sizes(sized: DataFrame, buckets: int) -> DataFrame:
-    """Words per source and bucket of its queue: at most sources * buckets rows."""
+def _source_sizes(sized: DataFrame) -> DataFrame:
+    """Words per source and bucket of its queue."""
     return sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
 
 
-def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, buckets: int = 1024, whole_documents: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words), position (of its first use).
+#: Buckets of rows of one key that have no doc_id.
+SPLIT = 64
+
+
+def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, part: int = 50_000, whole_documents: bool = False) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken (words), position (of its first use), last_position.
 
     The last document that a source still needs is taken in part; with whole_documents it is
-    taken whole if at least half of it is needed and otherwise not.
+    taken whole if at least half of it is needed and otherwise not. Positions are null where nothing is taken.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    bits = max(6, (docs.count() // part).bit_length())
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(text), F.lit("")))
+    leading = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)) * SPLIT
     sized = docs.select(
         "doc_id", "source", word_count(text).alias("size"), key.alias("key"),
-        (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % buckets).cast("int").alias("bucket"),
+        (leading + F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % SPLIT).otherwise(0)).alias("bucket"),
     )
-    parts = _source_sizes(sized, buckets)
+    parts = _source_sizes(sized)
     sums = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, slopes, max_repeat)
     queue = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("ahead", F.coalesce(F.sum("words").over(queue), F.lit(0)))
@@ -92,9 +100,10 @@ def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, ma
     if whole_documents:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
     taken = F.least(full * F.col("size") + part, F.col("size") * max_repeat).cast("long")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        position(F.col("offset"), F.col("target"), F.col("slope")).alias("position"), "offset", "slope",
+    at = lambda offset: position(offset, F.col("target"), F.col("slope"))
+    return joined.withColumn("taken", taken).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, at(F.col("offset"))).alias("position"),
+        F.when(F.col("taken") > 0, at(F.col("offset") + (F.ceil(F.col("taken") / F.col("size")) - 1) * F.col("source_size"))).alias("last_position"), "offset", "slope",
     )
 
 
@@ -125,11 +134,12 @@ def stream(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
+         CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight,
+         CAST([-0.5, 0.0, 0.5][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS slope
   FROM sized GROUP BY source
 ), levels AS (
   SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))
@@ -139,19 +149,26 @@ WITH sized AS (
 ), fixed AS (
   SELECT arg_min(level, 3.0 * source_size / weight) AS level FROM levels WHERE 3 * source_size > weight * level
 ), targets AS (
-  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * fixed.level) AS target FROM sources, fixed
+  SELECT source, source_size, slope, least(CAST(3 * source_size AS DOUBLE), weight * fixed.level) AS target FROM sources, fixed
 ), queued AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS want,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || substr(key, 1, 8))::BIGINT % 1024, key, s.doc_id
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS want,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key, s.doc_id
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), used AS (
+  SELECT *, CAST(want // source_size * size + greatest(0, least(size, want % source_size - ahead)) AS BIGINT) AS taken FROM queued
+), due AS (
+  SELECT *, least(ahead / target, 1.0) AS u, least((ahead + (ceil(taken / size) - 1) * source_size) / target, 1.0) AS v FROM used
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(want // source_size * size + greatest(0, least(size, want % source_size - ahead)) AS BIGINT) AS taken
-FROM queued
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN round(2 * u / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)), 6) END AS position,
+       CASE WHEN taken > 0 THEN round(2 * v / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * v)), 6) END AS last_position
+FROM due
 """
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     mixed = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round("last_position", 6).alias("last_position")
+    )

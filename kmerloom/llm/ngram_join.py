@@ -268,7 +268,7 @@ def surveyed(docs: DataFrame, buckets: int, text: str = "text", mark: str | None
 
 
 #: Entries of a shingle that meet in one place, on average.
-SALTED = 512
+SALTED = 128
 
 
 def _salts(key: Column, dimensions: int = 1) -> Column:

@@ -2,24 +2,26 @@
 
 *Law*: ``bytes`` - shard sizes come out near equal.
 
-Best fit needs all sizes in one order, which no single task may hold at scale. So the items
-that the driver packs are bounded by construction, whatever the input:
+Groups of one size are interchangeable, so the driver packs sizes: one (bytes, groups) row for
+each distinct size. Sizes enter, largest first; a size enters the shard with the least remaining
+capacity that still holds it, as often as it fits there, then the next one: shard by shard the
+outcome of best fit over the single groups. Shards stand in a treap ordered by
+(remaining capacity, shard), a balanced tree. Capacity is the smallest one, found by
+bisection, for which all groups fit. Distinct sizes are at most 2 * sqrt(bytes in all): those
+below sqrt(bytes) are that many at most, and so are the groups above.
 
-- a group whose bytes reach 1 / (n_shards * FINE) of the total is an item of its own; there
-  are at most n_shards * FINE such groups. One that exceeds a shard's capacity cannot stay
-  whole under any equal-bytes law: it is cut into slices of at most that same fraction.
-- all smaller groups are tied, whole, into ``bundles`` bundles by digest.
+Back in Spark, the groups of a size are numbered (large sizes in parts of about ``PART`` groups,
+so that no window holds all groups of a frequent size), and a number tells the shard.
 
-Items enter, largest first, the shard with the least remaining capacity that still holds
-them; shards stand in a treap ordered by (remaining capacity, shard), a balanced tree.
-Capacity is the smallest one, found by bisection, for which all items fit.
+A group above a shard's mean size cannot stay whole under any equal-bytes law (there are
+fewer than n_shards of them); it is cut by rows into slices of about 1 / FINE of a mean shard.
 
-Slots are numbered per item (row_number inside an item, offset by the items before it in
-the shard), so no window spans a whole shard. A cut group's slices are windows of their own.
+Documents are read once, into a table of one small row each with a row number; from that the
+slots of a shard are numbered in parts of about ``PART`` rows as well.
 
 Defined results: an empty table gives no rows; a null text has size 16, crc32 0 and forms a
-group with other null texts; repeated rows are members of their group like any other, in
-undefined mutual order; a null doc_id is numbered first. Extra columns are ignored.
+group with other null texts; repeated rows are members of their group like any other; mutual
+order in a shard is by hash. Null doc_ids change nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import random
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import text_or_empty
+from ._common import hot_values, salted_join, text_or_empty, written
 
-#: A group above 1 / FINE of a mean shard is packed by itself.
-FINE = 64
+#: Slices of a mean shard into which a group that exceeds one is cut; rows of a window.
+FINE, PART = 64, 200_000
+#: Distinct sizes up to which their table is broadcast (about 50 bytes each).
+BROADCAST = 1_000_000
 
 
 class _Treap:
@@ -85,88 +88,100 @@ class _Treap:
         return best
 
 
-def best_fit_decreasing(items: list[tuple[int, int]], n_shards: int, capacity: int) -> dict[int, int] | None:
-    """items: (size, item), largest first. Shard by item, or None where they do not fit."""
+def best_fit_decreasing(classes: list[tuple[int, int]], n_shards: int, capacity: int) -> list[list[tuple[int, int]]] | None:
+    """classes: (size, number of items), largest size first. Runs (number of items, shard) of each, or None where they do not fit."""
     tree = _Treap()
     for shard in range(n_shards):
         tree.add((capacity, shard))
-    shards = {}
-    for size, item in items:
-        found = tree.ceiling((size, -1))
-        if found is None:
-            return None
-        tree.remove(found)
-        tree.add((found[0] - size, found[1]))
-        shards[item] = found[1]
-    return shards
-
-
-def tightest(items: list[tuple[int, int]], n_shards: int) -> dict[int, int]:
+    out = []
+    for size, left in classes:
+        runs = []
+        while left:
+            found = tree.ceiling((size, -1))
+            if found is None:
+                return None
+            n = min(left, found[0] // size)  # the tightest shard stays the tightest as long as it holds one more
+            tree.remove(found)
+            tree.add((found[0] - n * size, found[1]))
+            runs.append((n, found[1]))
+            left -= n
+        out.append(runs)
+    return out
+
+
+def tightest(classes: list[tuple[int, int]], n_shards: int) -> list[list[tuple[int, int]]]:
     """Best fit under (near) the least capacity at which all items fit."""
-    items = sorted(items, key=lambda x: (-x[0], x[1]))
-    total = sum(size for size, _ in items)
-    low = max([-(-total // n_shards), *(size for size, _ in items[:1])])
-    high = low + max([0, *(size for size, _ in items[:1])]) + 1
-    found = best_fit_decreasing(items, n_shards, high)
+    total, largest = sum(size * n for size, n in classes), classes[0][0] if classes else 0
+    low = max(-(-total // n_shards), largest)
+    high = low + largest + 1
+    found = best_fit_decreasing(classes, n_shards, high)
     while found is None:
         high *= 2
-        found = best_fit_decreasing(items, n_shards, high)
+        found = best_fit_decreasing(classes, n_shards, high)
     while high - low > max(1, low // 4096):
         middle = (low + high) // 2
-        if (fits := best_fit_decreasing(items, n_shards, middle)) is None:
+        if (fits := best_fit_decreasing(classes, n_shards, middle)) is None:
             low = middle
         else:
             high, found = middle, fits
     return found
 
 
-def assign(docs: DataFrame, n_shards: int = 40, text: str = "text", bundles: int = 8192) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
-    rows = docs.select(
+def _numbered(rows: DataFrame, group: str, sizes: DataFrame, order: str) -> DataFrame:
+    """rows with ``rank``, from 0 within the group. sizes: group, many (its number of rows). Windows hold about PART rows."""
+    wide = F.ceil(F.col("many") / F.lit(PART)).cast("int")
+    split = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(order), F.greatest(wide, F.lit(1))).cast("int"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = split.where(F.col("many") > PART).groupBy(group, "part").agg(F.count("*").alias("own")).withColumn("start", F.coalesce(F.sum("own").over(before), F.lit(0))).drop("own")
+    within = F.row_number().over(Window.partitionBy(group, "part").orderBy(order)) - 1
+    return split.withColumn("within", within).join(F.broadcast(starts), [group, "part"], "left").withColumn("rank", F.col("within") + F.coalesce("start", F.lit(0))).drop("many", "part", "within", "start")
+
+
+def _table(rows: DataFrame, text: str) -> DataFrame:
+    small = rows.select(
         "doc_id",
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(text_or_empty(text)).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b"")).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    piece = max(1, total // (n_shards * FINE))
-    large = groups.where(F.col("bytes") > piece).collect()  # fewer than n_shards * FINE rows
-    large = sorted((bytes(r.digest), r.bytes, -(-r.bytes // piece)) for r in large)
-    names = spark.createDataFrame(
-        [(d, bundles + sum(x[2] for x in large[:i]), n) for i, (d, _, n) in enumerate(large)],
-        T.StructType().add("digest", "binary").add("first", "long").add("slices", "long"),
-    )
-    rows = rows.join(F.broadcast(names), "digest", "left").withColumn(
-        "item",
-        F.coalesce(
-            F.col("first") + F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.col("slices")),
-            F.pmod(F.xxhash64("digest"), F.lit(bundles)),
-        ),
-    )
-    stats = {r.item: (r.bytes, r.n) for r in rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # bounded items
-
-    # A group that fits a shard is one item for the packing, whatever its slices.
-    mean, whole, at = -(-total // n_shards), {}, bundles
-    for _, size, n in large:
-        for item in range(at, at + n):
-            whole[item] = at if size <= mean else item
-        at += n
-    sizes: dict[int, int] = {}
-    for item, (size, _) in stats.items():
-        sizes[whole.get(item, item)] = sizes.get(whole.get(item, item), 0) + size
-    shards = tightest([(size, item) for item, size in sizes.items()], n_shards)
-    used, table = [0] * n_shards, []
-    for item in sorted(stats):
-        shard = shards[whole.get(item, item)]
-        table.append((item, shard, used[shard]))
-        used[shard] += stats[item][1]
-    places = spark.createDataFrame(table, T.StructType().add("item", "long").add("shard", "integer").add("base", "long"))
-    within = F.row_number().over(Window.partitionBy("item").orderBy("doc_id", "text_crc32"))
-    return rows.withColumn("within", within).join(F.broadcast(places), "item").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("within") - 1).alias("slot")
-    )
+    return written(small, "sizes")
+
+
+def assign(docs: DataFrame, n_shards: int = 40, text: str = "text") -> DataFrame:
+    """Per document: doc_id, size, text_crc32, shard, slot."""
+    spark = docs.sparkSession
+    rows = _table(docs, text)
+    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
+    mean = -(-(groups.agg(F.sum("bytes")).first()[0] or 0) // n_shards)
+    piece = max(1, mean // FINE)
+    large = groups.where(F.col("bytes") > mean).withColumn("slices", F.ceil(F.col("bytes") / piece).cast("int")).drop("bytes")  # fewer than n_shards rows
+    small = groups.where(F.col("bytes") <= mean)
+    cut = rows.join(F.broadcast(large), "digest").withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"))
+    slices = sorted(map(tuple, cut.groupBy("digest", "slice").agg(F.sum("size").alias("bytes")).collect()), key=lambda x: (-x[2], x[0], x[1]))  # about n_shards * FINE rows
+    sizes = {r.bytes: r.many for r in small.groupBy("bytes").agg(F.count("*").alias("many")).collect()}  # distinct sizes
+
+    classes = sorted([(size, -1) for size in sizes] + [(size, i) for i, (_, _, size) in enumerate(slices)], reverse=True)
+    placed = tightest([(size, sizes[size] if i < 0 else 1) for size, i in classes], n_shards)
+    runs, of_slices = [], []
+    for (size, i), own in zip(classes, placed, strict=True):
+        if i < 0:
+            ends = [sum(n for n, _ in own[: k + 1]) for k in range(len(own))]
+            runs.append((size, sizes[size], ends, [shard for _, shard in own]))
+        else:
+            of_slices.append((slices[i][0], slices[i][1], own[0][1]))
+    runs = spark.createDataFrame(runs, "bytes long, many long, ends array<long>, shards array<int>")
+    of_slices = spark.createDataFrame(of_slices, "digest binary, slice int, shard int")
+
+    hint = F.broadcast if len(sizes) <= BROADCAST else lambda df: df
+    ranked = _numbered(small, "bytes", hint(runs.select("bytes", "many")), "digest").join(hint(runs.drop("many")), "bytes")
+    run = F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1
+    of_groups = ranked.select("digest", F.element_at("shards", run).alias("shard"))
+    whole = salted_join(rows.join(F.broadcast(large), "digest", "left_anti"), of_groups, ["digest"], hot_values(rows, "digest"))
+    columns = ["doc_id", "size", "text_crc32", "row", "shard"]
+    both = written(whole.select(*columns).unionByName(cut.join(F.broadcast(of_slices), ["digest", "slice"]).select(*columns)), "sharded")
+    slots = _numbered(both, "shard", F.broadcast(both.groupBy("shard").agg(F.count("*").alias("many"))), "row")
+    return slots.select("doc_id", "size", "text_crc32", "shard", F.col("rank").cast("long").alias("slot"))
 
 
 def op1_shard_best_fit(spark, sf_dir: str) -> DataFrame:

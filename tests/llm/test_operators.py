@@ -78,21 +78,64 @@ def test_similar():
 
 
 def test_sharding(some):
-    got = sharding.assign(some, 5, bundles=16).collect()
-    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len((t or "").encode()) + 16) for d, t, _ in local(some))
+    got = sharding.assign(some, 5).collect()
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, _ in local(some))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(5))
 
 
-def test_best_fit_keeps_groups_and_fills_evenly():
+def test_shards_are_those_of_best_fit_over_single_groups(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    texts = ["".join(draw.choice(list("abcdefgh"), draw.integers(0, 40))) for _ in range(600)]
+    rows = list(enumerate(texts + texts[:150] + texts[:50] + [None] * 3))
+    for part in (200_000, 7):
+        monkeypatch.setattr(sharding, "PART", part)
+        got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+        of_text, bytes_of, slots = defaultdict(set), defaultdict(int), defaultdict(list)
+        for r in got:
+            of_text[rows[r.doc_id][1]].add(r.shard)
+            bytes_of[r.shard] += r.size
+            slots[r.shard].append(r.slot)
+        assert all(len(x) == 1 for x in of_text.values())  # groups stay whole
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert max(bytes_of.values()) - min(bytes_of.values()) <= 0.01 * sum(bytes_of.values()) / 8
+        groups = Counter()
+        for _, t in rows:
+            groups[t] += len((t or "").encode()) + 16
+        by_size = sorted(Counter(groups.values()).items(), reverse=True)
+        single = [n for n, k in by_size for _ in range(k)]
+        runs = sharding.tightest(by_size, 8)
+        room = [max(bytes_of.values())] * 8
+        for size in single:  # one by one, into the least room that holds it
+            room[min((r, i) for i, r in enumerate(room) if r >= size)[1]] -= size
+        sums = [0] * 8
+        for (size, _), own in zip(by_size, runs, strict=True):
+            for n, shard in own:
+                sums[shard] += n * size
+        assert sorted(sums) == sorted(bytes_of.values())
+        assert sorted(max(bytes_of.values()) - r for r in room) == sorted(bytes_of.values())
+
+
+def test_groups_above_a_shard_are_cut(spark):
+    rows = [(i if i % 2 else None, "same text") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(200)]
+    sums = Counter()
+    for r in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect():
+        sums[r.shard] += r.size
+    assert len(sums) == 4 and max(sums.values()) < 1.1 * sum(sums.values()) / 4
+
+
+def test_best_fit_fills_evenly():
     draw = np.random.default_rng(2)
-    items = [(int(s), i) for i, s in enumerate(draw.integers(1, 1000, 2000))]
-    shards = sharding.tightest(items, 40)
-    sums = np.bincount([shards[i] for _, i in items], [s for s, _ in items], 40)
-    assert sums.max() / sums.mean() < 1.01
-    assert sharding.best_fit_decreasing([(6, 0), (5, 1), (5, 2), (4, 3)], 2, 10) == {0: 0, 3: 0, 1: 1, 2: 1}
+    classes = sorted(Counter(int(s) for s in draw.integers(1, 1000, 2000)).items(), reverse=True)
+    sums = Counter()
+    for (size, _), runs in zip(classes, sharding.tightest(classes, 40), strict=True):
+        for n, shard in runs:
+            sums[shard] += n * size
+    assert max(sums.values()) / (sum(sums.values()) / 40) < 1.01
+    assert sharding.best_fit_decreasing([(6, 1), (5, 2), (4, 1)], 2, 10) == [[(1, 0)], [(2, 1)], [(1, 0)]]
 
 
 @pytest.mark.parametrize("whole", [False, True])
@@ -100,7 +143,7 @@ def test_mixing(some, whole):
     rows = mixing.plan(some, whole_documents=whole).collect()
     sizes, taken, target = defaultdict(int), defaultdict(int), {}
     for r in rows:
-        assert r.taken <= 3 * r.size and 0 <= r.position <= 1
+        assert r.taken <= 3 * r.size and (0 <= r.position <= r.last_position <= 1 if r.taken else r.position is r.last_position is None)
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
@@ -120,6 +163,26 @@ def test_mixing(some, whole):
         assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
 
 
+def test_stream_follows_the_schedules(spark):
+    """Up to any position t, a source has used D_s(t) words, give or take a document."""
+    draw = np.random.default_rng(9)
+    rows = [(i, "w " * int(draw.integers(1, 60)), f"s{int(draw.integers(0, 4))}" if i % 9 else None) for i in range(900)]
+    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), part=40).collect()
+    largest = max(r.size for r in plan)
+    for source in {r.source for r in plan}:
+        own = [r for r in plan if r.source == source]
+        uses = sorted((mixing_position(r, k), min(r.size, r.taken - k * r.size)) for r in own for k in range(-(-r.taken // r.size)))
+        assert uses[0][0] == min(r.position for r in own if r.taken) and uses[-1][0] == max(r.last_position for r in own if r.taken)
+        for t in np.linspace(0, 1, 23):
+            due = own[0].target * (t + own[0].slope * (t * t - t))
+            assert abs(sum(n for at, n in uses if at <= t) - due) <= largest + 1
+
+
+def mixing_position(r, epoch):
+    u = min(1.0, (r.offset + epoch * r.source_size) / r.target)
+    return 2 * u / (1 - r.slope + ((1 - r.slope) ** 2 + 4 * r.slope * u) ** 0.5)
+
+
 def test_positions_follow_the_schedule(spark):
     from pyspark.sql import functions as F
 
