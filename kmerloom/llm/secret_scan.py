@@ -5,17 +5,19 @@ non-overlapping per kind; matches that are too short are dropped after matching.
 values are the labelled credentials. For each kind, the values' spellings (classes of
 characters) become a prefix tree with counts, whose states are merged where their outgoing
 frequencies agree within a Hoeffding bound, state by state and fold by fold; the result is a
-probabilistic automaton. One more automaton is learned from other long tokens. A long token
-outside the base spans is added with kind ``format`` if some credential automaton explains it
-better than the other one by ``margin`` nats.
+probabilistic automaton. Two more are learned from other candidates, with and without digits. Every
+candidate, base values included, is scored by the kind that explains it best: its log-likelihood
+less the larger of those two. A candidate outside the base spans is a run of 8 or more of the characters of
+an assigned value; it is added with kind ``format`` if its score reaches ``margin`` nats.
 
 The automata are fitted on the driver from a sample of about ``rows`` documents chosen by a
 hash of the id, of which ``values`` values a kind at most are used (documented bounds, which do
-not grow with the table). All documents are scanned whole, row by row.
+not grow with the table); every fifth of these is held out, to measure what is recovered. All
+documents are scanned whole, row by row.
 
 Defined results: an empty table gives no rows; a null text counts as empty; without spans the
 digest is that of the empty string and ``spans`` is empty; repeated rows are scanned alike;
-null doc_ids stay null. If the sample holds no credential, only base spans are reported.
+null doc_ids stay null. If the sample holds no credential, only base spans are reported, without scores.
 Extra columns are ignored.
 """
 
@@ -38,19 +40,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = (*LEAST, "format")
+#: Other candidates, without and with digits.
+OTHERS = ("word", "number")
 #: A text without any of these in lower case holds no assignment.
 _HINTS = ("passw", "secret", "token", "api")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: A candidate: the characters of an assigned value, as many as one has at least, without dots at its ends.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]")
 _CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U")}
 _SPELL = str.maketrans(_CLASSES)
-#: Probability of a symbol that a state has not seen.
-_UNSEEN = math.log(1e-4)
+#: Weight of each symbol beside its count: d, h, l, U, six other characters, the end.
+_PRIOR, _SYMBOLS = 0.1, 11
 
-SPAN = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
+SPAN = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("best", "string").add("score", "double")
 ROW = T.StructType().add("doc_id", "long").add("spans", T.ArrayType(SPAN))
 
 
+def _other(token: str) -> str:
+    return OTHERS[any(map(str.isdigit, token))]
+
+
 def base_spans(text: str, tokens: list[re.Match] | None = None) -> list[tuple[str, int, int, str]]:
     """kind, start, end and value of each base match."""
     out = []
@@ -83,7 +92,9 @@ class Automaton:
             self.counts[at][""] += 1
         self._spread = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
-        self._logs = [{c: math.log(n / sum(x.values())) for c, n in x.items()} for x in self.counts]
+        spread = [sum(x.values()) + _PRIOR * _SYMBOLS for x in self.counts]
+        self._logs = [{c: math.log((n + _PRIOR) / m) for c, n in x.items()} for x, m in zip(self.counts, spread, strict=True)]
+        self._unseen = [math.log(_PRIOR / m) for m in spread]
 
     def _merge_all(self):
         kept, fringe = [0], sorted(self.to[0].items())
@@ -128,42 +139,51 @@ class Automaton:
                     self.to[a][c] = s
 
     def score(self, s: str) -> float:
-        """Log-likelihood of the string; an unseen symbol costs a fixed amount and goes back to the start."""
+        """Log-likelihood of the string; after a symbol that its state has not seen it goes on from the start."""
         at, total = 0, 0.0
         for c in s:
-            total += self._logs[at].get(c, _UNSEEN)
+            total += self._logs[at].get(c, self._unseen[at])
             at = self.to[at].get(c, 0)
-        return total + self._logs[at].get("", _UNSEEN)
+        return total + self._logs[at].get("", self._unseen[at])
 
 
 class Formats:
-    """Automata of the credentials' kinds, and of other tokens."""
+    """Automata of the credentials' kinds, and of other candidates. ``held``: values by kind that were not learned from."""
 
-    def __init__(self, values: dict[str, list[str]], others: list[str], margin: float = 8.0):
+    def __init__(self, values: dict[str, list[str]], others: dict[str, list[str]], margin: float = 8.0, held: dict[str, list[str]] | None = None):
         self.kinds = {k: Automaton([x.translate(_SPELL) for x in v]) for k, v in sorted(values.items()) if v}
-        self.others, self.margin = Automaton([x.translate(_SPELL) for x in others]), margin
-        self._known: dict[str, bool] = {}
+        self.others = [Automaton([x.translate(_SPELL) for x in v]) for v in others.values()]
+        self.margin, self.held = margin, held or {}
+        self._known: dict[str, tuple[str | None, float | None]] = {}
 
-    def accepts(self, token: str) -> bool:
-        if not self.kinds:
-            return False
+    def judge(self, token: str) -> tuple[str | None, float | None]:
+        """The kind that explains the token best, and its lead in nats over other candidates; (None, None) without kinds."""
         spelled = token.translate(_SPELL)
-        if spelled not in self._known:
+        found = self._known.get(spelled)
+        if found is None:
             if len(self._known) > 100_000:
                 self._known.clear()
-            self._known[spelled] = max(a.score(spelled) for a in self.kinds.values()) - self.others.score(spelled) >= self.margin
-        return self._known[spelled]
+            score, best = max(((a.score(spelled), k) for k, a in self.kinds.items()), default=(None, None))
+            found = self._known[spelled] = (best, score - max(a.score(spelled) for a in self.others) if best else None)
+        return found
+
+    def accepts(self, token: str) -> bool:
+        score = self.judge(token)[1]
+        return score is not None and score >= self.margin
 
 
-def spans(text: str, formats: Formats) -> list[tuple[str, int, int]]:
-    """All spans, by start and then by kind as listed."""
+def spans(text: str, formats: Formats) -> list[tuple[str, int, int, str | None, float | None]]:
+    """All spans, by start and then by kind as listed, each with its best kind and score."""
     tokens = list(TOKEN.finditer(text))
     base = base_spans(text, tokens)
-    added = [("format", m.start(), m.end()) for m in tokens if formats.accepts(m[0]) and not any(a < m.end() and m.start() < b for _, a, b, _ in base)]
-    return sorted([x[:3] for x in base] + added, key=lambda x: (x[1], KINDS.index(x[0])))
+    found = [(k, a, b, *formats.judge(v)) for k, a, b, v in base]
+    for m in tokens:
+        if formats.accepts(m[0]) and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+            found.append(("format", m.start(), m.end(), *formats.judge(m[0])))
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def learn(docs: DataFrame, text: str = "text", rows: int = 20_000, values: int = 500, margin: float = 8.0) -> Formats:
+def learn(docs: DataFrame, text: str = "text", rows: int = 20_000, values: int = 1000, margin: float = 8.0) -> Formats:
     """Automata from a hash sample of about ``rows`` documents."""
     n = docs.count()
     share = min(1.0, rows / max(1, n))
@@ -176,7 +196,7 @@ def learn(docs: DataFrame, text: str = "text", rows: int = 20_000, values: int =
                 tokens = list(TOKEN.finditer(t or ""))
                 base = base_spans(t or "", tokens)
                 out.update((k, v) for k, _, _, v in base)
-                out.update(("", m[0]) for m in tokens if not any(a < m.end() and m.start() < b for _, a, b, _ in base))
+                out.update((_other(m[0]), m[0]) for m in tokens if not any(a < m.end() and m.start() < b for _, a, b, _ in base))
             kinds, words = zip(*sorted(out), strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string())], names=["kind", "value"])
 
@@ -184,21 +204,22 @@ def learn(docs: DataFrame, text: str = "text", rows: int = 20_000, values: int =
     labelled = written(labelled, "values")
     # The same values whatever the order of rows: those whose hashes are least.
     by_kind: dict[str, list[str]] = {}
-    for kind in ("", *LEAST):
+    for kind in (*OTHERS, *LEAST):
         least = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(values)
         by_kind[kind] = [r.value for r in least.collect()]
-    return Formats({k: by_kind[k] for k in LEAST}, by_kind[""], margin)
+    learned = {k: [x for i, x in enumerate(v) if i % 5 != 4] for k, v in by_kind.items()}
+    return Formats({k: learned[k] for k in LEAST}, {k: learned[k] for k in OTHERS}, margin, {k: v[4::5] for k, v in by_kind.items()})
 
 
 def scan(docs: DataFrame, formats: Formats, text: str = "text") -> DataFrame:
-    """Per document: doc_id, spans (array of kind, start, end)."""
+    """Per document: doc_id, spans (array of kind, start, end, best, score)."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t.as_py() or "", formats)] for t in batch.column(1)]
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                found = [[dict(zip(SPAN.names, x, strict=True)) for x in spans(t.as_py() or "", formats)] for t in batch.column(1)]
+                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("best", pa.string()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ROW)
@@ -208,6 +229,7 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spelled = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    scores = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["best"], F.round(s["score"], 2).cast("string"))), ",")
     return scan(docs, learn(docs)).select(
-        "doc_id", *[of(k) for k in LEAST], F.sha2(spelled(F.filter("spans", lambda s: s["kind"] != "format")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans")
+        "doc_id", *[of(k) for k in LEAST], F.sha2(spelled(F.filter("spans", lambda s: s["kind"] != "format")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), of("format"), scores.alias("scores")
     )

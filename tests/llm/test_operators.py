@@ -212,7 +212,7 @@ def test_fingerprints(some):
 def test_secret_spans(some):
     docs = local(some)
     formats = secret_scan.learn(some)
-    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind != "format"] for r in secret_scan.scan(some, formats).collect()}
+    got = {r.doc_id: [tuple(s)[:3] for s in r.spans if s.kind != "format"] for r in secret_scan.scan(some, formats).collect()}
     for doc_id, text, _ in docs:
         found = [("assign", m.start(), m.end()) for m in secret_scan.ASSIGN.finditer(text or "") if len(m[2]) >= 8]
         found += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
@@ -220,12 +220,59 @@ def test_secret_spans(some):
         assert got[doc_id] == sorted(found, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
 
 
-def test_formats_tell_keys_from_words():
+def test_scan_scores_all_candidates_and_finds_bare_keys(spark):
     draw = np.random.default_rng(3)
-    keys = ["".join(draw.choice(list("0123456789abcdef"), 40)) for _ in range(200)]
-    words = ["".join(draw.choice(list("etaoinshrdlu"), draw.integers(16, 24))) for _ in range(200)]
-    formats = secret_scan.Formats({"hex": keys[:150]}, words[:150])
-    assert sum(map(formats.accepts, keys[150:])) >= 48 and sum(map(formats.accepts, words[150:])) == 0
+    key = lambda n: "".join(draw.choice(list("0123456789abcdef"), n))
+    bare = [key(28) for _ in range(6)]  # too short for a base span
+    rows = [(i, f"{prose_of(draw)} token = {key(40)} {prose_of(draw)} 555-{i:04d} {prose_of(draw)}") for i in range(300)]
+    rows += [(1000 + i, f"{prose_of(draw)} {k}. {prose_of(draw)}") for i, k in enumerate(bare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn(docs)
+    held = [x for k in secret_scan.LEAST for x in formats.held[k]]
+    assert len(held) >= 50 and sum(map(formats.accepts, held)) >= 0.98 * len(held)  # values it did not learn from
+    clean = [x for k in secret_scan.OTHERS for x in formats.held[k]]
+    assert sum(map(formats.accepts, clean)) <= 0.02 * len(clean)
+    found = {r.doc_id: r.spans for r in secret_scan.scan(docs, formats).collect()}
+    for i, text in rows:
+        assert all(s.best in secret_scan.LEAST and s.score == pytest.approx(lead(formats, text, s)) for s in found[i])
+        assert not any(s.kind == "format" and text[s.start : s.end].startswith("555-") for s in found[i])
+    hit = [i for i, k in enumerate(bare) if [(s.kind, dict(rows)[1000 + i][s.start : s.end]) for s in found[1000 + i]] == [("format", k)]]
+    assert len(hit) >= 5
+
+
+def prose_of(draw):
+    return " ".join("".join(draw.choice(list("etaoinshrdlu"), draw.integers(3, 14))) for _ in range(12))
+
+
+def lead(formats, text, span):
+    """The score by the definition: the best kind's probability over that of the other candidates."""
+    value = text[span.start : span.end]
+    if span.kind == "assign":
+        value = secret_scan.ASSIGN.match(value)[2]
+
+    def chance(automaton):
+        at, total = 0, 0.0
+        for c in [*value.translate(secret_scan._SPELL), ""]:
+            n = sum(automaton.counts[at].values())
+            total += np.log((automaton.counts[at].get(c, 0) + 0.1) / (n + 1.1))
+            at = automaton.to[at].get(c, 0)
+        return total
+
+    return max(map(chance, formats.kinds.values())) - max(map(chance, formats.others))
+
+
+def test_automaton_merges_alike_states():
+    """Strings of one state, a geometric length: hardly any of the tree's states stay apart."""
+    draw = np.random.default_rng(5)
+    automaton = secret_scan.Automaton(["d" * int(draw.geometric(0.2)) for _ in range(2000)])
+    reached, todo = {0}, [0]
+    while todo:
+        for s in automaton.to[todo.pop()].values():
+            if s not in reached:
+                reached.add(s)
+                todo.append(s)
+    assert len(reached) <= 3
+    assert automaton.score("ddd") == pytest.approx(3 * np.log(0.8) + np.log(0.2), abs=0.4)
 
 
 def test_token_counts(some):
