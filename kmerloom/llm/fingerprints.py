@@ -17,7 +17,7 @@ goes, as a guest, to the range before it (that of the first range to the last on
 
 Defined results: an empty table gives no rows; a null text counts as empty, and two texts
 without paragraphs are alike (1.0); a null doc_id sorts after all others; equal doc_ids follow
-each other in the order of their texts. Very long texts have more tables, none larger. Extra
+each other in the order of their texts' hashes. Very long texts have more tables, none larger. Extra
 columns are ignored.
 """
 
@@ -31,6 +31,7 @@ from ._common import partitions_for, text_or_empty
 #: Short runs: the kept half of an edited one-line text of 50 words still holds whole paragraphs.
 RUN, SIDE, EACH, SPLIT, ROUNDS = 16, 12, 14, 4, 8
 _FIRST = -(1 << 63)
+_DIFFERENCE = "array<struct<k:bigint,s:int>>"
 
 
 def paragraphs(text: Column) -> Column:
@@ -68,7 +69,8 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """Number of digests recovered from a subtracted table, or null where some cell stays filled.
+    """The digests recovered from a subtracted table, each with the side that has it (1 or -1), or null where some cell
+    stays filled.
 
     transform(array(v), f)[0] binds v to a lambda's name, so that it is computed once.
     """
@@ -83,37 +85,37 @@ def peel(cells: Column) -> Column:
             signed = F.zip_with(items, found, lambda p, f: p.withField("s", f["s"]))
             without = lambda a, p: _cell(a["c"] - p["s"], a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"]))
             cells = F.transform(F.array(signed), lambda ps: F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(ps, lambda p: p["cells"].bitwiseAND(_bit(i)) != 0), c, without)))[0]
-            return F.when(F.size(found) > 0, F.struct(cells.alias("cells"), (state["n"] + F.size(found)).alias("n"))).otherwise(state)
+            return F.when(F.size(found) > 0, F.struct(cells.alias("cells"), F.concat(state["found"], found).alias("found"))).otherwise(state)
 
         return F.transform(F.array(pure(state)), apply)[0]
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"))
+    start = F.struct(cells.alias("cells"), F.array().cast(_DIFFERENCE).alias("found"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
-    return F.transform(F.array(done), lambda s: F.when(~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["x"] != 0)), s["n"]))[0]
+    return F.transform(F.array(done), lambda s: F.when(~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["x"] != 0)), s["found"]))[0]
 
 
 def _dealt(a: Column, b: Column, tables: Column, seed: int, fails) -> Column:
-    """Size of the difference over tables by hash; fails(a, b) gives it for a table that does not empty."""
+    """The difference over tables by hash; fails(a, b) gives it for a table that does not empty."""
     of = lambda items, g: F.filter(items, lambda p: F.pmod(F.xxhash64(p["k"], F.lit(seed)), tables) == g)
     both = lambda g: F.struct(of(a, g).alias("a"), of(b, g).alias("b"))
     parts = F.transform(F.sequence(F.lit(0), tables - 1), both)
-    sizes = F.transform(parts, lambda p: F.coalesce(peel(subtract(table(p["a"]), table(p["b"]))), fails(p["a"], p["b"])))
-    return F.aggregate(sizes, F.lit(0), lambda n, s: n + s)
+    return F.flatten(F.transform(parts, lambda p: F.coalesce(peel(subtract(table(p["a"]), table(p["b"]))), fails(p["a"], p["b"]))))
 
 
 def _exact(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    only = lambda x, y, s: F.transform(F.array_except(x, y), lambda p: F.struct(p["k"].alias("k"), F.lit(s).alias("s")))
+    return F.concat(only(a, b, 1), only(b, a, -1))
 
 
 def difference(a: Column, cells_a: Column, b: Column, cells_b: Column) -> Column:
-    """Number of digests in one of two placed sets only."""
+    """The digests in one of two placed sets only: array of k (digest) and s (1: in the first, -1: in the second)."""
     tables = F.ceil((F.size(a) + F.size(b)) / F.lit(float(EACH))).cast("int")
     again = lambda x, y: _dealt(x, y, F.lit(SPLIT), 2, _exact)
     return F.coalesce(peel(subtract(cells_a, cells_b)), _dealt(a, b, F.greatest(tables, F.lit(2)), 1, again))
 
 
 def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
-    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differ) / (n_a + n_b + differ))
+    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - F.size(differ)) / (n_a + n_b + F.size(differ)))
 
 
 def spelled(cells: Column) -> Column:
@@ -123,24 +125,33 @@ def spelled(cells: Column) -> Column:
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows plus next_<column> of the document that follows in descending order of the key (the first after the last)."""
-    ranges = min(1000, 4 * partitions_for(docs))
-    cuts = sorted(set(docs.approxQuantile([key], [i / ranges for i in range(1, ranges)], 0.2 / ranges)[0])) if ranges > 1 else []
+    ranges, n = min(1000, 4 * partitions_for(docs)), docs.count()
+    cuts = set(docs.approxQuantile([key], [i / ranges for i in range(1, ranges)], 0.2 / ranges)[0]) if ranges > 1 else set()
     place = F.coalesce(F.col(key), F.lit(_FIRST))
-    limits = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rows = docs.withColumns({"_place": place, "_range": F.size(F.filter(limits, lambda c: c > place))})
-    firsts = docs.select(place.alias("_first")).groupBy(F.size(F.filter(limits, lambda c: c > F.col("_first"))).alias("_range")).agg(F.max("_first").alias("_first"))
+    # A key of more rows than a range should have is a range of its own, cut by the hash of the text: fewer than ``ranges`` keys.
+    heavy = docs.groupBy(place.alias("heavy")).agg(F.count("*").alias("rows")).where(F.col("rows") > max(1, n // ranges)).collect()
+    cuts = sorted({int(c) for c in cuts} | {c for r in heavy for c in (r.heavy, r.heavy + 1)})
+    limits = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in heavy for x in (r.heavy, -(-r.rows * ranges // n))]), place), F.lit(1)) if heavy else F.lit(1)
+    tie = F.shiftrightunsigned(F.xxhash64(text), 1)
+    # Ordered numbers of ranges: of the key, then of the hash's part.
+    of_range = F.size(F.filter(limits, lambda c: c > place)) * 100_000 + F.shiftright(F.shiftrightunsigned(tie, 32) * parts, 31).cast("int")
+    rows = docs.withColumns({"_place": place, "_tie": tie, "_range": of_range})
+    firsts = docs.select(of_range.alias("_range"), F.struct(place.alias("p"), (-tie).alias("t")).alias("_first")).groupBy("_range").agg(F.max("_first").alias("_first"))
     by_range = Window.orderBy("_range")  # a row a range: at most 1000
     guests = firsts.select("_first", F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(Window.partitionBy())).alias("_into"))
+    # A range's first rows, equal in key and hash, all go to the range before; only the first of them is looked at there.
     # None twice: the row in its own range, and perhaps in the one before.
     homes = F.array_compact(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")), F.when(F.col("_into").isNotNull(), F.struct(F.col("_into").alias("range"), F.lit(1).alias("guest")))))
-    dealt = rows.join(F.broadcast(guests), F.col("_place") == F.col("_first"), "left").withColumn("_home", F.explode(homes))
-    order = Window.partitionBy("_home.range").orderBy("_home.guest", F.col("_place").desc(), text)
+    dealt = rows.join(F.broadcast(guests), (F.col("_place") == F.col("_first.p")) & (F.col("_tie") == -F.col("_first.t")), "left").withColumn("_home", F.explode(homes))
+    order = Window.partitionBy("_home.range").orderBy("_home.guest", F.col("_place").desc(), "_tie", text)
     following = {f"next_{c}": F.lead(c).over(order) for c in columns}
-    return dealt.withColumns(following).where("_home.guest = 0").drop("_place", "_range", "_first", "_into", "_home")
+    return dealt.withColumns(following).where("_home.guest = 0").drop("_place", "_tie", "_range", "_first", "_into", "_home")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the recovered
+    differences new_differ and next_differ (digests k that only the document has, s = 1, or only the other one, s = -1)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     pairs = with_next(rows.withColumn("digests", paragraphs(F.col("text"))), ["text", "digests"])
     n = F.char_length("text")
@@ -155,9 +166,13 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = pairs.withColumns({"new_differ": differ("new", "new_cells"), "next_differ": differ("following", "next_cells")})
     return pairs.select(
         "doc_id", "n_chars", "edited_sha256", spelled(F.col("cells")).alias("fingerprint"), spelled(F.col("new_cells")).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("new"), F.col("new_differ")).alias("near_edited"), likeness(F.size("own"), F.size("following"), F.col("next_differ")).alias("near_next"),
+        likeness(F.size("own"), F.size("new"), F.col("new_differ")).alias("near_edited"), likeness(F.size("own"), F.size("following"), F.col("next_differ")).alias("near_next"), "new_differ", "next_differ",
     )
 
 
 def op2_fingerprint_iblt(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # A sum over the recovered digests, so that the query's rows rest on the digests themselves.
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, d: n.bitwiseXOR(d["k"]))
+    own = [c for c in found.columns if not c.endswith("_differ")]
+    return found.select(*own, F.size("new_differ").cast("long").alias("n_edited_differ"), total(F.col("new_differ")).alias("edited_differ_xor"))

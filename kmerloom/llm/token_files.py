@@ -10,12 +10,14 @@ Documents are range-partitioned by doc_id; each partition becomes one shard file
 
 The boundary of document i is select(i) - i, shifted, plus its low part: about 2 + log2(tokens /
 documents) bits a document instead of 64. Files go through pyarrow's file systems into the
-folder the session shares (spark.checkpoint.dir, or the ``folder`` given), under a temporary
-name that is then moved, so a repeated task replaces its own file. The manifest of shards
-(one row a file) gives each shard's first token by a running sum over shards.
+folder the session shares (spark.checkpoint.dir, or the ``folder`` given), each attempt of a task
+under a name of its own; nothing is moved or overwritten. The manifest of shards (one row a
+file) names the files of the attempts that Spark committed and gives each shard's first token by
+a running sum over shards; files that it does not name are leftovers of lost attempts.
 
 Defined results: an empty table gives no files and no rows; a null text is an empty one and
-holds the end id alone; repeated rows stand one after another; null doc_ids come first. Long
+holds the end id alone; repeated rows stand one after another; null doc_ids come first; rows of one
+doc_id stand in the order of their texts' hashes, by which they may go to several shards. Long
 texts only bound one document's memory: ids are appended as documents arrive. Extra columns
 are ignored.
 """
@@ -109,13 +111,12 @@ def _write_shard(batches, folder: str, path: str, end_id: int):
     coder, shard = encoder(path), TaskContext.get().partitionId()
     store, root = _store(folder)
     end = struct.pack("<H" if coder.width == 2 else "<I", end_id)
-    name, lengths, ids = f"shard-{shard:06d}.ids", [], []
+    name, lengths, ids = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids", [], []
     out = None
     for batch in batches:
         if out is None:
             store.create_dir(root, recursive=True)
-            temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
-            out = store.open_output_stream(temporary)
+            out = store.open_output_stream(f"{root}/{name}")
         ids.append(batch.column(0))
         for text in batch.column(1):
             raw = coder.ids(text.as_py()) + end
@@ -130,14 +131,13 @@ def _write_shard(batches, folder: str, path: str, end_id: int):
         out.write(part.tobytes())
     out.write(HEADER.pack(MAGIC, coder.width, len(lengths), int(ends[-1]), boundaries.low_bits, len(boundaries.samples)))
     out.close()
-    store.move(temporary, f"{root}/{name}")
     yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "documents": [len(lengths)], "tokens": [int(ends[-1])]})
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the shard files; returns the manifest: shard, path, documents, tokens, base (tokens before it)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    by = (F.col("doc_id").asc_nulls_first(),)
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = (rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)).sortWithinPartitions(*by, "text")
     manifest = written(ordered.mapInArrow(lambda batches: _write_shard(batches, folder, path, end_id), SHARD), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file

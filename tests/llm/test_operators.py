@@ -8,6 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+
+from pyspark.sql import functions as F
 
 from kmerloom.llm import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files
 from kmerloom.llm._tokens import encoder, tokenizer_path
@@ -184,15 +187,15 @@ def mixing_position(r, epoch):
 
 
 def test_positions_follow_the_schedule(spark):
-    from pyspark.sql import functions as F
-
     for slope in (-0.5, 0.0, 0.5):
         t = spark.range(11).select(mixing.position(F.col("id") * 10, F.lit(100.0), F.lit(slope)).alias("t"), "id").collect()
         assert all(100 * (r.t + slope * (r.t**2 - r.t)) == pytest.approx(10 * r.id) for r in t)
 
 
 def test_fingerprints(some):
-    ordered = sorted(local(some), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42)
+    signed = lambda t: digest(t) - (1 << 64 if digest(t) >> 63 else 0)
+    ordered = sorted(local(some), key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1] or "") >> 1))
     units = lambda t: {m.rstrip(" ") for m in re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09]*){1,%d}" % fingerprints.RUN, t)}
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = []
@@ -200,15 +203,49 @@ def test_fingerprints(some):
         text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        want.append((doc_id, len(text), sha(edited), pytest.approx(alike(units(text), units(edited))), pytest.approx(alike(units(text), units(after)))))
+        want.append((doc_id, len(text), sha(edited), pytest.approx(alike(units(text), units(edited))), pytest.approx(alike(units(text), units(after))), units(text), units(edited), units(after)))
     got = sorted(fingerprints.fingerprints(some).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.edited_sha256))
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted((str(w[0]), w[1], w[2]) for w in want)
     near = {(w[0], w[2]): w for w in want}
     for r in got:
-        assert (r.near_edited, r.near_next) == near[r.doc_id, r.edited_sha256][3:]
+        assert (r.near_edited, r.near_next) == near[r.doc_id, r.edited_sha256][3:5]
+        a, b, c = near[r.doc_id, r.edited_sha256][5:]
+        assert {(d.k, d.s) for d in r.new_differ} == {(signed(u), 1) for u in a - b} | {(signed(u), -1) for u in b - a}
+        assert {(d.k, d.s) for d in r.next_differ} == {(signed(u), 1) for u in a - c} | {(signed(u), -1) for u in c - a}
         assert len(r.fingerprint) == 32 * 3 * fingerprints.SIDE
 
 
+def test_retries_recover_every_digest(spark):
+    """Differences from none to far beyond a table: one table, more tables, tables split again, and digest by digest."""
+    draw = np.random.default_rng(7)
+    rows = [(n, m, sorted({int(x) for x in draw.integers(-(2**62), 2**62, 40 + n)}), m) for n in (0, 3, 20, 200, 3000) for m in (0, 5, 400)]
+    sets = spark.createDataFrame([(n, m, a, a[: len(a) - n] + [int(x) for x in draw.integers(-(2**62), 2**62, m)]) for n, m, a, _ in rows], "n int, m int, a array<bigint>, b array<bigint>")
+    a, b = fingerprints.placed(F.col("a")), fingerprints.placed(F.col("b"))
+    got = sets.withColumns({"pa": a, "pb": b}).withColumns({"ta": fingerprints.table(F.col("pa")), "tb": fingerprints.table(F.col("pb"))})
+    first = fingerprints.peel(fingerprints.subtract(F.col("ta"), F.col("tb")))
+    got = got.select("n", "m", "a", "b", first.isNull().alias("retried"), fingerprints.difference(F.col("pa"), F.col("ta"), F.col("pb"), F.col("tb")).alias("d"))
+    rows = got.collect()
+    assert {r.retried for r in rows} == {True, False} and all(r.retried for r in rows if r.n + r.m > 60)
+    for r in rows:
+        assert sorted((x.k, x.s) for x in r.d) == sorted([(x, 1) for x in set(r.a) - set(r.b)] + [(x, -1) for x in set(r.b) - set(r.a)])
+
+
+def test_second_retry_and_comparison(spark, monkeypatch):
+    """With tables for far fewer digests than they get, most fall through to the comparison; the result is the same."""
+    monkeypatch.setattr(fingerprints, "EACH", 400)
+    test_retries_recover_every_digest(spark)
+
+
+def test_one_id_for_many_texts(spark):
+    """Rows without ids are spread over ranges by their texts' hashes; each still meets the next one."""
+    rows = [(None if i % 3 else i, f"text {i} " * (i % 5 + 1)) for i in range(300)]
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 1
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1])))
+    want = Counter((r[0], r[1], ordered[(i + 1) % len(ordered)][1]) for i, r in enumerate(ordered))
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"])
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got.collect()) == want
+
+
 def test_secret_spans(some):
     docs = local(some)
     formats = secret_scan.learn(some)
