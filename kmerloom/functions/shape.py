@@ -11,10 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .dna import base_char, base_values
+from .dna import BASES, base_char, base_values
 
 #: Names of wider shapes do not fit a signed 64-bit number.
 MAX_WEIGHT = 31
@@ -74,9 +77,55 @@ def query_names(query: Column, shape: Shape) -> Column:
     return F.when(n >= shape.span, F.slice(names(query, shape), F.lit(1), n - shape.span + 1)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Letters of a block; a window that starts in a block is named there.
+BLOCK = 1 << 16
+
+
+def window_names(letters: np.ndarray, n: int, shape: Shape) -> np.ndarray:
+    """Names of the windows at 0 to n - 1 of a piece (ASCII bases), ``$`` beyond it.
+
+    ``$`` only stands past the end, so a name is a flat sum over the positions before it: 1 + value * g each.
+    """
+    values = np.zeros(n + shape.span, np.int64)
+    inside = np.zeros(n + shape.span, np.int64)
+    size = min(len(letters), n + shape.span)
+    values[:size], inside[:size] = _VALUES[letters[:size]], 1
+    out = np.zeros(n, np.int64)
+    for offset, block in zip(shape.care, shape.g[1:], strict=True):
+        out += values[offset : offset + n] * block + inside[offset : offset + n]
+    return out
+
+
+_VALUES = np.zeros(256, np.int64)
+_VALUES[list(BASES.encode())] = range(4)
+
+
 def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
-    """text_id, pos, name of every window of texts (text_id, dna)."""
-    return texts.select("text_id", F.posexplode(names(F.col("dna"), shape)).alias("pos", "name")).withColumn("pos", F.col("pos").cast("long"))
+    """text_id, pos, name of every window of texts (text_id, dna).
+
+    Spark cuts texts into overlapping blocks (by bytes, so that a cut's cost does not depend on its place), which bound what
+    a Python batch holds; a block's names are a few vector sums.
+    """
+    raw = texts.select("text_id", F.col("dna").cast("binary").alias("raw"), F.length("dna").alias("n"))
+    blocks = raw.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(BLOCK)))).select(
+        "text_id", F.col("start").cast("long").alias("start"), F.least(F.lit(BLOCK), F.col("n") + 1 - F.col("start")).alias("windows"), F.substring(F.col("raw"), F.col("start") + 1, F.lit(BLOCK + shape.span)).alias("piece")
+    )
+
+    def run(batches):
+        for batch in batches:
+            counts = batch.column(2).to_numpy()
+            edges, done = np.append(0, np.cumsum(counts)), 0
+            while done < len(counts):  # about a million windows at once
+                stop = max(done + 1, int(np.searchsorted(edges, edges[done] + 1_000_000, side="right")) - 1)
+                own = counts[done:stop]
+                names = [window_names(np.frombuffer(p.as_buffer(), np.uint8), int(n), shape) for p, n in zip(batch.column(3)[done:stop], own, strict=True)]
+                places = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(batch.column(1).to_numpy()[done:stop], own)
+                of_text = batch.column(0)[done:stop].take(pa.array(np.repeat(np.arange(stop - done), own)))
+                yield pa.RecordBatch.from_arrays([of_text, pa.array(places), pa.array(np.concatenate(names))], names=["text_id", "pos", "name"])
+                done = stop
+
+    schema = T.StructType([texts.schema["text_id"], T.StructField("pos", T.LongType()), T.StructField("name", T.LongType())])
+    return blocks.mapInArrow(run, schema)
 
 
 def spelling(name: Column, shape: Shape) -> Column:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import packed
 from ..functions.shape import Shape, query_names
+from .tables import kept
+
+#: Ranks, or positions of C, that are handled together.
+BLOCK = 1 << 14
 
 
 def compress(ranked: DataFrame, intervals: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -14,8 +18,13 @@ def compress(ranked: DataFrame, intervals: DataFrame, chosen: DataFrame) -> tupl
     h_table (text_id, name, off_pos, off_add, off_num, rest_pos, rest_num; nulls: none) of a selection."""
     removed = chosen.select("text_id", F.explode("covered").alias("rank"), F.lit(True).alias("gone"))
     marked = ranked.join(removed, ["text_id", "rank"], "left").select("text_id", "rank", "name", F.col("orig").alias("pos"), F.col("gone").isNull().alias("kept"))
-    so_far = F.sum(F.col("kept").cast("int")).over(Window.partitionBy("text_id").orderBy("rank"))
-    ranks = marked.withColumn("c_idx", F.when(F.col("kept"), (so_far - 1).cast("int")))
+    # Kept ranks are numbered in blocks of ranks, so that no window holds a whole text.
+    marked = kept(marked.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int")), "marked")
+    one = F.sum(F.col("kept").cast("int"))
+    before = Window.partitionBy("text_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("text_id", "block").agg(one.alias("own")).select("text_id", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"))
+    so_far = F.col("ahead") + one.over(Window.partitionBy("text_id", "block").orderBy("rank"))
+    ranks = marked.join(starts, ["text_id", "block"]).withColumn("c_idx", F.when(F.col("kept"), (so_far - 1).cast("int"))).drop("block", "ahead")
     c_array = ranks.where("kept").select("text_id", "c_idx", "pos")
     rest = ranks.where("kept").groupBy("text_id", "name").agg(F.min("c_idx").alias("rest_pos"), F.count("*").cast("int").alias("rest_num"))
     source = ranks.select("text_id", F.col("rank").alias("src_lo"), F.col("c_idx").alias("off_pos"))
@@ -37,7 +46,9 @@ def windows(queries: DataFrame, shape: Shape) -> DataFrame:
 
 
 def serialize(c_array: DataFrame, h_table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """heads (text_id, pb, c_count, c_bytes) and entries (text_id, name, start, entry): the packed bytes of each text.
+    """heads (text_id, pb, c_count, block, c_bytes) and entries (text_id, name, start, entry): the packed bytes of each text.
+
+    The bytes of C stand in blocks of BLOCK positions, so that no row holds a whole text's.
 
     An entry is a marker byte, then big-endian fields: the offset's position (pb bytes), add and
     count, and the rest's position and count, each only if present. ``start`` is its place in
@@ -45,8 +56,9 @@ def serialize(c_array: DataFrame, h_table: DataFrame) -> tuple[DataFrame, DataFr
     """
     widths = c_array.groupBy("text_id").agg(F.max("pos").alias("last"), F.count("*").alias("c_count")).withColumn("pb", packed.bytes_needed(F.greatest("last", F.col("c_count") - 1)))
     number = lambda v, n: F.lpad(F.right(F.hex(v), 2 * n), 2 * n, F.lit("0"))
-    of_text = c_array.join(widths.select("text_id", "pb"), "text_id").groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("c_idx", number(F.col("pos"), F.col("pb")).alias("b")))).alias("all"))
-    heads = widths.join(of_text, "text_id").select("text_id", "pb", "c_count", F.unhex(F.array_join(F.transform("all", lambda x: x["b"]), "")).alias("c_bytes"))
+    block = F.floor(F.col("c_idx") / BLOCK).cast("int").alias("block")
+    of_block = c_array.join(widths.select("text_id", "pb"), "text_id").groupBy("text_id", block).agg(F.sort_array(F.collect_list(F.struct("c_idx", number(F.col("pos"), F.col("pb")).alias("b")))).alias("all"))
+    heads = widths.join(of_block, "text_id").select("text_id", "pb", "c_count", "block", F.unhex(F.array_join(F.transform("all", lambda x: x["b"]), "")).alias("c_bytes"))
     has_off, has_rest = F.col("off_pos").isNotNull(), F.col("rest_pos").isNotNull()
     width = lambda c: packed.bytes_needed(F.col(c))
     wide = F.greatest(*[F.coalesce(width(c), F.lit(1)) for c in ("off_add", "off_num", "rest_num")])
@@ -65,27 +77,44 @@ def serialize(c_array: DataFrame, h_table: DataFrame) -> tuple[DataFrame, DataFr
 def deserialize(heads: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """c_array and h_table read back from the packed bytes."""
     at = lambda raw, start, n: packed.get_be(F.substring(raw, start, n))
-    places = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("c_count").cast("int") - 1), lambda i: at(F.col("c_bytes"), i * F.col("pb") + 1, F.col("pb"))))
-    c_array = heads.where("c_count > 0").select("text_id", places.alias("c_idx", "pos"))
+    inside = F.explode(F.sequence(F.lit(0), (F.octet_length("c_bytes") / F.col("pb")).cast("int") - 1)).alias("i")
+    c_array = heads.where("c_count > 0").select("text_id", "pb", "block", "c_bytes", inside).select("text_id", (F.col("block") * BLOCK + F.col("i")).alias("c_idx"), at(F.col("c_bytes"), F.col("i") * F.col("pb") + 1, F.col("pb")).alias("pos"))
+    return c_array, unpacked(heads, entries)
+
+
+def unpacked(heads: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of h_table that entries hold."""
+    at = lambda raw, start, n: packed.get_be(F.substring(raw, start, n))
     m = packed.get_be(F.substring("entry", 1, 1)).cast("int")
-    bits = entries.join(heads.select("text_id", "pb"), "text_id").withColumn("m", m)
+    bits = entries.join(heads.where("block = 0").select("text_id", "pb"), "text_id").withColumn("m", m)
     bits = bits.withColumns({"o": (F.col("m").bitwiseAND(0x80) > 0), "n_w": F.shiftright("m", 5).bitwiseAND(3) + 1, "a_w": F.shiftright("m", 3).bitwiseAND(3) + 1, "r": F.col("m").bitwiseAND(4) > 0, "r_w": F.col("m").bitwiseAND(3) + 1})
     field = lambda there, start, n: F.when(there, at(F.col("entry"), start, n).cast("int"))
     pb = F.col("pb")
     rest = F.lit(2) + F.when(F.col("o"), pb + F.col("a_w") + F.col("n_w")).otherwise(0)
-    return c_array, bits.select(
+    return bits.select(
         "text_id", "name", field(F.col("o"), F.lit(2), pb).alias("off_pos"), field(F.col("o"), 2 + pb, F.col("a_w")).alias("off_add"), field(F.col("o"), 2 + pb + F.col("a_w"), F.col("n_w")).alias("off_num"),
         field(F.col("r"), rest, pb).alias("rest_pos"), field(F.col("r"), rest + pb, F.col("r_w")).alias("rest_num"),
     )
 
 
+def lookup(heads: DataFrame, entries: DataFrame, names: DataFrame, span: int) -> DataFrame:
+    """text_id, name, pos of some names (a table with that column), from the bytes: only their entries and the positions that these point to are read."""
+    some = unpacked(heads, entries.join(names.select("name").distinct(), "name", "left_semi"))
+    gather = lambda pos, num, add: some.where(f"{pos} IS NOT NULL").select("text_id", "name", F.explode(F.sequence(pos, F.col(pos) + F.col(num) - 1)).alias("c_idx"), add.alias("shift"))
+    places = gather("off_pos", "off_num", F.col("off_add") * span).union(gather("rest_pos", "rest_num", F.lit(0)))
+    at = packed.get_be(F.substring("c_bytes", F.col("c_idx") % BLOCK * F.col("pb") + 1, F.col("pb")))
+    found = places.withColumn("block", F.floor(F.col("c_idx") / BLOCK).cast("int")).join(heads, ["text_id", "block"])
+    return found.select("text_id", "name", (at + F.col("shift")).alias("pos"))
+
+
 def sizes(heads: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """Per text: m, c_count, names, pb, bytes of C, H, entry starts and names, their sum, a full array's bytes, keep_pct, size_pct."""
     h = entries.groupBy("text_id").agg(F.count("*").alias("names"), F.sum(F.octet_length("entry")).alias("bytes_h"), F.max("name").alias("last"))
+    heads = heads.groupBy("text_id", "pb", "c_count").agg(F.sum(F.octet_length("c_bytes")).cast("long").alias("bytes_c"))
     whole = heads.join(h, "text_id").join(texts.select("text_id", (F.length("dna") + 1).cast("long").alias("m")), "text_id")
     as_bytes = lambda bits: F.floor((bits + 7) / 8).cast("long")
     whole = whole.select(
-        "text_id", "m", "c_count", "names", "pb", F.octet_length("c_bytes").cast("long").alias("bytes_c"), "bytes_h",
+        "text_id", "m", "c_count", "names", "pb", "bytes_c", "bytes_h",
         as_bytes(packed.elias_fano_bits(F.col("names"), F.col("bytes_h"))).alias("bytes_starts"), as_bytes(packed.elias_fano_bits(F.col("names"), F.col("last") + 1)).alias("bytes_names"),
     )
     whole = whole.withColumn("bytes_total", F.col("bytes_c") + F.col("bytes_h") + F.col("bytes_starts") + F.col("bytes_names")).withColumn("bytes_full", F.col("m") * F.col("pb"))

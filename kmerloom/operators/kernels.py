@@ -289,26 +289,35 @@ def _search(c: Component, names: list[int], options: dict[int, list[Link]], node
     rest = [0] * (len(names) + 1)
     for i in range(len(names) - 1, -1, -1):
         rest[i] = rest[i + 1] + max((x.cov for x in options[names[i]]), default=0)
-    best, best_gain, left = {}, -1, nodes
+    best, best_gain, left, gain = {}, -1, nodes, 0
+    open_names: list = []  # what is left to try for each name decided on, by place
+    taken: list[Link | None] = []
 
-    def visit(i: int, gain: int, mine: dict[int, Link]):
+    def enter(i: int):
         nonlocal best, best_gain, left
         if left <= 0 or gain + rest[i] <= best_gain:
             return
         left -= 1
-        if i == len(names):
-            best, best_gain = dict(mine), gain
-            return
-        for link in options[names[i]]:
-            if c.available(link):
-                c.accept(link)
-                mine[link.name] = link
-                visit(i + 1, gain + link.cov, mine)
-                del mine[link.name]
-                c.revoke(link.name)
-        visit(i + 1, gain, mine)
+        if i < len(names):
+            open_names.append(iter([*options[names[i]], None]))
+        else:
+            best, best_gain = {x.name: x for x in taken if x}, gain
 
-    visit(0, 0, {})
+    enter(0)
+    while open_names:
+        if len(taken) == len(open_names):  # the last choice for this name is done with
+            if link := taken.pop():
+                gain -= link.cov
+                c.revoke(link.name)
+        link = next((x for x in open_names[-1] if x is None or c.available(x)), False)
+        if link is False:
+            open_names.pop()
+            continue
+        if link:
+            gain += link.cov
+            c.accept(link)
+        taken.append(link)
+        enter(len(taken))
     return best, left > 0
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shape import Shape, kmers, names
-from .tables import kept
+from ..functions.shape import Shape, kmers, window_names
+from .tables import kept, numbered
 
 GSA = T.StructType().add("text_id", "long").add("rank", "integer").add("lexpos", "integer").add("orig", "long").add("name", "long").add("lcp", "integer")
 
@@ -21,10 +21,10 @@ GSA = T.StructType().add("text_id", "long").add("rank", "integer").add("lexpos",
 def lextext(texts: DataFrame, shape: Shape) -> DataFrame:
     """text_id, lexpos, orig, name. A window's place follows from its position and the text's length: no shuffle."""
     m, s = F.length("dna") + 1, shape.span
-    rows = texts.withColumn("m", m).select("text_id", "m", F.posexplode(names(F.col("dna"), shape)).alias("p", "name"))
-    residue = F.col("p") % s
-    place = residue * F.floor(F.col("m") / s) + F.least(residue, F.col("m") % s) + F.floor(F.col("p") / s)
-    return rows.select("text_id", place.cast("int").alias("lexpos"), F.col("p").cast("long").alias("orig"), "name")
+    rows = kmers(texts.select(F.struct("text_id", m.cast("long").alias("m")).alias("text_id"), "dna"), shape).select("text_id.*", "pos", "name")
+    residue = F.col("pos") % s
+    place = residue * F.floor(F.col("m") / s) + F.least(residue, F.col("m") % s) + F.floor(F.col("pos") / s)
+    return rows.select("text_id", place.cast("int").alias("lexpos"), F.col("pos").alias("orig"), "name")
 
 
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,33 +55,44 @@ def gsa(texts: DataFrame, shape: Shape) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            for text_id, own in zip(frame["text_id"], frame["names"], strict=True):
-                own, s = np.asarray(own, np.int64), shape.span
+            made = []
+            for text_id, dna in zip(frame["text_id"], frame["dna"], strict=True):
+                own, s = window_names(np.frombuffer(dna.encode(), np.uint8), len(dna) + 1, shape), shape.span
                 m = len(own)
                 orig = np.concatenate([np.arange(r, m, s) for r in range(s)])
                 order, lcp = _sorted_suffixes(own[orig])
-                yield pd.DataFrame({"text_id": text_id, "rank": np.arange(m), "lexpos": order, "orig": orig[order], "name": own[orig[order]], "lcp": lcp})
+                made.append(pd.DataFrame({"text_id": text_id, "rank": np.arange(m), "lexpos": order, "orig": orig[order], "name": own[orig[order]], "lcp": lcp}))
+                if sum(map(len, made)) > 200_000:
+                    yield pd.concat(made)
+                    made = []
+            if made:
+                yield pd.concat(made)
 
-    return texts.select("text_id", names(F.col("dna"), shape).alias("names")).mapInPandas(run, GSA)
+    return texts.select("text_id", "dna").mapInPandas(run, GSA)
 
 
 def gsa_by_doubling(texts: DataFrame, shape: Shape) -> DataFrame:
-    """The same table for texts of any length, by joins and windows: one job a doubling of the compared prefix.
+    """The same table for texts of any length, by range sorts and joins: a job a doubling of the compared prefix.
 
-    Every level's ranks are kept; a common prefix is then read off them from the longest level down.
+    A level ranks all suffixes of all texts by their first 2^k symbols: its distinct keys are range-sorted and numbered
+    across partitions, so that no task holds a text. Every level's ranks are kept; a common prefix is then read off them
+    from the longest level down.
     """
     base = kept(lextext(texts, shape), "lextext")
-    of_text = Window.partitionBy("text_id")
-    level = base.select("text_id", "lexpos", (F.dense_rank().over(of_text.orderBy("name")) - 1).alias("r"))
-    levels, width = [kept(level, "level")], 1
-    while not levels[-1].groupBy("text_id").agg((F.max("r") + 1 < F.count("*")).alias("open")).where("open").isEmpty():
+    rows, width = base.count(), 1
+    distinct = numbered(base.select("text_id", "name").distinct(), "r", "text_id", "name")
+    levels = [kept(base.join(distinct, ["text_id", "name"]).select("text_id", "lexpos", "r"), "level")]
+    while distinct.count() < rows:
         last = levels[-1]
         after = last.select("text_id", (F.col("lexpos") - width).alias("lexpos"), F.col("r").alias("next"))
-        both = last.join(after, ["text_id", "lexpos"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
-        levels.append(kept(both.select("text_id", "lexpos", (F.dense_rank().over(of_text.orderBy("r", "next")) - 1).alias("r")), "level"))
+        both = kept(last.join(after, ["text_id", "lexpos"], "left").withColumn("next", F.coalesce("next", F.lit(-1))), "pairs")
+        distinct = numbered(both.select(F.col("r").alias("was"), "next").distinct(), "r", "was", "next")
+        levels.append(kept(both.withColumnRenamed("r", "was").join(distinct, ["was", "next"]).select("text_id", "lexpos", "r"), "level"))
         width *= 2
-    ranked = levels[-1].withColumn("before", F.lag("lexpos").over(of_text.orderBy("r")))
-    pairs = ranked.select("text_id", F.col("r").alias("rank"), "lexpos", "before", F.lit(0).alias("lcp"))
+    first = levels[-1].groupBy("text_id").agg(F.min("r").alias("first"))
+    ranked = levels[-1].join(first, "text_id").select("text_id", (F.col("r") - F.col("first")).cast("int").alias("rank"), "lexpos")
+    before = ranked.select("text_id", (F.col("rank") + 1).alias("rank"), F.col("lexpos").alias("before"))
+    pairs = ranked.join(before, ["text_id", "rank"], "left").withColumn("lcp", F.lit(0))
     for k in range(len(levels) - 1, -1, -1):
         at = lambda place, out: levels[k].select("text_id", F.col("lexpos").alias(place), F.col("r").alias(out))  # noqa: E731, B023
         moved = pairs.withColumns({"x": F.col("lexpos") + F.col("lcp"), "y": F.col("before") + F.col("lcp")})

@@ -80,8 +80,9 @@ def locate_reads(spark, sf_dir):
     """Number of document positions that each benchmark item, as a read, locates."""
     reads = _benchmark(spark, sf_dir).toDF("query_id", "query")
     probes = index.windows(reads, LONG).select("query_id", "name").distinct()
-    hits = kmers(_documents(spark, sf_dir), LONG).join(probes, "name").select("query_id", "text_id", "pos").distinct()
-    return hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+    # A position has one name, so a read's hits are its names' counts: only those leave the map side.
+    found = kmers(_documents(spark, sf_dir), LONG).join(probes.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
+    return probes.join(found, "name").groupBy("query_id").agg(F.sum("n").alias("hits"))
 
 
 # Cleaning, naming, postings

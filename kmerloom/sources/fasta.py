@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import clean
+from ..operators.tables import kept
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, part, line_no, line of the text files below path. Files are not split, so line order is theirs."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return whole.where(F.length("line") > 0)
+    """file, block, line_no, line of the text files below path, empty lines left out.
+
+    Files are read line by line and may be split: ``block`` is the place of the split in its file and ``line_no`` ascends
+    inside a split, so that (block, line_no) is the order of the file.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return kept(read.where(F.length("line") > 0), "lines")
+
+
+def _joined(line) -> Column:
+    ordered = F.array_sort(F.collect_list(line))
+    return F.array_join(F.transform(ordered, lambda x: x["line"]), "")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """file, record_no, header, seq: a record per header line (null header: lines before the first), cleaned; kept if
-    header or sequence is not empty."""
-    by_file = Window.partitionBy("file").orderBy("line_no")
-    numbered = lines(spark, path).withColumn("is_header", F.startswith("line", F.lit(">"))).withColumn("record", F.sum(F.col("is_header").cast("int")).over(by_file))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_header"), F.struct("line_no", "line")))), lambda x: x["line"]), "")
+    header or sequence is not empty. Headers are counted by split, so that no window holds a file."""
+    numbered = lines(spark, path).withColumn("is_header", F.startswith("line", F.lit(">")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    headers = F.sum(F.col("is_header").cast("long"))
+    starts = numbered.groupBy("file", "block").agg(headers.alias("own")).select("file", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"))
+    inside = headers.over(Window.partitionBy("file", "block").orderBy("line_no"))
+    numbered = numbered.withColumn("inside", inside).join(starts, ["file", "block"]).withColumn("record", F.col("ahead") + F.col("inside"))
+    body = _joined(F.when(~F.col("is_header"), F.struct("block", "line_no", "line")))
     grouped = numbered.groupBy("file", "record").agg(F.max(F.when(F.col("is_header"), F.trim(F.expr("substring(line, 2)")))).alias("header"), clean(body).alias("seq"))
     some = grouped.where((F.length(F.coalesce("header", F.lit(""))) > 0) | (F.length("seq") > 0))
-    return some.select("file", F.row_number().over(Window.partitionBy("file").orderBy("record")).alias("record_no"), "header", "seq")
+    # Numbers without gaps, by blocks of records.
+    some = kept(some.withColumn("part", F.floor(F.col("record") / 10_000)), "records")
+    ahead = some.groupBy("file", "part").agg(F.count("*").alias("own")).select("file", "part", F.coalesce(F.sum("own").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("file", "part").orderBy("record"))
+    return some.withColumn("place", place).join(ahead, ["file", "part"]).select("file", (F.col("ahead") + F.col("place")).alias("record_no"), "header", "seq")
 
 
 def genome(spark: SparkSession, path: str) -> DataFrame:
     """file, dna: every file's lines but headers, cleaned and joined without separator (k-mers cross records)."""
     body = lines(spark, path).where(~F.startswith("line", F.lit(">")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "")
-    return body.groupBy("file").agg(clean(joined).alias("dna"))
+    return body.groupBy("file").agg(clean(_joined(F.struct("block", "line_no", "line"))).alias("dna"))
 
 
 def wrapped(texts: DataFrame, width: int = 60) -> DataFrame:

@@ -45,6 +45,13 @@ def test_names_and_spellings(spark, pattern, text):
     assert [r.s for r in rows] == ["".join(padded[p + o] for o in shape.care) for p in range(len(text) + 1)]
 
 
+def test_blocks_change_no_name(spark, monkeypatch):
+    text, shape = "ACGTTGCATTAGC" * 9, Shape("##.#.#")
+    monkeypatch.setattr("kmerloom.functions.shape.BLOCK", 10)
+    rows = kmers(spark.createDataFrame([("a", text)], "text_id string, dna string"), shape).orderBy("pos").collect()
+    assert [r.name for r in rows] == brute(shape, text) and {r.text_id for r in rows} == {"a"}
+
+
 def test_published_names(spark):
     rows = kmers(spark.createDataFrame([(1, "AAACTTT")], "text_id long, dna string"), Shape("#.#")).orderBy("pos").collect()
     assert rows[0].name == 2 and rows[1].name == 3 and rows[4].name == 20 and rows[7].name == 0

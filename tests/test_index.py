@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions.shape import Shape
-from kmerloom.operators import index, links, selection, suffixes
+from kmerloom.operators import index, kernels, links, selection, suffixes
 from kmerloom.plans.index import GappedIndex
 
 NOTE = "ACGTCTTAAACCCTCGTCTTAAACCCAACGTCTTAAACCC"
@@ -77,3 +77,44 @@ def test_links_that_clash_are_refused(spark):
     own = suffixes.intervals(ranked)
     with pytest.raises(ValueError, match="feasible"):
         GappedIndex.of_links(some, Shape("#.#"), ranked, own, links.preferred(links.candidates(ranked, own, 3)).withColumn("whole", F.lit(True)))
+
+
+def test_large_build_equals_the_other(spark, tmp_path):
+    some = texts(spark, NOTE, "", "ACGT" * 7, "GCCTTTAAAG" * 4)
+    a, b = GappedIndex.build(some, "#.#"), GappedIndex.build(some, "#.#", large=True)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(a.h_table) == rows(b.h_table) and rows(a.c_array) == rows(b.c_array)
+    assert b.differences().isEmpty()
+    b.save(str(tmp_path / "index"))
+    again = GappedIndex.load(spark, str(tmp_path / "index"))
+    assert rows(again.decoded()) == rows(b.decoded()) and again.shape == b.shape
+    with pytest.raises(ValueError):
+        GappedIndex.build(some, "#.#", "tree-dp", large=True)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    some = texts(spark, NOTE, "ACGT" * 30)
+    whole = GappedIndex.build(some, "#.#")
+    monkeypatch.setattr(index, "BLOCK", 5)
+    cut = GappedIndex.build(some, "#.#")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(cut.c_array) == rows(whole.c_array) and rows(cut.h_table) == rows(whole.h_table)
+    names = cut.h_table.where("name % 3 = 0").select("name")
+    found = index.lookup(*cut.serialized(), names, 3)
+    assert rows(found) == rows(cut.positions_of(names)) and not found.isEmpty()
+    assert rows(index.deserialize(*cut.serialized())[0]) == rows(whole.c_array)
+
+
+def test_candidate_cap_and_options(spark):
+    some = texts(spark, "AGCT" * 5, "A" * 16)
+    assert GappedIndex.build(some, "#.#", keep=1).differences().isEmpty()
+    for universe, intra in (("maximal", True), ("legacy", False)):
+        assert GappedIndex.build(some, "#.#", universe=universe, intra=intra).differences().isEmpty()
+    assert GappedIndex.build(some, "#.#", "tree-dp", intra=False).stats().where("text_id = 1").first().c_count == 17
+
+
+def test_exact_search_of_many_names():
+    """A component of far more names than a call stack has frames."""
+    found = [kernels.Link(n, 1, 3 * n, 3 * n + 1, (3 * n + 1,)) for n in range(3000)]
+    c = kernels.Component(found, {n: 3 for n in range(3001)}, {x.src_lo: x.name for x in found}, 1)
+    assert kernels.exact(c) and len(c.chosen) == 3000
