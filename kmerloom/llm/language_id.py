@@ -10,6 +10,11 @@ twice that) with ``windows`` windows each; it runs on the driver and its size do
 on the table. In prediction a filter over w bytes is a sum of w table rows, looked up for
 pairs of bytes, so no embedding is ever materialised.
 
+With ``strays`` the network has one more class, of windows that are in no learned language: the
+sample's own ones with their characters shuffled, their letters exchanged one for another or drawn at
+random, or all letters taken from another script. Its share of a document is ``stray``, a number that
+does not depend on how many languages were learned.
+
 Defined results: an empty table gives no rows; a null text or one without a letter gets
 ``und`` with score 0; with no labelled row at all every text is ``und``; repeated rows are
 predicted alike; a null doc_id belongs to no fold and stays null. Texts of any length are
@@ -68,7 +73,8 @@ class ByteCnn:
         return slopes
 
     def fit(self, windows: np.ndarray, wanted: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 0) -> ByteCnn:
-        """Adam over shuffled batches; rare languages weigh more."""
+        """Adam over shuffled batches, 300 at least; rare languages weigh more."""
+        epochs = max(epochs, -(-300 * batch // max(1, len(windows))))
         share = np.bincount(wanted, minlength=len(self.languages)) / max(1, len(wanted))
         weight = (np.maximum(share, 1e-9) ** -0.5)[wanted].astype("f4")
         weight /= weight.mean()
@@ -80,7 +86,7 @@ class ByteCnn:
                 for k, g in self._slopes(windows[some], wanted[some], weight[some]).items():
                     mean[k] = 0.9 * mean.get(k, 0) + 0.1 * g
                     square[k] = 0.99 * square.get(k, 0) + 0.01 * g * g
-                    self.weights[k] -= (rate / (1 + epoch) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype("f4")
+                    self.weights[k] -= (rate / (1 + 4 * epoch / epochs) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype("f4")
         return self
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
@@ -116,8 +122,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3000, windows: int = 3, seed: int = 0) -> ByteCnn | None:
-    """The network, fitted on a hash sample of about ``rows`` labelled rows outside the held-out fold."""
+#: First letters and sizes of alphabets that stray windows are written in.
+_SCRIPTS = ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 36), (0x905, 53), (0x3041, 86), (0x4E00, 4000), (0xAC00, 4000))
+#: The class of stray windows; no language is called so.
+STRAY = "\0stray"
+
+
+def stray_window(part: str, draw: np.random.Generator) -> str:
+    """A window like ``part`` in no learned language."""
+    kind = int(draw.integers(0, 4))
+    if kind == 0:
+        return "".join(draw.permutation(list(part)))
+    start, size = _SCRIPTS[0] if kind < 3 else _SCRIPTS[int(draw.integers(1, len(_SCRIPTS)))]
+    if kind == 1:  # one alphabet for another, letter by letter
+        swapped = draw.permutation(size)
+        return "".join(chr(start + int(swapped[ord(c) % size])) if c.isalpha() else c for c in part.lower())
+    return "".join(chr(start + int(draw.integers(0, size))) if c.isalpha() else c for c in part)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3000, windows: int = 3, seed: int = 0, strays: bool = False) -> ByteCnn | None:
+    """The network, fitted on a hash sample of about ``rows`` labelled rows outside the held-out fold; with strays, one of three
+    of its windows is a stray one."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     share = min(1.0, rows / max(1, n))
@@ -128,6 +153,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3
     pairs = sorted({(r.lang, part) for r in sample for part in r.parts if _LETTER.search(part)})
     if not pairs:
         return None
+    if strays:
+        draw = np.random.default_rng(seed)
+        pairs += [(STRAY, stray_window(part, draw)) for i, (_, part) in enumerate(pairs) if i % 2 == 0]
     languages = sorted({x for x, _ in pairs})
     data = np.zeros((len(pairs), WINDOW), np.uint8)
     for row, (_, part) in zip(data, pairs, strict=True):
@@ -146,23 +174,28 @@ def _windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, owner, np.clip(sizes[owner] - place * WINDOW, 1, WINDOW)
 
 
-def _score(model: ByteCnn, tables, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def _score(model: ByteCnn, tables, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its share among the languages, and the share of strays (0 if the model knows none)."""
     letters = [bool(t) and _LETTER.search(t) is not None for t in texts]
     data, owner, size = _windows([t.encode("utf-8") if ok else b"" for t, ok in zip(texts, letters, strict=True)])
     chance = np.concatenate([model.predict(data[i : i + 512], tables) for i in range(0, len(data), 512)])
     total = np.zeros((len(texts), len(model.languages)))
     np.add.at(total, owner, chance * size[:, None])
     total /= total.sum(axis=1, keepdims=True)
-    best = total.argmax(axis=1)
-    return [model.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, total.max(axis=1), 0.0)
+    known = [i for i, x in enumerate(model.languages) if x != STRAY]
+    own = total[:, known]
+    stray = np.clip(1 - own.sum(axis=1), 0, 1) if len(known) < len(model.languages) else np.zeros(len(texts))
+    own = own / np.maximum(own.sum(axis=1, keepdims=True), 1e-30)
+    best = own.argmax(axis=1)
+    return [model.languages[known[b]] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, own.max(axis=1), 0.0), np.where(letters, stray, 1.0)
 
 
 def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFrame:
-    """docs plus lang_pred and score; a column of that name is replaced."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """docs plus lang_pred, score and stray; columns of those names are replaced."""
+    docs = docs.drop("lang_pred", "score", "stray")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("stray", T.DoubleType())])
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "stray": F.lit(1.0)})
     at = docs.columns.index(text)
 
     def run(batches):
@@ -170,8 +203,8 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                langs, scores = _score(model, tables, batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                langs, scores, strays = _score(model, tables, batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(strays, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -382,6 +382,18 @@ def test_language_id(docs, clashing):
             assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
 
 
+def test_held_out_accuracy(spark):
+    """On texts of the fold that training never reads, in invented languages."""
+    draw = np.random.default_rng(12)
+    parts = {"a": "th e an d re in on er ou".split(), "b": "sch ei en ch un d ge".split(), "c": "la os de el ion ado que".split()}
+    rows = [(i, " ".join("".join(draw.choice(parts[k], draw.integers(1, 4))) for _ in range(40)), k) for i, k in enumerate(list("abc") * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict(docs, language_id.train(docs)).where(language_id.held_out(F.col("doc_id"))).collect()
+    assert len(found) > 100 and sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+    poisoned = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.lit("x")).otherwise(F.col("lang")))
+    assert language_id.train(poisoned).languages == ["a", "b", "c"]  # the fold's labels are not read
+
+
 def test_network_learns():
     draw = np.random.default_rng(6)
     windows = np.concatenate([draw.choice(np.frombuffer(b"aeiou  tns", np.uint8), (80, language_id.WINDOW)), draw.choice(np.frombuffer(b"kzwxy  qvj", np.uint8), (80, language_id.WINDOW))])

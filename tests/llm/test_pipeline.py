@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -39,6 +40,20 @@ def test_clashing_and_empty(spark, clashing, nothing):
     assert {r.doc_id for r in last(spark, clashing, "").collect()} == {r.doc_id for r in clashing.collect()}
 
 
+def test_strays_go(spark):
+    """Letter noise and an unlearned script go; clean text stays, whatever the number of languages."""
+    draw = np.random.default_rng(4)
+    syllables = {"en": "th e an d re in on er ou ght ing tion st".split(), "de": "sch ei en ch un d ge keit ich ein ung ber".split(), "es": "la os de el ion ado que re ar mente ci".split()}
+    prose = lambda parts: " ".join("".join(draw.choice(parts, draw.integers(1, 4))) for _ in range(80))
+    for languages in (["en"], ["en", "de", "es"]):
+        clean = [(i, prose(syllables[x]), x, "src", 1) for i, x in enumerate(languages * (240 // len(languages)))]
+        noise = [(1000 + i, "".join(draw.permutation(list(prose(syllables["en"])))), None, "src", 1) for i in range(20)]
+        other = [(2000 + i, "".join(chr(0x430 + int(c)) if c % 6 else " " for c in draw.integers(0, 32, 400)), None, "src", 1) for i in range(20)]
+        table = spark.createDataFrame(clean + noise + other, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = {r.doc_id for r in corpus_pipeline.stage_language(spark, table, "").collect()}
+        assert len([i for i in kept if i < 1000]) >= 237 and len([i for i in kept if i >= 1000]) <= 2
+
+
 def test_null_and_repeated_rows(spark):
     text = " ".join(f"word{i} of some plain prose" for i in range(40))
     other = " ".join(f"further {i} letters that stand here" for i in range(40))
