@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from kmerloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from kmerloom.llm._common import documents, packed_row, written
 
-#: Below this probability of its best language a document counts as written in none of them.
-LEAST_SCORE = 0.3
+#: Above this share of the class of stray windows a document counts as written in no learned language.
+MOST_STRAY = 0.7
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters or with no likely language go."""
+    """Documents in a learned language; those without letters, and those that look like none of the languages, go."""
     rows = docs.select(packed_row(docs), "text")
-    found = language_id.predict(rows, language_id.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = language_id.predict(rows, language_id.train(docs, strays=True))
+    return found.where((F.col("lang_pred") != "und") & (F.col("stray") <= MOST_STRAY)).select("row.*")
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
