@@ -77,7 +77,7 @@ def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, ma
     The last document that a source still needs is taken in part; with whole_documents it is
     taken whole if at least half of it is needed and otherwise not. Positions are null where nothing is taken.
     """
-    bits = max(6, (docs.count() // part).bit_length())
+    bits = max(10, (docs.count() // part).bit_length())
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(text), F.lit("")))
     leading = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)) * SPLIT
     sized = docs.select(
