@@ -13,9 +13,10 @@ words); two documents link when the sets' Jaccard similarity is at least 3/4.
    shared shingles matter: u unshared ones come first, and the prefix of n - ceil(3n/4) + 1
    shingles holds others only if u is smaller. Every pair that links has a common shingle in
    both prefixes; most documents have none to look up.
-3. Links are found without pairing a group's members all with all: in each of ``rounds``
-   rounds, every class is compared with up to ``tries`` leaders of its prefix shingles outside
-   its own component, and links merge components. Large groups of near copies end up as one
+3. Links are found without pairing a group's members all with all: in the first of ``rounds``
+   rounds, every class is compared with up to ``tries`` leaders of its prefix shingles, one of each
+   shingle; in the others, classes outside a shingle's largest component are compared with up to
+   ``tries`` of its several leaders that are in other components. Links merge components. Large groups of near copies end up as one
    component after a number of comparisons in proportion to their size.
 4. Exactness: then every pair of classes that shares a prefix shingle *across components*
    and passes the length and positional filters is verified, once. Of a pair, the smaller set's
@@ -375,7 +376,17 @@ def _smaller():
     return F.col("pos") * 7 <= F.col("n")
 
 
-def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3, mark: str | None = None) -> DataFrame:
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Shingles with entries of several components, one of which can be a first common one."""
+    return entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
+
+
+def _largest(entries: DataFrame) -> DataFrame:
+    """key, main: the component with most entries of each shingle."""
+    return entries.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+
+
+def classes(docs: DataFrame, text: str = "text", rounds: int = 4, tries: int = 8, mark: str | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, component (a label without nulls), mark (0 if no column is named)."""
     buckets = max(partitions_for(docs), 2 * docs.rdd.getNumPartitions())
     found = written(surveyed(docs, buckets, text, mark), "survey")
@@ -395,26 +406,28 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 3, tries: int = 3
     blocks = max(8, -(-(sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // _BLOCK_BYTES))
     labels = active.select("node", F.col("node").alias("comp"))
     for turn in range(rounds):
-        mine = shared.join(labels, "node")
-        lead = mine.groupBy("key").agg(F.min(F.struct((~_smaller()).alias("last"), F.xxhash64(F.lit(turn), "node"), "node", "comp", "n", "pos")).alias("lead"))
+        mine, seekers = shared.join(labels, "node"), None
+        if turn:  # only what is left between components, and of that the entries outside a shingle's largest one
+            mine = written(mine.join(_everywhere(_mixed(mine)), ["key", "salt"], "left_semi"), "open")
+            seekers = mine.join(_everywhere(_largest(mine)), ["key", "salt"]).where("comp <> main").drop("main")
+        slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), F.lit(tries if turn else 1)).alias("slot")
+        lead = mine.groupBy("key", slot).agg(F.min(F.struct((~_smaller()).alias("last"), F.xxhash64(F.lit(turn), "node"), "node", "comp", "n", "pos")).alias("lead"))
         lead = lead.select("key", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "comp", "n", "pos")]).withColumnRenamed("node_b", "b")
-        met = mine.withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(_everywhere(lead), ["key", "salt"]).where("comp <> comp_b").where(_FIRST)
+        met = (seekers or mine).withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(_everywhere(lead), ["key", "salt"]).where("comp <> comp_b").where(_FIRST)
         most = Window.partitionBy("a").orderBy(F.col("keys").desc(), "b")
         pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= tries).select("a", "b")
         labels = merged(labels, written(_verified(pairs, sets, blocks), "found"))
 
     # Whatever is left between components.
     mine = shared.join(labels, "node")
-    mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(_smaller()).alias("open")).where("low <> high AND open").select("key")
     # Each entry with the first of its set's earlier mixed shingles, to meet a partner at the first common one only.
-    numbered = mine.join(_everywhere(mixed), ["key", "salt"], "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")))
+    numbered = mine.join(_everywhere(_mixed(mine)), ["key", "salt"], "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("pos", "key")))
     early = numbered.where(F.col("i") <= EARLY).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("early"))
     mine = numbered.join(early, "node").withColumn("early", F.slice("early", F.lit(1), F.least(F.col("i") - 1, F.lit(EARLY)))).drop("i")
     mine = written(mine, "mixed")
     # The entries outside a shingle's largest component meet all others: no component meets itself.
-    largest = mine.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     side = lambda rows, x, *more: rows.select("key", *more, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "pos", "early")])
-    outside = mine.join(_everywhere(largest), ["key", "salt"]).where("comp <> main")
+    outside = mine.join(_everywhere(_largest(mine)), ["key", "salt"]).where("comp <> main")
     # A frequent shingle's entries meet in a square of places, one side dealt over its rows, the other over its columns.
     edge = _salts(F.col("key"), 2)
     own, each = F.pmod(F.xxhash64("node"), edge).cast("int"), F.explode(F.sequence(F.lit(0), edge - 1))
