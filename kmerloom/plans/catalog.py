@@ -191,6 +191,12 @@ def gsa_by_doubling(spark, sf_dir):
     return suffixes.gsa_by_doubling(_benchmark(spark, sf_dir), SMALL)
 
 
+@query(f"WITH {sql.gsa(*ITEMS, SMALL)} SELECT text_id, rank, lcp FROM gsa")
+def lcp(spark, sf_dir):
+    """Common prefixes, in symbols, of neighbours in the suffix array."""
+    return suffixes.gsa(_benchmark(spark, sf_dir), SMALL).select("text_id", "rank", "lcp")
+
+
 @query()
 def gsa_documents(spark, sf_dir):
     """Per document: ranks, sum of rank * position modulo 2^31 - 1 and of common prefixes."""
@@ -225,6 +231,13 @@ def candidates(spark, sf_dir):
     return _flat(_found(spark, sf_dir)[0])
 
 
+@query(f"WITH {_CANDIDATES} SELECT c.* FROM candidates c JOIN runs r ON r.text_id = c.text_id AND r.name = c.name AND r.add = c.add AND r.s0 = c.src_lo AND r.s1 = c.src_hi WHERE r.s1 <= r.lo OR r.s0 >= r.hi")
+def candidates_apart(spark, sf_dir):
+    """Candidates without links inside a name's own interval."""
+    ranked, own = _ranked(spark, sf_dir)
+    return _flat(links.candidates(ranked, own, SMALL.span, MAX_ADD, LEAST, intra=False))
+
+
 @query(f"WITH {_CANDIDATES} SELECT * FROM preferred")
 def preferred_links(spark, sf_dir):
     return _flat(links.preferred(_found(spark, sf_dir)[0]))
@@ -316,6 +329,23 @@ def decode_serialized(spark, sf_dir):
     return index.positions(h_table, c_array, SMALL.span, ["text_id", "name"])
 
 
+_SOME = f"SELECT text_id, name, pos FROM ({sql.kmers(*ITEMS, SMALL)}) WHERE name IN (SELECT name FROM ({sql.kmers(*DOCS, SMALL)}))"
+
+
+@query(_SOME)
+def positions_of(spark, sf_dir):
+    """Positions in the benchmark's index of the names that occur in documents."""
+    names = kmers(_documents(spark, sf_dir), SMALL).select("name").distinct()
+    return GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern).positions_of(names)
+
+
+@query(_SOME)
+def positions_from_bytes(spark, sf_dir):
+    """The same from the packed bytes, of which only the names' entries and positions are read."""
+    names = kmers(_documents(spark, sf_dir), SMALL).select("name").distinct()
+    return index.lookup(*GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern).serialized(), names, SMALL.span)
+
+
 @query(sql.kmers(*DOCS, SHORT))
 def decode_documents(spark, sf_dir):
     """All positions of all documents, decoded from their greedy index."""
