@@ -386,13 +386,51 @@ def serialize_h(spark, sf_dir):
     return entries.select("text_id", "name", "start", F.lower(F.hex("entry")).alias("entry"))
 
 
-@query()
+_GREEDY = sql.greedy(*ITEMS, SMALL, MAX_ADD, LEAST)
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT text_id, name, add, src_lo, src_hi, cov, covered FROM chosen")
 def greedy_rounds(spark, sf_dir):
     """Greedy selection by joins alone."""
     found, ranked, own = _found(spark, sf_dir)
     return _flat(selection.greedy_rounds(found, ranked, own))
 
 
+def _joined_greedy(spark, sf_dir) -> GappedIndex:
+    """The benchmark items' index of links that rounds of joins chose."""
+    found, ranked, own = _found(spark, sf_dir)
+    return GappedIndex.of_links(_benchmark(spark, sf_dir), SMALL, ranked, own, selection.greedy_rounds(found, ranked, own))
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT * EXCLUDE (lexpos, lcp) FROM ranks")
+def greedy_ranks(spark, sf_dir):
+    """Which ranks greedy links keep, and the places of those in C."""
+    return _joined_greedy(spark, sf_dir).ranks
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT * FROM h_table")
+def greedy_h_table(spark, sf_dir):
+    return _joined_greedy(spark, sf_dir).h_table
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT text_id, name, CAST(coalesce(sum(length(entry) // 2) OVER (PARTITION BY text_id ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, entry FROM entries")
+def greedy_serialized_h(spark, sf_dir):
+    """The packed entries of the greedy index, as hexadecimal text."""
+    _, entries = _joined_greedy(spark, sf_dir).serialized()
+    return entries.select("text_id", "name", "start", F.lower(F.hex("entry")).alias("entry"))
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT * FROM ({sql.SIZES})")
+def greedy_sizes(spark, sf_dir):
+    """Bytes of every part of the greedy index, with its kept share."""
+    return _joined_greedy(spark, sf_dir).sizes()
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT text_id, count(*) AS m, count(DISTINCT name) AS names, CAST(count(*) FILTER (kept) AS BIGINT) AS c_count FROM ranks GROUP BY text_id")
+def greedy_stats(spark, sf_dir):
+    return _joined_greedy(spark, sf_dir).stats()
+
+
 @query()
 def links_feasible(spark, sf_dir):
     """Per item: links that dep-order chose, their covered ranks, and m - |C|, which is the same."""

@@ -102,3 +102,66 @@ BYTES = "CASE " + " ".join(f"WHEN {{0}} < {1 << (8 * n)} THEN {n}" for n in rang
 
 def bytes_needed(expression: str) -> str:
     return "(" + BYTES.replace("{0}", f"({expression})") + ")"
+
+
+def greedy(table: str, key: str, shape: Shape, max_add: int, least: int) -> str:
+    """WITH RECURSIVE steps up to the greedy index: chosen, ranks, h_table, widths and entries (as hexadecimal text).
+
+    A text's names decide one at a time, the most frequent first; walk carries the ranks that are removed or read so far.
+    """
+    number = lambda v, n: f"lpad(format('{{:x}}', {v}), CAST(2 * {n} AS INTEGER), '0')"
+    add_w, num_w, rest_w = bytes_needed("off_add"), bytes_needed("off_num"), bytes_needed("rest_num")
+    has_off, has_rest = "off_pos IS NOT NULL", "rest_pos IS NOT NULL"
+    mark = f"CASE WHEN {has_off} THEN 128 + 32 * ({num_w} - 1) + 8 * ({add_w} - 1) ELSE 0 END + CASE WHEN {has_rest} THEN 4 + {rest_w} - 1 ELSE 0 END"
+    return f"""{candidates(table, key, shape, max_add, least)},
+options AS MATERIALIZED (
+  SELECT text_id, dense_rank() OVER (PARTITION BY text_id ORDER BY size DESC, name) AS turn,
+         row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS place,
+         list_transform(range(src_lo, src_hi), lambda r: CAST(r AS BIGINT)) AS source, CAST(string_split(covered, ',') AS BIGINT[]) AS drops
+  FROM candidates JOIN intervals USING (text_id, name)
+),
+walk AS (
+  SELECT text_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS place, CAST([] AS BIGINT[]) AS removed, CAST([] AS BIGINT[]) AS reads FROM options GROUP BY text_id
+  UNION ALL
+  SELECT w.text_id, w.turn + 1, b.place, list_concat(w.removed, coalesce(b.drops, CAST([] AS BIGINT[]))), list_concat(w.reads, coalesce(b.source, CAST([] AS BIGINT[])))
+  FROM walk w JOIN (
+    SELECT v.text_id, v.turn, min(o.place) FILTER (NOT list_has_any(o.source, v.removed) AND NOT list_has_any(o.drops, v.removed) AND NOT list_has_any(o.drops, v.reads)) AS best
+    FROM walk v JOIN options o ON o.text_id = v.text_id AND o.turn = v.turn + 1 GROUP BY ALL
+  ) d ON d.text_id = w.text_id AND d.turn = w.turn
+  LEFT JOIN options b ON b.text_id = w.text_id AND b.turn = w.turn + 1 AND b.place = d.best
+),
+chosen AS MATERIALIZED (
+  SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS place FROM candidates) c
+  JOIN (SELECT DISTINCT text_id, name, dense_rank() OVER (PARTITION BY text_id ORDER BY size DESC, name) AS turn FROM candidates JOIN intervals USING (text_id, name)) t USING (text_id, name)
+  JOIN walk w ON w.text_id = c.text_id AND w.turn = t.turn AND w.place = c.place
+),
+gone AS (SELECT text_id, CAST(unnest(string_split(covered, ',')) AS INTEGER) AS rank, true AS gone FROM chosen),
+ranks AS MATERIALIZED (
+  SELECT text_id, rank, name, orig AS pos, lexpos, lcp, gone IS NULL AS kept, CASE WHEN gone IS NULL THEN CAST(count(*) FILTER (gone IS NULL) OVER (PARTITION BY text_id ORDER BY rank) - 1 AS INTEGER) END AS c_idx
+  FROM gsa LEFT JOIN gone USING (text_id, rank)
+),
+h_table AS MATERIALIZED (
+  SELECT i.text_id, i.name, s.c_idx AS off_pos, c.add AS off_add, c.cov AS off_num, rest_pos, rest_num
+  FROM intervals i LEFT JOIN chosen c USING (text_id, name) LEFT JOIN ranks s ON s.text_id = c.text_id AND s.rank = c.src_lo
+  LEFT JOIN (SELECT text_id, name, min(c_idx) AS rest_pos, CAST(count(*) AS INTEGER) AS rest_num FROM ranks WHERE kept GROUP BY ALL) r ON r.text_id = i.text_id AND r.name = i.name
+),
+widths AS MATERIALIZED (SELECT text_id, CAST({bytes_needed("greatest(max(pos), count(*) - 1)")} AS INTEGER) AS pb, count(*) AS c_count FROM ranks WHERE kept GROUP BY text_id),
+entries AS MATERIALIZED (
+  SELECT text_id, name, {number(mark, 1)}
+         || CASE WHEN {has_off} THEN {number("off_pos", "pb")} || {number("off_add", add_w)} || {number("off_num", num_w)} ELSE '' END
+         || CASE WHEN {has_rest} THEN {number("rest_pos", "pb")} || {number("rest_num", rest_w)} ELSE '' END AS entry
+  FROM h_table JOIN widths USING (text_id)
+)"""
+
+
+def elias_fano_bytes(n: str, universe: str) -> str:
+    return f"CAST(({n} * (2 + greatest(CAST(floor(log2(CAST({universe} AS DOUBLE) / {n})) AS BIGINT), 0)) + 7) // 8 AS BIGINT)"
+
+
+#: Of steps ``entries``, ``widths`` and ``ranks``.
+SIZES = f"""
+WITH h AS (SELECT text_id, count(*) AS names, CAST(sum(length(entry) // 2) AS BIGINT) AS bytes_h, max(name) AS last FROM entries GROUP BY text_id),
+m AS (SELECT text_id, count(*) AS m FROM ranks GROUP BY text_id),
+parts AS (SELECT text_id, m, c_count, names, pb, c_count * pb AS bytes_c, bytes_h, {elias_fano_bytes("names", "bytes_h")} AS bytes_starts, {elias_fano_bytes("names", "(last + 1)")} AS bytes_names FROM h JOIN m USING (text_id) JOIN widths USING (text_id)),
+whole AS (SELECT *, bytes_c + bytes_h + bytes_starts + bytes_names AS bytes_total, m * pb AS bytes_full FROM parts)
+SELECT *, CAST(100 AS DOUBLE) * c_count / m AS keep_pct, CAST(100 AS DOUBLE) * bytes_total / bytes_full AS size_pct FROM whole"""
