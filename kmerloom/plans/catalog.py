@@ -209,6 +209,24 @@ def intervals(spark, sf_dir):
     return suffixes.intervals(suffixes.gsa(_benchmark(spark, sf_dir), SMALL))
 
 
+@query(f"""
+SELECT text_id, name, CAST(coalesce(sum(size) OVER w, 0) AS INTEGER) AS lo, CAST(coalesce(sum(size) OVER w, 0) + size AS INTEGER) AS hi, CAST(size AS INTEGER) AS size
+FROM (SELECT text_id, name, count(*) AS size FROM ({sql.kmers(*DOCS, SHORT)}) GROUP BY ALL) WINDOW w AS (PARTITION BY text_id ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def intervals_documents(spark, sf_dir):
+    """Intervals of every document's names, read off its suffix array."""
+    return suffixes.intervals(suffixes.gsa(_documents(spark, sf_dir), SHORT))
+
+
+@query()
+def candidates_documents(spark, sf_dir):
+    """Per document: its candidate links, their names, and the ranks that they cover."""
+    ranked = kept(suffixes.gsa(_documents(spark, sf_dir), SHORT), "gsa")
+    found = links.candidates(ranked, suffixes.intervals(ranked), SHORT.span, MAX_ADD, LEAST)
+    covered = F.sum(F.aggregate("covered", F.lit(0).cast("long"), lambda n, r: n + r)).alias("covered_sum")
+    per_name = found.groupBy("text_id", "name").agg(F.count("*").alias("n"), F.sum("cov").alias("cov"), F.sum("src_lo").alias("src_sum"), covered, F.max("cov").alias("most"))
+    return per_name.groupBy("text_id").agg(F.count("*").alias("names"), F.sum("n").alias("links"), F.sum("cov").alias("cov_sum"), F.sum("src_sum").alias("src_lo_sum"), F.sum("covered_sum").alias("covered_sum"), F.sum("most").cast("long").alias("best_cov_sum"))
+
+
 def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     ranked = kept(suffixes.gsa(_benchmark(spark, sf_dir), SMALL), "gsa")
     return ranked, suffixes.intervals(ranked)
