@@ -219,7 +219,7 @@ def intervals_documents(spark, sf_dir):
 
 @query()
 def candidates_documents(spark, sf_dir):
-    """Per document: its candidate links, their names, and the ranks that they cover."""
+    """Per document with candidate links: how many, for how many names, and sums over the ranks that they read and cover."""
     ranked = kept(suffixes.gsa(_documents(spark, sf_dir), SHORT), "gsa")
     found = links.candidates(ranked, suffixes.intervals(ranked), SHORT.span, MAX_ADD, LEAST)
     covered = F.sum(F.aggregate("covered", F.lit(0).cast("long"), lambda n, r: n + r)).alias("covered_sum")
