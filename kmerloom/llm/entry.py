@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files
+from . import divergence, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files, word_table
 
 QUERIES = {
     "op1_shard_best_fit": sharding.op1_shard_best_fit,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_pack_best_fit": packing.op9_pack_best_fit,
     "op10_language_id": language_id.op10_language_id,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_bpe_word_table": word_table.op12_bpe_word_table,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
