@@ -109,6 +109,8 @@ def shard_counts(texts: pa.Array, groups: np.ndarray) -> tuple[list[bytes], np.n
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, df: occurrences and documents; a row of term null for each (lang, source) group."""
 
+    most = SHARD
+
     def run(batches):
         waiting, size = [], 0
 
@@ -132,10 +134,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 # So many rows that the shard is just full; a text alone may be larger.
                 own = batch.slice(at)
                 sizes = np.cumsum(pc.binary_length(own.column(0)).to_numpy(zero_copy_only=False))
-                taken = max(1, int(np.searchsorted(sizes, SHARD - size, side="right")))
+                taken = max(1, int(np.searchsorted(sizes, most - size, side="right")))
                 waiting.append(own.slice(0, taken))
                 size, at = size + int(sizes[min(taken, len(sizes)) - 1]), at + taken
-                if size >= SHARD:
+                if size >= most:
                     yield flush()
                     waiting, size = [], 0
         if waiting:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files, word_table
+from . import alignment, divergence, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, secret_scan, sharding, token_counts, token_files, word_table
 
 QUERIES = {
     "op1_shard_best_fit": sharding.op1_shard_best_fit,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_bpe_word_table": word_table.op12_bpe_word_table,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLES = {

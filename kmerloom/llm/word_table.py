@@ -95,6 +95,7 @@ def words(path: str) -> Words:
 def chunks(docs: DataFrame, path: str, parts: int, text: str = "text") -> DataFrame:
     """chunk, part, words, body: a row a chunk and part (a hash of the word) with its distinct words, packed in order, and one
     a chunk (part null) with its documents' word numbers."""
+    most = CHUNK
 
     def run(batches):
         split, task, n = words(path).split, TaskContext.get().partitionId(), 0
@@ -126,7 +127,7 @@ def chunks(docs: DataFrame, path: str, parts: int, text: str = "text") -> DataFr
                 counts.append(len(pieces))
                 found.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
                 size += len(value)
-                if size > CHUNK:
+                if size > most:
                     yield flush()
                     ids, found, counts, numbers, size, n = [], [], [], _Numbers(), 0, n + 1
         if ids:
