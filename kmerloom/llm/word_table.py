@@ -23,7 +23,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +41,7 @@ from .token_counts import _Numbers, _packed, _unpacked
 
 #: Characters of a chunk, parts that the distinct words are dealt into at most, and the level at which both are packed.
 CHUNK, PARTS, LEVEL = 8_000_000, 4096, 9
-CHUNKS = T.StructType().add("chunk", "long").add("part", "integer").add("words", "binary").add("body", "binary")
+CHUNKS = T.StructType().add("chunk", "long").add("part", "integer").add("words", "binary")
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -92,52 +91,67 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def chunks(docs: DataFrame, path: str, parts: int, text: str = "text") -> DataFrame:
-    """chunk, part, words, body: a row a chunk and part (a hash of the word) with its distinct words, packed in order, and one
-    a chunk (part null) with its documents' word numbers."""
+def _ranked(distinct: Iterable[str], parts: int) -> list[tuple[int, list[str]]]:
+    """Words by part, and in order in a part."""
+    own = sorted((zlib.crc32(w.encode()) % parts, w) for w in distinct)
+    return [(part, [w for _, w in some]) for part, some in groupby(own, key=lambda x: x[0])]
+
+
+def chunks(docs: DataFrame, path: str, parts: int, bodies: bool, text: str = "text") -> DataFrame:
+    """chunk, part, words: a row a chunk and part (a hash of the word) with its distinct words, packed in order; or, with bodies, a row a
+    chunk, part null, with its documents' word numbers.
+
+    Both are read off the table, so that neither has to be kept. A body knows its words by their checksums.
+    """
     most = CHUNK
 
+    def rows(ids, found, counts, numbers) -> list[tuple[int | None, bytes]]:
+        ranked = _ranked(numbers, parts)
+        if not bodies:
+            compress = zstandard.ZstdCompressor(level=LEVEL).compress
+            return [(part, compress("\n".join(own).encode())) for part, own in ranked]
+        own, none = np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8)
+        order, k = np.concatenate(found), len(numbers)
+        # The most frequent words have the smallest numbers, which pack best; ``places`` are their ranks by part and word.
+        number = np.empty(k, np.int64)
+        number[np.argsort(-np.bincount(order, minlength=k), kind="stable")] = np.arange(k)
+        places = np.empty(k, np.int64)
+        places[number[[numbers[w] for _, some in ranked for w in some]]] = np.arange(k)
+        sums = np.array([zlib.crc32("\n".join(some).encode()) for _, some in ranked], "<u4")
+        return [(None, _dense(own, none, np.array(counts, "<u8"), _planes(number[order]), _planes(places), sums))]
+
     def run(batches):
-        split, task, n = words(path).split, TaskContext.get().partitionId(), 0
-        ids, found, counts, numbers, size = [], [], [], _Numbers(), 0
+        split, task, n = words(path).split, 0, 0
+        ids, found, counts, numbers, size = [], [], [], _Numbers() if bodies else set(), 0
 
         def flush():
-            own, none = np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8)
-            order, k = np.concatenate(found), len(numbers)
-            # In the body the most frequent words have the smallest numbers, which pack best; ``places`` are their ranks by part and word.
-            frequent = np.argsort(-np.bincount(order, minlength=k), kind="stable")
-            number = np.empty(k, np.int64)
-            number[frequent] = np.arange(k)
-            spelled = list(numbers)
-            part = [zlib.crc32(w.encode()) % parts for w in spelled]
-            ranked = sorted(range(k), key=lambda i: (part[i], spelled[i]))
-            places = np.empty(k, np.int64)
-            places[number[ranked]] = np.arange(k)
-            body = _dense(own, none, np.array(counts, "<u8"), _planes(number[order]), _planes(places))
-            rows = [(p, "\n".join(spelled[i] for i in of_part)) for p, of_part in groupby(ranked, key=part.__getitem__)]
-            compress = zstandard.ZstdCompressor(level=LEVEL).compress
-            chunk = pa.array(np.full(len(rows) + 1, (task << 24) + n))
-            return pa.RecordBatch.from_arrays([chunk, pa.array([*(p for p, _ in rows), None], pa.int32()), pa.array([*(compress(w.encode()) for _, w in rows), None], pa.binary()), pa.array([None] * len(rows) + [body], pa.binary())], names=CHUNKS.names)
+            made = rows(ids, found, counts, numbers)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(made), (task << 24) + n)), pa.array([p for p, _ in made], pa.int32()), pa.array([raw for _, raw in made], pa.binary())], names=CHUNKS.names)
 
         for batch in batches:
+            task = batch.column(2)[0].as_py() if batch.num_rows else task
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 value = value.as_py() or ""
                 pieces = split(value)
                 ids.append(doc_id)
-                counts.append(len(pieces))
-                found.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
+                if bodies:
+                    counts.append(len(pieces))
+                    found.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
+                else:
+                    numbers.update(pieces)
                 size += len(value)
                 if size > most:
                     yield flush()
-                    ids, found, counts, numbers, size, n = [], [], [], _Numbers(), 0, n + 1
+                    ids, found, counts, numbers, size, n = [], [], [], type(numbers)(), 0, n + 1
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CHUNKS)
+    # The partition's number in the table, not that of the task, which differs where tables are put together.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("task")).mapInArrow(run, CHUNKS)
 
 
 def _dense(*arrays: np.ndarray) -> bytes:
-    """The same bytes as _packed gives, compressed harder."""
+    """The bytes that _packed gives, compressed harder."""
     return zstandard.ZstdCompressor(level=LEVEL).compress(zstandard.ZstdDecompressor().decompress(_packed(*arrays)))
 
 
@@ -167,7 +181,7 @@ def encoded_words(parts: DataFrame, path: str) -> DataFrame:
                         known[w] = np.array(coder.ids(w), "<u4").tobytes()
                 ids = [known[w] for w in own]
                 flat = np.frombuffer(b"".join(ids), "<u4")
-                packed.append(_packed(np.array([len(x) // 4 for x in ids], "<u4"), flat))
+                packed.append(_packed(_planes(np.array([len(x) // 4 for x in ids], np.int64)), _planes(flat), np.array([zlib.crc32("\n".join(own).encode())], "<u4")))
                 distinct.append(np.unique(flat).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(distinct, pa.list_(pa.int32()))], names=["chunk", "part", "packed", "ids"])
 
@@ -184,23 +198,22 @@ def assembled(docs: DataFrame, path: str, row: Callable[..., pd.DataFrame], sche
     """One row per document from row(doc_id, n_tokens, numbers, ids, pieces), called a chunk: numbers is an iterator of the documents' word
     numbers, ids the ids of each number, pieces the piece of each id that occurs."""
     n = partitions_for(docs)
-    made = written(chunks(docs, path, min(PARTS, 4 * n), text), "chunks")
-    given = encoded_words(made.where("part IS NOT NULL").repartition(n, "part"), path)
+    parts = min(PARTS, 4 * n)
+    given = encoded_words(chunks(docs, path, parts, False, text).repartition(n, "part"), path)
     spelled = given.select("chunk", F.explode("ids").alias("id")).distinct().join(F.broadcast(vocabulary(docs.sparkSession, path)), "id")
     null = lambda kind: F.lit(None).cast(kind)
     rows = given.select("chunk", "part", "packed", null("string").alias("piece"), null("binary").alias("body"))
     rows = rows.union(spelled.select("chunk", F.col("id"), null("binary"), "piece", null("binary")))
-    rows = rows.union(made.where("part IS NULL").select("chunk", null("int"), null("binary"), null("string"), "body"))
+    rows = rows.union(chunks(docs, path, parts, True, text).select("chunk", "part", null("binary"), null("string"), "words"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        doc_id, none, counts, order, places = _unpacked(frame["body"].dropna().iloc[0], "<i8", "u1", "<u8", "u1", "u1")
+        doc_id, none, counts, order, places, sums = _unpacked(frame["body"].dropna().iloc[0], "<i8", "u1", "<u8", "u1", "u1", "<u4")
         order, places = _joined(order), _joined(places)
-        lengths, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for raw in frame[frame["packed"].notna()].sort_values("part")["packed"]:
-            a, b = _unpacked(raw, "<u4", "<u4")
-            lengths.append(a)
-            flat.append(b)
-        lengths, flat = np.concatenate(lengths).astype(np.int64), np.concatenate(flat).tolist()
+        of_parts = [_unpacked(raw, "u1", "u1", "<u4") for raw in frame[frame["packed"].notna()].sort_values("part")["packed"]]
+        if [int(x[2][0]) for x in of_parts] != sums.tolist():
+            raise RuntimeError("the rows moved between two reads; write the table first")
+        lengths, flat = (np.concatenate([np.zeros(0, np.int64), *(_joined(x[i]) for x in of_parts)]) for i in (0, 1))
+        flat = flat.tolist()
         ends = np.cumsum(lengths)
         starts = ends - lengths
         ids = [flat[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
