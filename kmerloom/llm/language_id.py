@@ -146,9 +146,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     share = min(1.0, rows / max(1, n))
-    spread = F.xxhash64(F.lit(seed), "doc_id")
+    spread = F.xxhash64(F.lit(seed), "doc_id", text)
     long = F.greatest(F.char_length(text) - WINDOW, F.lit(0)) + 1
-    parts = F.array(*[F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(k), "doc_id"), long) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)])
+    parts = F.array(*[F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(k), "doc_id", text), long) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)])
     sample = labelled.where(F.pmod(spread, F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(lang).alias("lang"), parts.alias("parts")).limit(2 * rows).collect()
     pairs = sorted({(r.lang, part) for r in sample for part in r.parts if _LETTER.search(part)})
     if not pairs:

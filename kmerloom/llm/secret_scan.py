@@ -187,7 +187,7 @@ def learn(docs: DataFrame, text: str = "text", rows: int = 20_000, values: int =
     """Automata from a hash sample of about ``rows`` documents."""
     n = docs.count()
     share = min(1.0, rows / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(text)
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id", text), F.lit(1 << 30)) < int(share * (1 << 30))).select(text)
 
     def found(batches):
         for batch in batches:
