@@ -18,17 +18,19 @@ which is found by sorting the sources by cap / weight; only per-source rows meet
 Cumulative offsets are summed in two levels: a source's queue is cut into buckets by the leading
 bits of its order key, as many as the table needs for about ``part`` rows each, bucket totals are
 summed over buckets, and rows are summed inside a bucket, so a source with a third of all rows
-is never one task's work. Rows without a doc_id have their text's MD5 as key; those of one key are
-alike and dealt over SPLIT further buckets.
+is never one task's work. Rows without a doc_id have their text's MD5 as key. Rows that are alike (source, id,
+size, text) are one row of that sum, in SALTS parts, so that many copies are not one task's work either.
 
 Defined results: an empty table gives no rows; a null text has size 0 and is never taken;
 ids may repeat or be null; with no words at all, every
-target is 0. Repeated rows are queued one after another in undefined mutual order, which
-changes no figure of the source. Extra columns are ignored by the plan.
+target is 0. Repeated rows are queued one after another; rows are queued by key, doc_id, size and
+text, so that the order of the input changes nothing. Extra columns are ignored by the plan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,37 +64,45 @@ def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int =
     )
 
 
-def _source_sizes(sized: DataFrame) -> DataFrame:
-    """Words per source and bucket of its queue."""
-    return sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+#: Places over which equal rows (of one source, id, size and text) are dealt.
+SALTS = 64
 
 
-#: Buckets of rows of one key that have no doc_id.
-SPLIT = 64
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """docs packed as ``row``, with a number and a hash of each row, doc_id, source and size. The number holds as long as the table is
+    read in one order; ``stream`` compares the hash."""
+    mark = F.xxhash64("doc_id", "source", text, F.col(text).isNull())
+    return docs.select(packed_row(docs), F.monotonically_increasing_id().alias("id"), mark.alias("mark"), "doc_id", "source", F.col(text).alias("text"), word_count(text).alias("size"))
 
 
 def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, part: int = 50_000, whole_documents: bool = False) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken (words), position (of its first use), last_position.
+    """Per document: doc_id, source, size, source_size, target, taken (words), position (of its first use), last_position; and its
+    row's number and hash, offset and slope.
 
     The last document that a source still needs is taken in part; with whole_documents it is
     taken whole if at least half of it is needed and otherwise not. Positions are null where nothing is taken.
     """
     bits = max(10, (docs.count() // part).bit_length())
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(text), F.lit("")))
-    leading = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)) * SPLIT
-    sized = docs.select(
-        "doc_id", "source", word_count(text).alias("size"), key.alias("key"),
-        (leading + F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % SPLIT).otherwise(0)).alias("bucket"),
-    )
-    parts = _source_sizes(sized)
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    sized = _rows(docs, text).select("id", "mark", "doc_id", "source", "size", key.alias("key"), (F.col("id") % SALTS).cast("int").alias("salt"))
+    sized = sized.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)))
+    # Rows that are alike in all of this may take any of their group's places; a group has SALTS rows at most.
+    alike = ["source", "bucket", "key", "doc_id", "size", "mark", "salt"]
+    groups = sized.groupBy(*alike).agg(F.count("*").alias("n"))
+    parts = groups.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     sums = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, slopes, max_repeat)
     queue = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("ahead", F.coalesce(F.sum("words").over(queue), F.lit(0)))
     starts = starts.join(sums, starts.source.eqNullSafe(sums.source)).select(starts.source, "bucket", "ahead", "source_size", "target", "slope")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = rows.join(starts, rows.source.eqNullSafe(starts.source) & (rows.bucket == starts.bucket)).select(
-        "doc_id", rows.source, "size", "source_size", "target", "slope", (F.col("ahead") + F.col("within")).alias("offset")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "mark", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    placed = groups.join(starts, groups.source.eqNullSafe(starts.source) & (groups.bucket == starts.bucket)).select(
+        *[groups[c] for c in alike], "source_size", "target", "slope", (F.col("ahead") + F.col("within")).alias("offset")
+    )
+    rows = sized.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy("id")) - 1)
+    same = [rows[c].eqNullSafe(placed[c]) for c in alike]
+    joined = rows.join(placed, reduce(lambda x, y: x & y, same)).select(
+        "id", rows.mark, rows.doc_id, rows.source, rows["size"], "source_size", "target", "slope", (F.col("offset") + F.col("copy") * rows["size"]).alias("offset")
     )
     want = F.floor(F.col("target") + F.lit(0.5))
     full = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long")
@@ -102,7 +112,7 @@ def plan(docs: DataFrame, text: str = "text", weights=WEIGHTS, slopes=SLOPES, ma
     taken = F.least(full * F.col("size") + part, F.col("size") * max_repeat).cast("long")
     at = lambda offset: position(offset, F.col("target"), F.col("slope"))
     return joined.withColumn("taken", taken).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, at(F.col("offset"))).alias("position"),
+        "id", "mark", "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, at(F.col("offset"))).alias("position"),
         F.when(F.col("taken") > 0, at(F.col("offset") + (F.ceil(F.col("taken") / F.col("size")) - 1) * F.col("source_size"))).alias("last_position"), "offset", "slope",
     )
 
@@ -118,17 +128,16 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
 def stream(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mixed corpus: every use of a document as a row with its columns, range-sorted by training position.
 
-    The plan is joined to the documents on doc_id, source and size; a repeated (doc_id, source, size)
-    row shares its first row's decision.
+    Rows find their decisions by their numbers, so equal or absent doc_ids are documents of their own. A table whose rows
+    come in another order each time it is read is an error; write it first.
     """
-    planned = plan(docs, text, whole_documents=True, **options).where("taken > 0")
-    uses = planned.dropDuplicates(["doc_id", "source", "size"]).select(
-        "doc_id", "source", "size", "target", "slope", "source_size", "offset", F.explode(F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).alias("epoch")
-    )
-    uses = uses.select("doc_id", "source", "size", position(F.col("offset") + F.col("epoch") * F.col("source_size"), F.col("target"), F.col("slope")).alias("position"))
-    rows = docs.select(packed_row(docs), "doc_id", "source", word_count(text).alias("size"))
-    mixed = rows.join(uses, rows.doc_id.eqNullSafe(uses.doc_id) & rows.source.eqNullSafe(uses.source) & (rows["size"] == uses["size"])).select("row", rows.doc_id, "position")
-    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")
+    planned = plan(docs, text, whole_documents=True, **options)
+    uses = F.when(F.col("taken") > 0, F.sequence(F.lit(0), (F.col("taken") / F.col("size")).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    decisions = planned.select("id", F.col("mark").alias("planned"), F.transform(uses, lambda e: position(F.col("offset") + e * F.col("source_size"), F.col("target"), F.col("slope"))).alias("positions"))
+    rows = _rows(docs, text).select("row", "id", "mark", "doc_id")
+    moved = F.when(F.col("mark") == F.col("planned"), F.col("positions")).otherwise(F.raise_error(F.lit("the rows moved between two reads")).cast("array<double>"))
+    mixed = rows.join(decisions, "id", "left").select("row", "doc_id", "mark", F.explode(moved).alias("position"))
+    return mixed.repartitionByRange("position", "doc_id", "mark").sortWithinPartitions("position", "doc_id", "mark").select("row.*")
 
 
 SQL = r"""
