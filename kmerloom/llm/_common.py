@@ -55,6 +55,12 @@ def packed_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps and variants, which Spark does not hash, count as JSON."""
+    known = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*known, *[c.isNull() for c in known])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,8 @@ Two texts are equal when they are identical after deleting every character of
    digests have one salt, so that their content moves once.
 3. *Globally*: at most ``salts`` winners per hot content meet by (digest, content).
 
-Content is a grouping key at every stage, so a digest collision cannot merge two texts. A digest is
+Content is a grouping key at both merging stages. The look-up of a document's group, and the
+choice between rows, compare SHA-256, a second 64-bit hash and the length instead. A digest is
 hot if it belongs to more than 1 / 4096 of all documents: fewer than 4096 digests, found by a count of
 one small row a document, which is kept as a table. By its key (SHA-256, a second hash, length)
 each document then looks its group up, hot keys by a salt; that join carries no text.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, hot_values, packed_row, salted_join, text_or_empty, written
+from ._common import SPACE, hot_values, packed_row, row_mark, salted_join, text_or_empty, written
 
 #: Rank of a row within its group as one number: code points first, then the smaller doc_id, null last.
 #: A fixed-width decimal keeps the aggregation hash-based, which a struct would not.
@@ -99,12 +100,12 @@ def decide(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all their columns; one of each set of repeated rows."""
+    """The rows that stay, with all their columns; of rows with equal doc_id, content and length that of the smallest hash of the whole row."""
     best = winners(docs, hot_values(keys(docs, text), "digest"), text, salts).select(*KEY, F.col("top").alias("rank"))
     content = F.regexp_replace(text_or_empty(text), SPACE, "").alias("content")
     rank = _rank(F.char_length(text_or_empty(text)), F.col("doc_id").cast("long")).alias("rank")
-    rows = docs.select(packed_row(docs), content, rank).select("row", F.unhex(F.sha2("content", 256)).alias("digest"), "content", "rank").select("row", *_hashes(), "rank")
-    return rows.dropDuplicates([*KEY, "rank"]).join(best, [*KEY, "rank"], "left_semi").select("row.*")
+    rows = docs.select(packed_row(docs), row_mark(docs).alias("mark"), content, rank).select("row", "mark", F.unhex(F.sha2("content", 256)).alias("digest"), "content", "rank").select("row", "mark", *_hashes(), "rank")
+    return rows.groupBy(*KEY, "rank").agg(F.min_by("row", "mark").alias("row")).join(best, [*KEY, "rank"], "left_semi").select("row.*")
 
 
 SQL = r"""

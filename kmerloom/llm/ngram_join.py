@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hot_values, packed_row, partitions_for, salted_join, written
+from ._common import hot_values, packed_row, partitions_for, row_mark, salted_join, written
 
 WORDS = 5
 #: Texts of one part of a task from which on a shingle is counted instead of listed, and entries of a part.
@@ -323,14 +323,18 @@ def similar(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
 _BLOCK_BYTES = 8_000_000
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, blocks: int) -> DataFrame:
-    """The pairs (a, b) that link.
+def _verified(pairs: DataFrame, sets: DataFrame, blocks: int, tried: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that link; those of ``tried``, where these are added, are left out: each pair is verified once.
 
     Pairs are cut into blocks * blocks parts by their ends, and a set goes once to each part it has a
     pair in, so that what moves is bounded by the sets and not by the pairs.
     """
     part = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for earlier in tried:
+        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
     cut = written(pairs.withColumn("part", part("a") * blocks + part("b")), "pairs")
+    tried.append(cut.select("a", "b"))
     ends = cut.select(F.col("part").alias("block"), F.col("a").alias("node")).union(cut.select("part", "b")).distinct()
 
     def run(some: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
@@ -404,7 +408,7 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 4, tries: int = 8
 
     sets = written(found.select(F.col("row").alias("node"), "n", "items").join(active.select("node"), "node", "left_semi"), "sets")
     blocks = max(8, -(-(sets.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // _BLOCK_BYTES))
-    labels = active.select("node", F.col("node").alias("comp"))
+    labels, tried = active.select("node", F.col("node").alias("comp")), []
     for turn in range(rounds):
         mine, seekers = shared.join(labels, "node"), None
         if turn:  # only what is left between components, and of that the entries outside a shingle's largest one
@@ -416,7 +420,7 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 4, tries: int = 8
         met = (seekers or mine).withColumnsRenamed({"node": "a", "n": "n_a", "pos": "pos_a"}).join(_everywhere(lead), ["key", "salt"]).where("comp <> comp_b").where(_FIRST)
         most = Window.partitionBy("a").orderBy(F.col("keys").desc(), "b")
         pairs = met.groupBy("a", "b").agg(F.count("*").alias("keys")).withColumn("place", F.row_number().over(most)).where(F.col("place") <= tries).select("a", "b")
-        labels = merged(labels, written(_verified(pairs, sets, blocks), "found"))
+        labels = merged(labels, written(_verified(pairs, sets, blocks, tried), "found"))
 
     # Whatever is left between components.
     mine = shared.join(labels, "node")
@@ -434,8 +438,7 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 4, tries: int = 8
     left = side(outside.withColumns({"x": own, "y": each}), "a", "x", "y", "main")
     right = side(mine.withColumns({"x": each, "y": own}), "b", "x", "y")
     met = left.join(right, ["key", "x", "y"]).where("comp_a <> comp_b AND (comp_b = main OR node_a < node_b)").where(_FIRST).where("NOT arrays_overlap(early_a, early_b)")
-    once = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    labels = merged(labels, written(_verified(once, sets, blocks), "found"))
+    labels = merged(labels, written(_verified(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets, blocks, tried), "found"))
 
     component = of_class.join(labels, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
     whole = salted_join(per_doc, component, ["cls"], hot_cls).select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("row")).alias("component"))
@@ -444,19 +447,13 @@ def classes(docs: DataFrame, text: str = "text", rounds: int = 4, tries: int = 8
     return salted_join(whole, least, ["component"], hot_values(whole, "component")).select("doc_id", "n_shingles", "component_id", "component", "mark")
 
 
-def _mark(docs: DataFrame) -> Column:
-    """A hash of the whole row, except maps, which Spark does not hash."""
-    known = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    return F.xxhash64(*known, *[c.isNull() for c in known])
-
-
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each class: that of the smallest doc_id (nulls last), then of the smallest hash of the row; all columns stay.
 
     Rows with equal doc_ids, or with none, are told apart by that hash, which is the same wherever a row is computed.
     Of rows equal in all columns as many stay as make classes of their own (wordless ones do).
     """
-    rows = docs.select(packed_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), _mark(docs).alias("mark"))
+    rows = docs.select(packed_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), row_mark(docs).alias("mark"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("first")
     chosen = classes(rows, mark="mark").groupBy("component").agg(first).select("first.*")
     # Plain columns as keys, so that equal rows are combined where they are read and whole rows move once.
