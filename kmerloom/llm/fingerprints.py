@@ -94,12 +94,27 @@ def peel(cells: Column) -> Column:
     return F.transform(F.array(done), lambda s: F.when(~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["x"] != 0)), s["found"]))[0]
 
 
+def _few(a: Column, b: Column, tables: int, seed: int, fails) -> Column:
+    """The difference over a few tables by hash; fails(a, b) gives it for a table that does not empty."""
+    of = lambda items, g: F.filter(items, lambda p: F.pmod(F.xxhash64(p["k"], F.lit(seed)), F.lit(tables)) == g)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda g: F.struct(of(a, g).alias("a"), of(b, g).alias("b")))
+    return _differences(parts, fails)
+
+
 def _dealt(a: Column, b: Column, tables: Column, seed: int, fails) -> Column:
-    """The difference over tables by hash; fails(a, b) gives it for a table that does not empty."""
-    of = lambda items, g: F.filter(items, lambda p: F.pmod(F.xxhash64(p["k"], F.lit(seed)), tables) == g)
-    both = lambda g: F.struct(of(a, g).alias("a"), of(b, g).alias("b"))
-    parts = F.transform(F.sequence(F.lit(0), tables - 1), both)
-    return F.flatten(F.transform(parts, lambda p: F.coalesce(peel(subtract(table(p["a"]), table(p["b"]))), fails(p["a"], p["b"]))))
+    """The same over any number of tables: digests are dealt in two steps, by the digits of their table's number, so that none is
+    looked at once per table."""
+    numbered = lambda items: F.transform(items, lambda p: F.struct(p["k"].alias("k"), p["cells"].alias("cells"), p["x"].alias("x"), F.pmod(F.xxhash64(p["k"], F.lit(seed)), tables).cast("int").alias("g")))
+    base = F.ceil(F.sqrt(tables)).cast("int")
+    digits = F.sequence(F.lit(0), base - 1)
+    split = lambda x, y, of: F.transform(digits, lambda i: F.struct(F.filter(x, lambda p: of(p["g"]) == i).alias("a"), F.filter(y, lambda p: of(p["g"]) == i).alias("b")))
+    coarse = split(numbered(a), numbered(b), lambda g: F.floor(g / base))
+    return _differences(F.flatten(F.transform(coarse, lambda c: split(c["a"], c["b"], lambda g: g % base))), fails)
+
+
+def _differences(parts: Column, fails) -> Column:
+    some = F.filter(parts, lambda p: F.size(p["a"]) + F.size(p["b"]) > 0)
+    return F.flatten(F.transform(some, lambda p: F.coalesce(peel(subtract(table(p["a"]), table(p["b"]))), fails(p["a"], p["b"]))))
 
 
 def _exact(a: Column, b: Column) -> Column:
@@ -110,7 +125,7 @@ def _exact(a: Column, b: Column) -> Column:
 def difference(a: Column, cells_a: Column, b: Column, cells_b: Column) -> Column:
     """The digests in one of two placed sets only: array of k (digest) and s (1: in the first, -1: in the second)."""
     tables = F.ceil((F.size(a) + F.size(b)) / F.lit(float(EACH))).cast("int")
-    again = lambda x, y: _dealt(x, y, F.lit(SPLIT), 2, _exact)
+    again = lambda x, y: _few(x, y, SPLIT, 2, _exact)
     return F.coalesce(peel(subtract(cells_a, cells_b)), _dealt(a, b, F.greatest(tables, F.lit(2)), 1, again))
 
 
