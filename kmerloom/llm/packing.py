@@ -5,12 +5,13 @@ into full pieces and a last shorter one. A full piece is a sequence of its own.
 are dealt over cells of about ``cell_rows`` pieces; in a cell, best-fit decreasing packs them,
 and dual-feasible functions give a lower bound on the cell's number of sequences. A cell that
 meets its bound is certified and stays. The pieces of the other cells change places (they are
-dealt anew over as many cells) and best-fit decreasing runs again, as long as that lowers the
-number of sequences, ``rounds`` times at most.
+dealt anew over half as many cells, which leave fewer sequences that nothing fits) and best-fit decreasing runs again,
+as long as that lowers the number of sequences, ``rounds`` times at most.
 
-Every round is written to the shared folder, so a lost executor costs one round at most. A
-cell's rows are bounded by ``cell_rows`` (on average) whatever the keys, for rows are dealt by
-a row number and not by doc_id.
+Every round is written to the shared folder, so a lost executor costs one round at most. Rounds move
+lengths and row numbers only; pieces are joined to their places at the end. A cell's rows are bounded
+by ``cell_rows`` (on average; 2 ** ``rounds`` times as many of those two numbers in the last round) whatever the keys,
+for rows are dealt by a row number and not by doc_id.
 
 Defined results: an empty table gives no rows; a null text is an empty one, whose only
 token is the end id; repeated rows are packed like any others, each with its own pieces; a
@@ -113,46 +114,43 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, i
 
 def pack(pieces: DataFrame, limit: int, cell_rows: int = 50_000, rounds: int = 3) -> DataFrame:
     """pieces, with a column length of 1 to limit, plus sequence_id and offset."""
-    pieces = written(pieces, "pieces").withColumn("_row", F.monotonically_increasing_id())
-    full = pieces.where(F.col("length") == limit)
-    columns = [c for c in pieces.columns if c != "_row"]
-    result = full.select(*columns, (F.lit(1 << 62) + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < limit)
-    schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_cell", "_bin", "offset", "_bins", "_bound"))])
+    columns = pieces.columns
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    small = pieces.where(F.col("length") < limit).select("_row", "length")
+    schema = "_row long, length long, _cell long, _bin long, offset long, _bins long, _bound long"
 
     def cell(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = frame["length"].to_numpy()
         bins, offsets, used = best_fit(lengths, limit)
-        return frame.assign(_bin=bins, offset=offsets, _bins=used, _bound=lower_bound(lengths, limit))[schema.names]
+        return frame.assign(_bin=bins, offset=offsets, _bins=used, _bound=lower_bound(lengths, limit))
 
     def dealt(rows: DataFrame, cells: int, salt: int) -> DataFrame:
-        rows = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit(salt), "_row"), F.lit(cells)))
+        rows = rows.select("_row", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64(F.lit(salt), "_row"), F.lit(cells)).alias("_cell"))
         return written(rows.groupBy("_cell").applyInPandas(cell, schema), "packed")
 
     def numbered(rows: DataFrame, salt: int) -> DataFrame:
-        return rows.select(*columns, (F.lit(salt << 56) + F.col("_cell") * (1 << 24) + F.col("_bin")).alias("sequence_id"), "offset")
+        return rows.select("_row", (F.lit(salt << 56) + F.col("_cell") * (1 << 24) + F.col("_bin")).alias("sequence_id"), "offset")
 
     def gaps(rows: DataFrame) -> tuple[DataFrame, int, int]:
         found = rows.where("_bins > _bound")
         cells = found.groupBy("_cell").agg(F.max("_bins").alias("n")).agg(F.count("*"), F.sum("n")).first()
         return found, cells[0], cells[1] or 0
 
-    n = rest.count()
-    now = dealt(rest, max(1, -(-n // cell_rows)), 0)
+    now, places = dealt(small, max(1, -(-small.count() // cell_rows)), 0), None
     open_rows, cells, bins = gaps(now)
-    for salt in range(1, rounds + 1):
-        if cells < 2:
-            break
-        again = dealt(open_rows.select(*rest.columns), cells, salt)
+    salt = 0
+    while cells > 1 and salt < rounds:
+        again = dealt(open_rows, -(-cells // 2), salt + 1)
         fewer = again.groupBy("_cell").agg(F.max("_bins").alias("n")).agg(F.sum("n")).first()[0]
         if fewer >= bins:
             break
-        result = result.unionByName(numbered(now.where("_bins <= _bound"), salt - 1))
-        now = again
+        done = numbered(now.where("_bins <= _bound"), salt)
+        places, now, salt = done if places is None else places.union(done), again, salt + 1
         open_rows, cells, bins = gaps(now)
-    else:
-        salt = rounds + 1
-    return result.unionByName(numbered(now, salt - 1))
+    last = numbered(now, salt)
+    places = last if places is None else places.union(last)
+    full = pieces.where(F.col("length") == limit).select(*columns, (F.lit(1 << 62) + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(pieces.where(F.col("length") < limit).join(places, "_row").select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, limit: int = 4096, text: str = "text", **options) -> DataFrame:
