@@ -46,8 +46,8 @@ from ._common import documents, partitions_for, written
 from ._tokens import tokenizer_path
 from .token_counts import _Numbers, _packed, _unpacked
 
-#: Bytes of a range; ranges that a task combines; characters of a chunk of documents.
-RANGE, FAN, CHUNK = 1 << 16, 16, 16_000_000
+#: Bytes of a range; ranges that a task combines; characters of a chunk of documents; words that the libraries encode at once.
+RANGE, FAN, CHUNK, SLICE = 1 << 16, 16, 8_000_000, 8192
 #: A pair is a << SHIFT | b.
 SHIFT = 24
 #: A place between words where both tokenizers' tokens end.
@@ -180,26 +180,32 @@ class Aligner:
         if any("▁" in piece(i).lstrip("▁") for i in range(len(self.b_bytes))):
             raise ValueError(f"{path_b} has pieces that span words")
 
+    def _a(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+
     def tokens(self, words: list[str]) -> tuple[Tokens, np.ndarray, np.ndarray]:
         """Tokens of the text that is made of a space and a word, each; offset of each word's end; whether a word is not given back.
 
         Words that are not have no tokens and no bytes.
         """
-        own = [" " + w for w in words]
-        ids = [[e.ids for e in self.a.encode_batch_fast(own, add_special_tokens=False)], self.b.encode(words)]
-        raw = [w.encode() for w in own]
-        size = np.array([len(r) for r in raw], np.int64)
+        size = np.array([1 + len(w.encode()) for w in words], np.int64)
         bad, flat = np.zeros(len(words), bool), []
-        for part, table, sizes in zip(ids, (self.a_bytes, self.b_bytes), self.sizes, strict=True):
-            count = np.array([len(x) for x in part], np.int64)
-            every = np.fromiter(chain.from_iterable(part), np.int64, count.sum())
-            ends = np.append(0, np.cumsum(sizes[every]))[np.cumsum(count)]
-            if not (np.array_equal(ends, np.cumsum(size)) and b"".join(map(table.__getitem__, every.tolist())) == b"".join(raw)):
-                bad |= [b"".join(map(table.__getitem__, x)) != r for x, r in zip(part, raw, strict=True)]
-            flat.append((every, count))
+        for encode, table, sizes in ((self._a, self.a_bytes, self.sizes[0]), (self.b.encode, self.b_bytes, self.sizes[1])):
+            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for at in range(0, len(words), SLICE):
+                some = words[at : at + SLICE]
+                part = encode(some)
+                count = np.array([len(x) for x in part], np.int64)
+                every = np.fromiter(chain.from_iterable(part), np.int32, count.sum())
+                own = size[at : at + SLICE]
+                if not np.array_equal(np.append(0, np.cumsum(sizes[every]))[np.cumsum(count)], np.cumsum(own)) or b"".join(map(table.__getitem__, every.tolist())) != (" " + " ".join(some)).encode():
+                    bad[at : at + SLICE] |= [b"".join(map(table.__getitem__, x)) != (" " + w).encode() for x, w in zip(part, some, strict=True)]
+                ids.append(every)
+                counts.append(count)
+            flat.append((np.concatenate(ids), np.concatenate(counts)))
         out = []
         for (every, count), sizes in zip(flat, self.sizes, strict=True):
-            every = every[~np.repeat(bad, count)]
+            every = every[~np.repeat(bad, count)].astype(np.int64)
             out += [every, np.cumsum(sizes[every]), sizes[every]]
         return Tokens(*out), np.cumsum(np.where(bad, 0, size)), bad
 
