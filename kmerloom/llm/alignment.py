@@ -91,11 +91,22 @@ class Tokens:
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return place, (self.a[place] << SHIFT) | self.b[first[place] + inside]
 
-    def spelled(self, common: np.ndarray) -> list[str]:
-        """The groups that end at these offsets: ids of A, |, ids of B."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        i, k = np.searchsorted(self.a_end, common, side="right").tolist(), np.searchsorted(self.b_end, common, side="right").tolist()
-        return [",".join(a[p:q]) + "|" + ",".join(b[r:s]) for p, q, r, s in zip([0, *i], i, [0, *k], k, strict=False)]
+    def spelled(self, common: np.ndarray, ends: np.ndarray) -> list[str]:
+        """For each of ends, some of the common ends, the last one among them: the groups up to it, ids of A, |, ids of B, with ; between them."""
+        of_a, of_b = np.searchsorted(common, self.a_end, side="left"), np.searchsorted(common, self.b_end, side="left")
+        last = lambda of: np.append(of[1:] != of[:-1], True)[: len(of)].astype(np.int64)
+        stop = np.isin(common, ends).astype(np.int64)
+        n = 1 << max(8, int(max(self.a.max(initial=0), self.b.max(initial=0))).bit_length())
+        flat = np.empty(len(of_a) + len(of_b), object)
+        flat[np.arange(len(of_a)) + np.searchsorted(of_b, of_a, side="left")] = _numerals(n, ",|")[self.a + n * last(of_a)]
+        flat[np.arange(len(of_b)) + np.searchsorted(of_a, of_b, side="right")] = _numerals(n, ",;\n")[self.b + n * last(of_b) * (1 + stop[of_b])]
+        return "".join(flat.tolist()).split("\n")[:-1]
+
+
+@lru_cache(maxsize=8)
+def _numerals(n: int, signs: str) -> np.ndarray:
+    """0 to n - 1 in decimal with each sign after them."""
+    return np.array([f"{i}{sign}" for sign in signs for i in range(n)], object)
 
 
 def _nothing() -> Tokens:
@@ -147,7 +158,7 @@ class Fragment:
 
 def _closed(tokens: Tokens, common: np.ndarray) -> tuple:
     pairs, n = np.unique(tokens.links()[1], return_counts=True)
-    groups = (zlib.compress(";".join(tokens.spelled(common)).encode(), 1),) if len(common) else ()
+    groups = (zlib.compress(tokens.spelled(common, common[-1:])[0].encode(), 1),) if len(common) else ()
     return len(tokens.a), len(tokens.b), len(common), pairs, n.astype(np.int64), groups
 
 
@@ -234,9 +245,9 @@ def aligned_chunk(coder: Aligner, chunk: int, doc_ids: list, texts: list[str]) -
     found = [[numbers[w] for w in CUT.split(t)] if t else [] for t in texts]
     tokens, ends, bad = coder.tokens(list(numbers))
     common = tokens.common()
-    groups = tokens.spelled(common)
     last = np.searchsorted(common, ends, side="right")
-    spelled = [";".join(groups[a:b]) for a, b in zip([0, *last.tolist()], last.tolist(), strict=False)]
+    groups = iter(tokens.spelled(common, ends[~bad]))
+    spelled = ["" if x else next(groups) for x in bad.tolist()]
     per_word = [np.diff(np.searchsorted(e, ends, side="right"), prepend=0) for e in (tokens.a_end, tokens.b_end)] + [np.diff(last, prepend=0)]
     place, pair = tokens.links()
     of_word = np.searchsorted(ends, tokens.a_end[place], side="left")
