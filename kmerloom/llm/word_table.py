@@ -40,7 +40,7 @@ from ._tokens import _SAFE, tokenizer_path
 from .token_counts import _Numbers, _packed, _unpacked
 
 #: Characters of a chunk, parts that the distinct words are dealt into at most, and the level at which both are packed.
-CHUNK, PARTS, LEVEL = 8_000_000, 4096, 9
+CHUNK, PARTS, LEVEL = 8_000_000, 4096, 5
 CHUNKS = T.StructType().add("chunk", "long").add("part", "integer").add("words", "binary")
 IDS = T.ArrayType(T.IntegerType())
 
@@ -93,8 +93,10 @@ def words(path: str) -> Words:
 
 def _ranked(distinct: Iterable[str], parts: int) -> list[tuple[int, list[str]]]:
     """Words by part, and in order in a part."""
-    own = sorted((zlib.crc32(w.encode()) % parts, w) for w in distinct)
-    return [(part, [w for _, w in some]) for part, some in groupby(own, key=lambda x: x[0])]
+    own = sorted(distinct)
+    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in own), np.int64, len(own))
+    order = np.argsort(part, kind="stable").tolist()
+    return [(k, [own[i] for i in some]) for k, some in groupby(order, key=part.tolist().__getitem__)]
 
 
 def chunks(docs: DataFrame, path: str, parts: int, bodies: bool, text: str = "text") -> DataFrame:
@@ -151,8 +153,9 @@ def chunks(docs: DataFrame, path: str, parts: int, bodies: bool, text: str = "te
 
 
 def _dense(*arrays: np.ndarray) -> bytes:
-    """The bytes that _packed gives, compressed harder."""
-    return zstandard.ZstdCompressor(level=LEVEL).compress(zstandard.ZstdDecompressor().decompress(_packed(*arrays)))
+    """What _packed gives, compressed harder."""
+    head = np.array([len(arrays), *(len(a) for a in arrays)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _planes(numbers: np.ndarray) -> np.ndarray:
