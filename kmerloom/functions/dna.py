@@ -26,6 +26,11 @@ def base_value(letter: Column) -> Column:
     return F.when(letter == "$", -1).otherwise(F.greatest(F.instr(F.lit(BASES), F.upper(letter)) - 1, F.lit(0)))
 
 
+def as_bases(text: Column) -> Column:
+    """The text with every character as the base that base_value gives it; characters are mapped, not dropped."""
+    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "A")
+
+
 def base_char(value: Column) -> Column:
     """Inverse of base_value for 0 to 3; ``$`` otherwise."""
     return F.when(value.between(0, 3), F.substring(F.lit(BASES), value.cast("int") + 1, F.lit(1))).otherwise("$")

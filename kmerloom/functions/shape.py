@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dna import BASES, base_char, base_values
+from .dna import BASES, as_bases, base_char, base_values
 
 #: Names of wider shapes do not fit a signed 64-bit number.
 MAX_WEIGHT = 31
@@ -71,12 +71,6 @@ def names(dna: Column, shape: Shape) -> Column:
     return F.transform(F.array(values), name)[0]
 
 
-def query_names(query: Column, shape: Shape) -> Column:
-    """Names of a query's whole windows; none if it is shorter than the span. Letters are mapped but not dropped."""
-    n = F.length(query)
-    return F.when(n >= shape.span, F.slice(names(query, shape), F.lit(1), n - shape.span + 1)).otherwise(F.array().cast("array<bigint>"))
-
-
 #: Letters of a block; a window that starts in a block is named there.
 BLOCK = 1 << 16
 
@@ -128,6 +122,13 @@ def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
+def whole_windows(queries: DataFrame, shape: Shape) -> DataFrame:
+    """query_id, window, name of queries (query_id, query): their windows that do not run past the end. Letters are mapped but not dropped."""
+    n = F.length("query")
+    rows = queries.where(n >= shape.span).select(F.struct("query_id", (n - shape.span).alias("last")).alias("text_id"), as_bases(F.col("query")).alias("dna"))
+    return kmers(rows, shape).where(F.col("pos") <= F.col("text_id.last")).select("text_id.query_id", F.col("pos").cast("int").alias("window"), "name")
+
+
 def spelling(name: Column, shape: Shape) -> Column:
     """The letters of a name, ``$`` past the text's end."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packed
-from ..functions.shape import Shape, query_names
-from .tables import kept
+from ..functions.shape import Shape, whole_windows
+from .tables import kept, numbered
 
 #: Ranks, or positions of C, that are handled together.
 BLOCK = 1 << 14
@@ -42,7 +42,7 @@ def positions(entries: DataFrame, c_array: DataFrame, span: int, columns: list[s
 
 def windows(queries: DataFrame, shape: Shape) -> DataFrame:
     """queries (query_id, query) as query_id, window, name; none for queries shorter than the span."""
-    return queries.select("query_id", F.posexplode(query_names(F.col("query"), shape)).alias("window", "name"))
+    return whole_windows(queries, shape)
 
 
 def serialize(c_array: DataFrame, h_table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +70,12 @@ def serialize(c_array: DataFrame, h_table: DataFrame) -> tuple[DataFrame, DataFr
         F.when(has_rest, F.concat(number(F.col("rest_pos"), F.col("pb")), number(F.col("rest_num"), width("rest_num")))).otherwise(""),
     )
     entries = h_table.join(widths.select("text_id", "pb"), "text_id").select("text_id", "name", F.unhex(spelled).alias("entry"))
-    before = Window.partitionBy("text_id").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return heads, entries.select("text_id", "name", F.coalesce(F.sum(F.octet_length("entry")).over(before), F.lit(0)).alias("start"), "entry")
+    # Starts are summed over blocks of names, then inside a block, so that no window holds a text's names.
+    entries = numbered(entries, "row", "text_id", "name").withColumn("block", F.floor(F.col("row") / BLOCK))
+    size, ahead = F.sum(F.octet_length("entry")), lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = entries.groupBy("text_id", "block").agg(size.alias("own")).select("text_id", "block", F.coalesce(F.sum("own").over(ahead("text_id", "block")), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(size.over(ahead("text_id", "block", "name")), F.lit(0))
+    return heads, entries.withColumn("inside", inside).join(starts, ["text_id", "block"]).select("text_id", "name", (F.col("ahead") + F.col("inside")).alias("start"), "entry")
 
 
 def deserialize(heads: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +88,14 @@ def deserialize(heads: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFr
 
 def unpacked(heads: DataFrame, entries: DataFrame) -> DataFrame:
     """The rows of h_table that entries hold."""
+    return fields(entries.join(heads.where("block = 0").select("text_id", "pb"), "text_id"))
+
+
+def fields(entries: DataFrame) -> DataFrame:
+    """The same of entries with their text's pb."""
     at = lambda raw, start, n: packed.get_be(F.substring(raw, start, n))
     m = packed.get_be(F.substring("entry", 1, 1)).cast("int")
-    bits = entries.join(heads.where("block = 0").select("text_id", "pb"), "text_id").withColumn("m", m)
+    bits = entries.withColumn("m", m)
     bits = bits.withColumns({"o": (F.col("m").bitwiseAND(0x80) > 0), "n_w": F.shiftright("m", 5).bitwiseAND(3) + 1, "a_w": F.shiftright("m", 3).bitwiseAND(3) + 1, "r": F.col("m").bitwiseAND(4) > 0, "r_w": F.col("m").bitwiseAND(3) + 1})
     field = lambda there, start, n: F.when(there, at(F.col("entry"), start, n).cast("int"))
     pb = F.col("pb")
@@ -98,13 +107,27 @@ def unpacked(heads: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def lookup(heads: DataFrame, entries: DataFrame, names: DataFrame, span: int) -> DataFrame:
-    """text_id, name, pos of some names (a table with that column), from the bytes: only their entries and the positions that these point to are read."""
+    """text_id, name, pos of some names (a table with that column), from the bytes: only their entries and the blocks that these point to are decoded."""
     some = unpacked(heads, entries.join(names.select("name").distinct(), "name", "left_semi"))
-    gather = lambda pos, num, add: some.where(f"{pos} IS NOT NULL").select("text_id", "name", F.explode(F.sequence(pos, F.col(pos) + F.col(num) - 1)).alias("c_idx"), add.alias("shift"))
-    places = gather("off_pos", "off_num", F.col("off_add") * span).union(gather("rest_pos", "rest_num", F.lit(0)))
-    at = packed.get_be(F.substring("c_bytes", F.col("c_idx") % BLOCK * F.col("pb") + 1, F.col("pb")))
-    found = places.withColumn("block", F.floor(F.col("c_idx") / BLOCK).cast("int")).join(heads, ["text_id", "block"])
-    return found.select("text_id", "name", (at + F.col("shift")).alias("pos"))
+    return from_blocks(block_ranges(some, span), heads)
+
+
+def block_ranges(some: DataFrame, span: int) -> DataFrame:
+    """text_id, name, block, first, last (places in the block), shift: the parts of C that rows of h_table point to."""
+    part = lambda pos, num, add: some.where(f"{pos} IS NOT NULL").select("text_id", "name", F.col(pos).alias("lo"), (F.col(pos) + F.col(num) - 1).alias("hi"), add.alias("shift"))
+    both = part("off_pos", "off_num", F.col("off_add") * span).union(part("rest_pos", "rest_num", F.lit(0)))
+    of = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    cut = both.withColumn("block", F.explode(F.sequence(of("lo"), of("hi"))))
+    start = F.col("block") * BLOCK
+    return cut.select("text_id", "name", "block", (F.greatest(F.col("lo"), start) - start).alias("first"), (F.least(F.col("hi"), start + BLOCK - 1) - start).alias("last"), "shift")
+
+
+def from_blocks(ranges: DataFrame, heads: DataFrame) -> DataFrame:
+    """text_id, name, pos: the positions in these parts of C. Of a block's bytes each range takes its own."""
+    n = F.col("last") - F.col("first") + 1
+    found = ranges.join(heads.select("text_id", "block", "pb", "c_bytes"), ["text_id", "block"])
+    found = found.select("text_id", "name", "shift", "pb", F.substring(F.col("c_bytes"), F.col("first") * F.col("pb") + 1, n * F.col("pb")).alias("raw"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return found.select("text_id", "name", (packed.get_be(F.substring(F.col("raw"), F.col("i") * F.col("pb") + 1, F.col("pb"))) + F.col("shift")).alias("pos"))
 
 
 def sizes(heads: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from . import kernels
 from .links import source_edges
 from .tables import components, kept
 
+#: Candidates of a text up to which it is one group.
+SMALL = 20_000
 CHOSEN = T.StructType().add("text_id", "long").add("name", "long").add("add", "integer").add("src_lo", "integer").add("src_hi", "integer").add("cov", "integer").add("covered", T.ArrayType(T.IntegerType())).add("whole", "boolean")
 
 
@@ -18,11 +20,14 @@ def select(found: DataFrame, ranked: DataFrame, intervals: DataFrame, algo: str
     """The chosen links, at most one a name; ``whole`` is false where an exact search ran out of nodes.
 
     A component's candidates are one group. Components lie within a text, so groups are
-    bounded by the texts; text_ids are independent tasks.
+    bounded by the texts; text_ids are independent tasks. Where no text has more than SMALL candidates, its text is
+    the group and components are not looked for; names of different components do not meet, so the links are the same.
     """
     algo = kernels.algorithm(algo)
     found = kept(found, "candidates")
-    labels = components(source_edges(found, ranked))
+    most = found.groupBy("text_id").count().agg(F.max("count")).first()[0] or 0
+    small = algo != "exact" and most <= SMALL  # an exact search has a budget for each component
+    labels = found.select("text_id", F.col("name").alias("node")).distinct().withColumn("component", F.lit(0)) if small else components(source_edges(found, ranked))
     sources = ranked.select("text_id", F.col("rank").alias("src_lo"), F.col("name").alias("src_name"))
     sizes = intervals.select("text_id", "name", "size")
     of_source = sizes.withColumnsRenamed({"name": "src_name", "size": "src_size"})

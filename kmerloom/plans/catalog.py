@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import dna, packed
 from ..functions.shape import Shape, catalogue, kmers, spelling
 from ..operators import index, kernels, links, selection, suffixes
-from ..operators.tables import kept
+from ..operators.tables import kept, shared_folder
 from ..sources import fasta, generated, models, suites
+from . import packed as packed_plans
 from . import sql
 from .index import GappedIndex, diff_problem
 
@@ -364,6 +365,14 @@ def positions_from_bytes(spark, sf_dir):
     return index.lookup(*GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern).serialized(), names, SMALL.span)
 
 
+@query(_SOME)
+def positions_saved(spark, sf_dir):
+    """The same from a packed index that was saved in buckets and loaded again."""
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    packed_plans.save(GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern), path)
+    return packed_plans.PackedIndex.load(spark, path).positions_of(kmers(_documents(spark, sf_dir), SMALL).select("name").distinct())
+
+
 @query(sql.kmers(*DOCS, SHORT))
 def decode_documents(spark, sf_dir):
     """All positions of all documents, decoded from their greedy index."""
