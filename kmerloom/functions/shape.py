@@ -104,6 +104,11 @@ def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
     blocks = raw.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(BLOCK)))).select(
         "text_id", F.col("start").cast("long").alias("start"), F.least(F.lit(BLOCK), F.col("n") + 1 - F.col("start")).alias("windows"), F.substring(F.col("raw"), F.col("start") + 1, F.lit(BLOCK + shape.span)).alias("piece")
     )
+    return named(blocks, shape)
+
+
+def named(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """text_id, pos, name of the first ``windows`` windows of pieces (text_id, start, windows, piece as bytes)."""
 
     def run(batches):
         for batch in batches:
@@ -118,7 +123,7 @@ def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([of_text, pa.array(places), pa.array(np.concatenate(names))], names=["text_id", "pos", "name"])
                 done = stop
 
-    schema = T.StructType([texts.schema["text_id"], T.StructField("pos", T.LongType()), T.StructField("name", T.LongType())])
+    schema = T.StructType([blocks.schema["text_id"], T.StructField("pos", T.LongType()), T.StructField("name", T.LongType())])
     return blocks.mapInArrow(run, schema)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import islands
+
 UNIVERSES = ("legacy", "maximal", "full")
 
 
@@ -27,13 +29,6 @@ def shifted(ranked: DataFrame, intervals: DataFrame, span: int, max_add: int, le
     return t.join(s, ["text_id", "orig"]).drop("orig")
 
 
-def _runs(pairs: DataFrame, keys: list[str], broken) -> DataFrame:
-    """pairs with ``run``, the number of the island of consecutive source ranks, by keys."""
-    by_source = Window.partitionBy(*keys).orderBy("s")
-    starts = F.when((F.col("s") == F.lag("s").over(by_source) + 1) & ~broken(by_source), 0).otherwise(1)
-    return pairs.withColumn("start", starts).withColumn("run", F.sum("start").over(by_source.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
-
-
 def candidates(ranked: DataFrame, intervals: DataFrame, span: int, max_add: int = 8, min_coverage: int = 3, intra: bool = True) -> DataFrame:
     """text_id, name, add, src_lo, src_hi, cov, covered: maximal runs with lcp >= add + 1 inside.
 
@@ -41,7 +36,7 @@ def candidates(ranked: DataFrame, intervals: DataFrame, span: int, max_add: int
     ranks they cover, or dropped without ``intra``.
     """
     keys = ["text_id", "name", "add"]
-    pairs = _runs(shifted(ranked, intervals, span, max_add, min_coverage), keys, lambda w: F.col("s_lcp") < F.col("add") + 1)
+    pairs = islands(shifted(ranked, intervals, span, max_add, min_coverage), keys, "s", F.col("s_lcp") < F.col("add") + 1)
     runs = pairs.groupBy(*keys, "run").agg(
         F.min("s").alias("src_lo"), (F.max("s") + 1).alias("src_hi"), F.count("*").cast("int").alias("cov"),
         F.transform(F.array_sort(F.collect_list(F.struct("s", "t"))), lambda p: p["t"]).alias("covered"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
@@ -73,7 +68,7 @@ def all_links(ranked: DataFrame, intervals: DataFrame, span: int, max_add: int =
     Without sub_runs only whole runs: linear in the text. With them a run of length L has up to
     L^2 / 2 links, by definition; meant for small texts.
     """
-    pairs = _runs(shifted(ranked, intervals, span, max_add, min_coverage), ["text_id", "name", "add"], lambda w: F.lit(False))
+    pairs = islands(shifted(ranked, intervals, span, max_add, min_coverage), ["text_id", "name", "add"], "s", F.lit(False))
     keys = ["text_id", "name", "add", "run"]
     runs = pairs.groupBy(*keys).agg(F.min("s").alias("src"), F.transform(F.array_sort(F.collect_list(F.struct("s", "t"))), lambda p: p["t"]).alias("tgt")).where(F.size("tgt") >= min_coverage)
     size = F.size("tgt")

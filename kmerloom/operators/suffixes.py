@@ -12,21 +12,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shape import Shape, kmers, window_names
-from .tables import kept, numbered
+from ..functions.shape import Shape, kmers, named, window_names
+from .tables import kept, numbered, with_offsets
 
+#: Letters of a block of a text that is kept in blocks.
+BLOCK = 1 << 16
 GSA = T.StructType().add("text_id", "long").add("rank", "integer").add("lexpos", "integer").add("orig", "long").add("name", "long").add("lcp", "integer")
 
 
 def lextext(texts: DataFrame, shape: Shape) -> DataFrame:
     """text_id, lexpos, orig, name. A window's place follows from its position and the text's length: no shuffle."""
-    m, s = F.length("dna") + 1, shape.span
-    rows = kmers(texts.select(F.struct("text_id", m.cast("long").alias("m")).alias("text_id"), "dna"), shape).select("text_id.*", "pos", "name")
+    m = F.length("dna") + 1
+    rows = kmers(texts.select(F.struct("text_id", m.cast("long").alias("m")).alias("text_id"), "dna"), shape)
+    return _in_lextext(rows.select("text_id.*", "pos", "name"), shape.span)
+
+
+def _in_lextext(rows: DataFrame, s: int) -> DataFrame:
     residue = F.col("pos") % s
     place = residue * F.floor(F.col("m") / s) + F.least(residue, F.col("m") % s) + F.floor(F.col("pos") / s)
     return rows.select("text_id", place.cast("int").alias("lexpos"), F.col("pos").alias("orig"), "name")
 
 
+def joined_blocks(texts: DataFrame, text_id: int = 0) -> DataFrame:
+    """text_id, block, m, dna: all texts (text_id, dna) joined without separator in order of their ids, as one text in blocks of
+    BLOCK letters that no task holds two of; m is its number of windows. An empty table is the empty text."""
+    pieces = with_offsets(texts.select("text_id", "dna", F.length("dna").cast("long").alias("n")), "n", "text_id", "dna").where("n > 0")
+    cut = pieces.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("n") - 1) / BLOCK))))
+    start = F.greatest(F.col("offset"), F.col("block") * BLOCK)
+    size = F.least(F.col("offset") + F.col("n"), (F.col("block") + 1) * BLOCK) - start
+    cut = cut.select("block", start.alias("start"), F.substring(F.col("dna").cast("binary"), (start - F.col("offset") + 1).cast("int"), size.cast("int")).cast("string").alias("part"))
+    whole = cut.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "").alias("dna"))
+    whole = kept(whole, "blocks")
+    m = whole.agg((F.coalesce(F.sum(F.length("dna")), F.lit(0)) + 1).alias("m")).withColumn("text_id", F.lit(text_id).cast("long"))
+    none = whole.sparkSession.range(1).select(F.col("id").alias("block"), F.lit("").alias("dna"))
+    some = whole.union(none.join(whole.limit(1).select(F.lit(0).cast("long").alias("block")), "block", "left_anti"))
+    return some.withColumn("text_id", F.lit(text_id).cast("long")).join(F.broadcast(m), "text_id").select("text_id", "block", "m", "dna")
+
+
+def lextext_of_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """The lextext of a text in blocks; a block's last windows read on in the next one."""
+    if shape.span > BLOCK:
+        raise ValueError(f"a window is at most {BLOCK} letters wide")
+    heads = blocks.select("text_id", (F.col("block") - 1).alias("block"), F.substring("dna", 1, shape.span).alias("head"))
+    own = F.length("dna")
+    last = (F.col("block") * BLOCK + own + 1 == F.col("m")).cast("int")  # the end of the text is a window of its last block
+    rows = blocks.join(heads, ["text_id", "block"], "left").select(
+        F.struct("text_id", "m").alias("text_id"), (F.col("block") * BLOCK).alias("start"), (own + last).alias("windows"), F.concat("dna", F.coalesce("head", F.lit(""))).cast("binary").alias("piece")
+    )
+    return _in_lextext(named(rows, shape).select("text_id.*", "pos", "name"), shape.span)
+
+
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and LCP by prefix doubling: level k ranks the suffixes by their first 2^k symbols."""
     m = len(symbols)
@@ -78,7 +113,12 @@ def gsa_by_doubling(texts: DataFrame, shape: Shape) -> DataFrame:
     across partitions, so that no task holds a text. Every level's ranks are kept; a common prefix is then read off them
     from the longest level down.
     """
-    base = kept(lextext(texts, shape), "lextext")
+    return gsa_of_lextext(lextext(texts, shape))
+
+
+def gsa_of_lextext(base: DataFrame) -> DataFrame:
+    """The suffix array of a lextext (text_id, lexpos, orig, name)."""
+    base = kept(base, "lextext")
     rows, width = base.count(), 1
     distinct = numbered(base.select("text_id", "name").distinct(), "r", "text_id", "name")
     levels = [kept(base.join(distinct, ["text_id", "name"]).select("text_id", "lexpos", "r"), "level")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, packed
@@ -413,7 +413,8 @@ def serialize_h(spark, sf_dir):
     return entries.select("text_id", "name", "start", F.lower(F.hex("entry")).alias("entry"))
 
 
-_GREEDY = sql.greedy(*ITEMS, SMALL, MAX_ADD, LEAST)
+_GREEDY = sql.selected(*ITEMS, SMALL, MAX_ADD, LEAST, sql.BY_SIZE)
+_DEPENDENCY = sql.selected(*ITEMS, SMALL, MAX_ADD, LEAST, sql.BY_DEPENDENCY)
 
 
 @query(f"WITH RECURSIVE {_GREEDY} SELECT text_id, name, add, src_lo, src_hi, cov, covered FROM chosen")
@@ -423,6 +424,37 @@ def greedy_rounds(spark, sf_dir):
     return _flat(selection.greedy_rounds(found, ranked, own))
 
 
+@query(f"WITH RECURSIVE {_DEPENDENCY} SELECT text_id, name, add, src_lo, src_hi, cov, covered FROM chosen")
+def dependency_rounds(spark, sf_dir):
+    """dep-order by joins alone: layers of the preferences, then names that decide in the reverse order."""
+    found, ranked, own = _found(spark, sf_dir)
+    return _flat(selection.dependency_rounds(found, ranked, own))
+
+
+@query(f"WITH RECURSIVE {_DEPENDENCY} SELECT text_id, name, turn FROM turns")
+def dependency_turns(spark, sf_dir):
+    """The turn in which each name with a preference decides, from 1 in each item."""
+    found, ranked, own = _found(spark, sf_dir)
+    turns = selection.dependency_turns(found, ranked, own)
+    return turns.withColumn("turn", F.row_number().over(Window.partitionBy("text_id").orderBy("turn")).cast("long"))
+
+
+@query(f"WITH RECURSIVE {_DEPENDENCY} SELECT text_id, count(*) AS m, count(DISTINCT name) AS names, CAST(count(*) FILTER (kept) AS BIGINT) AS c_count FROM ranks GROUP BY text_id")
+def dependency_stats(spark, sf_dir):
+    """Kept positions of the index of those links."""
+    found, ranked, own = _found(spark, sf_dir)
+    return GappedIndex.of_links(_benchmark(spark, sf_dir), SMALL, ranked, own, selection.dependency_rounds(found, ranked, own)).stats()
+
+
+@query(f"WITH RECURSIVE {_DEPENDENCY} SELECT text_id, count(*) AS links, CAST(sum(cov) AS BIGINT) AS covered, CAST(sum(cov) AS BIGINT) AS saved FROM chosen GROUP BY text_id")
+def dependency_feasible(spark, sf_dir):
+    """Per item: links, their covered ranks, and m - |C| of their index, which is the same."""
+    found, ranked, own = _found(spark, sf_dir)
+    built = GappedIndex.of_links(_benchmark(spark, sf_dir), SMALL, ranked, own, selection.dependency_rounds(found, ranked, own))
+    gain = built.chosen.groupBy("text_id").agg(F.count("*").alias("links"), F.sum("cov").alias("covered"))
+    return built.stats().join(gain, "text_id").select("text_id", "links", "covered", (F.col("m") - F.col("c_count")).alias("saved"))
+
+
 def _joined_greedy(spark, sf_dir) -> GappedIndex:
     """The benchmark items' index of links that rounds of joins chose."""
     found, ranked, own = _found(spark, sf_dir)

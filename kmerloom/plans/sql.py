@@ -104,21 +104,37 @@ def bytes_needed(expression: str) -> str:
     return "(" + BYTES.replace("{0}", f"({expression})") + ")"
 
 
-def greedy(table: str, key: str, shape: Shape, max_add: int, least: int) -> str:
-    """WITH RECURSIVE steps up to the greedy index: chosen, ranks, h_table, widths and entries (as hexadecimal text).
+#: Steps up to turns (text_id, name, turn from 1): the most frequent names first.
+BY_SIZE = "turns AS MATERIALIZED (SELECT text_id, name, row_number() OVER (PARTITION BY text_id ORDER BY size DESC, name) AS turn FROM (SELECT DISTINCT text_id, name FROM candidates) JOIN intervals USING (text_id, name))"
+
+#: The reverse of a topological order of the preferences of names of three ranks or more; what depends on a cycle comes last there, by size.
+BY_DEPENDENCY = """prefer AS MATERIALIZED (SELECT p.text_id, p.name, g.name AS src FROM preferred p JOIN gsa g ON g.text_id = p.text_id AND g.rank = p.src_lo JOIN intervals i ON i.text_id = p.text_id AND i.name = p.name WHERE i.size >= 3),
+nodes AS MATERIALIZED (SELECT text_id, name FROM candidates UNION SELECT text_id, src FROM prefer),
+layers AS (
+  SELECT text_id, name, 0 AS depth, [name] AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM prefer p WHERE p.text_id = n.text_id AND p.name = n.name AND p.src <> p.name)
+  UNION ALL SELECT p.text_id, p.name, l.depth + 1, list_append(l.path, p.name) FROM layers l JOIN prefer p ON p.text_id = l.text_id AND p.src = l.name AND p.src <> p.name
+),
+topological AS MATERIALIZED (
+  SELECT text_id, name, row_number() OVER (PARTITION BY text_id ORDER BY depth NULLS LAST, path, size DESC, name) AS pos FROM nodes LEFT JOIN layers USING (text_id, name) JOIN intervals USING (text_id, name)
+),
+turns AS MATERIALIZED (SELECT text_id, name, row_number() OVER (PARTITION BY text_id ORDER BY pos DESC) AS turn FROM topological JOIN (SELECT text_id, name FROM prefer) USING (text_id, name))"""
+
+
+def selected(table: str, key: str, shape: Shape, max_add: int, least: int, turns: str) -> str:
+    """WITH RECURSIVE steps up to an index whose names decide in turn: chosen, ranks, h_table, widths and entries (as hexadecimal text).
 
-    A text's names decide one at a time, the most frequent first; walk carries the ranks that are removed or read so far.
+    A text's names decide one at a time; walk carries the ranks that are removed or read so far.
     """
     number = lambda v, n: f"lpad(format('{{:x}}', {v}), CAST(2 * {n} AS INTEGER), '0')"
     add_w, num_w, rest_w = bytes_needed("off_add"), bytes_needed("off_num"), bytes_needed("rest_num")
     has_off, has_rest = "off_pos IS NOT NULL", "rest_pos IS NOT NULL"
     mark = f"CASE WHEN {has_off} THEN 128 + 32 * ({num_w} - 1) + 8 * ({add_w} - 1) ELSE 0 END + CASE WHEN {has_rest} THEN 4 + {rest_w} - 1 ELSE 0 END"
     return f"""{candidates(table, key, shape, max_add, least)},
+{turns},
 options AS MATERIALIZED (
-  SELECT text_id, dense_rank() OVER (PARTITION BY text_id ORDER BY size DESC, name) AS turn,
-         row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS place,
+  SELECT text_id, turn, row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS place,
          list_transform(range(src_lo, src_hi), lambda r: CAST(r AS BIGINT)) AS source, CAST(string_split(covered, ',') AS BIGINT[]) AS drops
-  FROM candidates JOIN intervals USING (text_id, name)
+  FROM candidates JOIN turns USING (text_id, name)
 ),
 walk AS (
   SELECT text_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS place, CAST([] AS BIGINT[]) AS removed, CAST([] AS BIGINT[]) AS reads FROM options GROUP BY text_id
@@ -132,7 +148,7 @@ walk AS (
 ),
 chosen AS MATERIALIZED (
   SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS place FROM candidates) c
-  JOIN (SELECT DISTINCT text_id, name, dense_rank() OVER (PARTITION BY text_id ORDER BY size DESC, name) AS turn FROM candidates JOIN intervals USING (text_id, name)) t USING (text_id, name)
+  JOIN turns t USING (text_id, name)
   JOIN walk w ON w.text_id = c.text_id AND w.turn = t.turn AND w.place = c.place
 ),
 gone AS (SELECT text_id, CAST(unnest(string_split(covered, ',')) AS INTEGER) AS rank, true AS gone FROM chosen),

@@ -2,51 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import clean
-from ..operators.tables import kept
+from ..operators import suffixes
+from ..operators.tables import kept, numbered, with_offsets
+from . import fasta_format
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, line_no, line of the text files below path, empty lines left out.
+def pieces(spark: SparkSession, path: str, range_bytes: int = fasta_format.RANGE) -> DataFrame:
+    """file, record (place of its header in the file; -1: before the first one), header, at, seq: the cleaned sequences of the files
+    at path in pieces of at most 65,536 letters, ``at`` ascending, and a row with seq '' for each header.
 
-    Files are read line by line and may be split: ``block`` is the place of the split in its file and ``line_no`` ascends
-    inside a split, so that (block, line_no) is the order of the file.
+    What a byte range's first bytes continue is read off the ends of the ranges before, a row a range.
     """
-    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return kept(read.where(F.length("line") > 0), "lines")
-
-
-def _joined(line) -> Column:
-    ordered = F.array_sort(F.collect_list(line))
-    return F.array_join(F.transform(ordered, lambda x: x["line"]), "")
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """file, record_no, header, seq: a record per header line (null header: lines before the first), cleaned; kept if
-    header or sequence is not empty. Headers are counted by split, so that no window holds a file."""
-    numbered = lines(spark, path).withColumn("is_header", F.startswith("line", F.lit(">")))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    headers = F.sum(F.col("is_header").cast("long"))
-    starts = numbered.groupBy("file", "block").agg(headers.alias("own")).select("file", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"))
-    inside = headers.over(Window.partitionBy("file", "block").orderBy("line_no"))
-    numbered = numbered.withColumn("inside", inside).join(starts, ["file", "block"]).withColumn("record", F.col("ahead") + F.col("inside"))
-    body = _joined(F.when(~F.col("is_header"), F.struct("block", "line_no", "line")))
-    grouped = numbered.groupBy("file", "record").agg(F.max(F.when(F.col("is_header"), F.trim(F.expr("substring(line, 2)")))).alias("header"), clean(body).alias("seq"))
-    some = grouped.where((F.length(F.coalesce("header", F.lit(""))) > 0) | (F.length("seq") > 0))
-    # Numbers without gaps, by blocks of records.
-    some = kept(some.withColumn("part", F.floor(F.col("record") / 10_000)), "records")
-    ahead = some.groupBy("file", "part").agg(F.count("*").alias("own")).select("file", "part", F.coalesce(F.sum("own").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("file", "part").orderBy("record"))
-    return some.withColumn("place", place).join(ahead, ["file", "part"]).select("file", (F.col("ahead") + F.col("place")).alias("record_no"), "header", "seq")
-
-
-def genome(spark: SparkSession, path: str) -> DataFrame:
-    """file, dna: every file's lines but headers, cleaned and joined without separator (k-mers cross records)."""
-    body = lines(spark, path).where(~F.startswith("line", F.lit(">")))
-    return body.groupBy("file").agg(clean(_joined(F.struct("block", "line_no", "line"))).alias("dna"))
+    fasta_format.register(spark)
+    rows = kept(spark.read.format("fasta").option("rangeBytes", range_bytes).load(path), "fasta")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    text = F.col("raw").cast("string")
+    line = F.when(F.length(text) > 0, F.right(text, F.lit(1)))
+    opened = rows.where("kind = 'header'").groupBy("file", "start").agg(F.max("at").alias("opened"))
+    ends = rows.where("kind = 'end'").select("file", "start", line.alias("line")).join(opened, ["file", "start"], "left")
+    ends = ends.select("file", "start", F.last("line", ignorenulls=True).over(before).alias("line"), F.coalesce(F.last("opened", ignorenulls=True).over(before), F.lit(-1)).alias("above"))
+    found = rows.where("kind <> 'end'").join(F.broadcast(ends), ["file", "start"])
+    kind = F.when((F.col("kind") == "rest") & (F.col("line") == ">"), "header").when(F.col("kind") == "rest", "sequence").otherwise(F.col("kind"))
+    found = found.withColumns({"was": F.col("kind"), "kind": kind})
+    # Inside a range the record is that of the last header in it.
+    inside = F.max(F.when(F.col("was") == "header", F.col("at"))).over(Window.partitionBy("file", "start").orderBy("at"))
+    found = found.withColumn("record", F.coalesce(inside, "above"))
+    headers = found.where("kind = 'header'").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
+    headers = headers.select("file", "record", F.trim(F.regexp_replace(F.decode(F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["raw"])), "UTF-8"), "\r$", "")).alias("header"))
+    letters = F.when(F.col("was") == "rest", clean(F.decode("raw", "ISO-8859-1"))).otherwise(F.col("raw").cast("string"))
+    body = found.where("kind = 'sequence'").select("file", "record", "at", letters.alias("seq")).where("seq <> ''")
+    return body.join(headers, ["file", "record"], "left").select("file", "record", "header", "at", "seq").union(headers.select("file", "record", "header", F.col("record").alias("at"), F.lit("")))
+
+
+def blocks(spark: SparkSession, path: str, size: int = 1 << 16, range_bytes: int = fasta_format.RANGE) -> DataFrame:
+    """file, record_no, header, block, seq: a record per header line (null header: lines before the first), numbered from 1 by file, in
+    blocks of ``size`` letters. A record without letters has one empty block; one without header and letters is none."""
+    rows = with_offsets(pieces(spark, path, range_bytes).withColumn("n", F.length("seq").cast("long")), "n", "file", "record", "at")
+    rows = kept(rows, "pieces")
+    some = rows.groupBy("file", "record").agg(F.min("offset").alias("first"), F.sum("n").alias("whole"), F.max("header").alias("header")).where("whole > 0 OR header <> ''")
+    some = kept(numbered(some, "row", "file", "record"), "records")
+    first = some.groupBy("file").agg(F.min("row").alias("low"))
+    some = some.join(F.broadcast(first), "file").select("file", "record", "header", "first", "whole", (F.col("row") - F.col("low") + 1).alias("record_no"))
+    own = rows.where("n > 0").drop("header").join(some, ["file", "record"]).withColumn("begin", F.col("offset") - F.col("first"))
+    cut = own.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("begin") + F.col("n") - 1) / size))))
+    start = F.greatest("begin", F.col("block") * size)
+    length = F.least(F.col("begin") + F.col("n"), (F.col("block") + 1) * size) - start
+    cut = cut.select("file", "record_no", "header", "block", start.alias("start"), F.substring(F.col("seq"), (start - F.col("begin") + 1).cast("int"), length.cast("int")).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "")
+    full = cut.groupBy("file", "record_no", "header", "block").agg(joined.alias("seq"))
+    return full.union(some.where("whole = 0").select("file", "record_no", "header", F.lit(0).cast("long"), F.lit("")))
+
+
+def records(spark: SparkSession, path: str, range_bytes: int = fasta_format.RANGE) -> DataFrame:
+    """file, record_no, header, seq: the records of ``blocks`` as whole sequences, for those that fit a row."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq"))), lambda x: x["seq"]), "")
+    return blocks(spark, path, range_bytes=range_bytes).groupBy("file", "record_no", "header").agg(joined.alias("seq"))
+
+
+def genome_blocks(spark: SparkSession, path: str, range_bytes: int = fasta_format.RANGE) -> DataFrame:
+    """text_id, block, m, dna: all sequences of the files at path, cleaned and joined without separator (k-mers cross records), as one
+    text in blocks, for ``suffixes.lextext_of_blocks``."""
+    rows = pieces(spark, path, range_bytes).where("seq <> ''")
+    return suffixes.joined_blocks(rows.select(F.struct("file", "at").alias("text_id"), F.col("seq").alias("dna")))
+
+
+def genome(spark: SparkSession, path: str, range_bytes: int = fasta_format.RANGE) -> DataFrame:
+    """file, dna: every file's sequences joined, for those that fit a row."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "")
+    return pieces(spark, path, range_bytes).groupBy("file").agg(joined.alias("dna"))
 
 
 def wrapped(texts: DataFrame, width: int = 60) -> DataFrame:
@@ -57,6 +84,7 @@ def wrapped(texts: DataFrame, width: int = 60) -> DataFrame:
 
 
 def write(texts: DataFrame, path: str, width: int = 60) -> None:
-    """One text per record, a record never over two files; a text's lines are one output row, so that they stay together."""
-    record = F.array_join(F.concat(F.array(F.concat(F.lit(">"), F.col("text_id").cast("string"))), F.regexp_extract_all("dna", F.lit(f".{{1,{width}}}" if width > 0 else ".+"), F.lit(0))), "\n")
-    texts.select(record.alias("value")).write.mode("overwrite").text(path)
+    """A record per text, headed by its text_id, a record never over two files."""
+    fasta_format.register(texts.sparkSession)
+    rows = texts.select(F.col("text_id").cast("string").alias("header"), F.col("dna").alias("seq"))
+    rows.write.format("fasta").mode("overwrite").option("width", width).save(path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna, packed
-from kmerloom.functions.shape import Shape, catalogue, kmers, query_names, spelling
+from kmerloom.functions.shape import Shape, catalogue, kmers, spelling, whole_windows
 
 
 def value(spark, column):
@@ -65,8 +65,9 @@ def test_cleaning(spark):
 
 
 def test_short_queries_have_no_window(spark):
-    assert value(spark, query_names(F.lit("AC"), Shape("#.#"))) == []
-    assert len(value(spark, query_names(F.lit("ACGTA"), Shape("#.#")))) == 3
+    queries = spark.createDataFrame([(1, "AC"), (2, "acgtn"), (3, None), (4, "é🙂G")], "query_id long, query string")
+    got = sorted(map(tuple, whole_windows(queries, Shape("#.#")).collect()))
+    assert got == [(2, p, n) for p, n in enumerate(brute(Shape("#.#"), "ACGTA")[:3])] + [(4, 0, brute(Shape("#.#"), "AAG")[0])]
 
 
 @pytest.mark.parametrize("n,width", [(0, 1), (255, 1), (256, 2), (65535, 2), (65536, 3), (2**56, 8)])

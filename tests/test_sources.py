@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kmerloom.operators import suffixes
 from kmerloom.sources import fasta, generated, suites
 
 
@@ -11,6 +12,54 @@ def test_fasta(spark, tmp_path):
     assert fasta.genome(spark, str(tmp_path)).first().dna == "ACGACGTAAC"
 
 
+def by_definition(text):
+    """Records of a FASTA text, line by line."""
+    out, header, seq = [], None, ""
+    for line in [*text.split("\n"), ">"]:
+        if line.startswith(">"):
+            if header or seq:
+                out.append((header, seq))
+            header, seq = line[1:].rstrip("\r").strip(), ""
+        else:
+            seq += "".join(c if c in "ACGT" else "A" for c in line.upper() if c.isascii() and c.isalpha())
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_byte_ranges(spark, tmp_path, size, monkeypatch):
+    """Ranges that cut headers, lines and records anywhere give what the whole file gives."""
+    text = "acg\n\n>one x é 🙂 of a long header\nACGTN\r\n\nAC\n>\n>\n>two\n" + "ACGTACGGT\n" * 9 + "tt" * 40 + "\n>three \r\nG-A*T é C\n>last"
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text("AC\nGT")
+    (tmp_path / "_hidden").write_text(">no\nA")
+    got = [(r.header, r.seq) for r in fasta.records(spark, str(tmp_path), size).where("file LIKE '%a.fa'").orderBy("record_no").collect()]
+    assert got == by_definition(text)
+    assert {r.file[-4:]: r.dna for r in fasta.genome(spark, str(tmp_path), size).collect()} == {"a.fa": "".join(x for _, x in got), "b.fa": "ACGT"}
+    whole = "".join(x for _, x in got) + "ACGT"
+    monkeypatch.setattr(suffixes, "BLOCK", 50)
+    cut = fasta.genome_blocks(spark, str(tmp_path), size).orderBy("block").collect()
+    assert "".join(r.dna for r in cut) == whole and {r.m for r in cut} == {len(whole) + 1} and {len(r.dna) for r in cut[:-1]} == {50}
+    parts = fasta.blocks(spark, str(tmp_path), 10, size).where("header = 'two'").orderBy("block").collect()
+    assert "".join(r.seq for r in parts) == dict(got)["two"] and {len(r.seq) for r in parts[:-1]} == {10}
+
+
+def test_writer(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "ACGT" * i) for i in range(40)], "text_id long, dna string").repartition(3)
+    for width, twice in ((60, 1), (0, 2)):
+        fasta.write(rows, str(tmp_path / "out"), width)
+        got = {r.header: r.seq for r in fasta.records(spark, str(tmp_path / "out")).collect()}
+        assert got == {str(i): "ACGT" * i for i in range(40)}
+        assert not [f for f in (tmp_path / "out").iterdir() if f.is_dir()]
+    bad = rows.select(F.col("text_id").cast("string").alias("header"), F.when(F.col("text_id") < 39, F.col("dna")).otherwise(F.raise_error(F.lit("stopped"))).alias("seq"))
+    with pytest.raises(Exception, match="stopped"):
+        bad.write.format("fasta").mode("append").save(str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists() or not list((tmp_path / "other").iterdir())
+    with pytest.raises(Exception, match="header and seq"):
+        rows.write.format("fasta").mode("append").save(str(tmp_path / "other"))
+    with pytest.raises(Exception, match="none.fa"):
+        fasta.records(spark, str(tmp_path / "none.fa")).collect()
+
+
 def test_generated(spark):
     one = spark.createDataFrame([(7, "ACGTTGCA" * 50)], "text_id long, dna string")
     strains = generated.pangenome(one, 3, 0.1).orderBy("strain").collect()
