@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, packed
 from ..functions.shape import Shape, catalogue, kmers, spelling
-from ..operators import index, kernels, links, selection, suffixes
+from ..operators import forest, index, kernels, links, selection, suffixes
 from ..operators.tables import kept, shared_folder
 from ..sources import fasta, generated, models, suites
 from . import packed as packed_plans
@@ -455,6 +455,21 @@ def dependency_feasible(spark, sf_dir):
     return built.stats().join(gain, "text_id").select("text_id", "links", "covered", (F.col("m") - F.col("c_count")).alias("saved"))
 
 
+_FORESTS = {repair: sql.selected(*ITEMS, SMALL, MAX_ADD, LEAST, sql.by_forest(repair)) for repair in (False, True)}
+
+
+@query(f"WITH RECURSIVE {_FORESTS[False]} SELECT text_id, name, add, src_lo, src_hi, cov, covered FROM chosen")
+def forest_rounds(spark, sf_dir):
+    """The best choice on the preference forest, by its levels, then what is left by size."""
+    return _flat(forest.forest_rounds(*_found(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_FORESTS[True]} SELECT text_id, name, add, src_lo, src_hi, cov, covered FROM chosen")
+def forest_repaired(spark, sf_dir):
+    """The same with each cycle cut where it loses least."""
+    return _flat(forest.forest_rounds(*_found(spark, sf_dir), repair=True))
+
+
 def _joined_greedy(spark, sf_dir) -> GappedIndex:
     """The benchmark items' index of links that rounds of joins chose."""
     found, ranked, own = _found(spark, sf_dir)
@@ -572,6 +587,44 @@ def resume_plan(spark, sf_dir):
     return suites.unfinished(planned, planned.join(toxic, "dataset").where("algo = 'greedy' AND max_add = 8"))
 
 
+_REFERENCES = """
+sets AS (SELECT source AS name, [CAST(NULL AS VARCHAR)][2:1] AS parts FROM documents WHERE source IS NOT NULL GROUP BY source
+  UNION ALL SELECT 'lang:' || lang, list(DISTINCT source ORDER BY source) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lang
+  UNION ALL SELECT 'all', list(DISTINCT 'lang:' || lang ORDER BY 'lang:' || lang) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+
+
+@query(f"""
+WITH RECURSIVE {_REFERENCES},
+walk AS (
+  SELECT name AS dataset, '' AS place, name AS leaf, parts FROM sets
+  UNION ALL SELECT w.dataset, w.place || '/' || lpad(CAST(i AS VARCHAR), 6, '0'), s.name, s.parts FROM (SELECT dataset, place, parts, unnest(range(1, len(parts) + 1)) AS i FROM walk) w JOIN sets s ON s.name = w.parts[i]
+)
+SELECT dataset, place, leaf FROM walk WHERE len(parts) = 0""")
+def suite_leaves(spark, sf_dir):
+    """The sources that every dataset of a manifest stands for: a source, a language of several, or all languages."""
+    docs = _table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    leaves = docs.select(F.col("source").alias("name")).distinct().select("name", F.lit("provided").alias("kind"), F.array().cast("array<string>").alias("parts"))
+    tagged = docs.where("lang IS NOT NULL").select(F.concat(F.lit("lang:"), "lang").alias("lang"), "source").distinct()
+    listed = lambda c: F.array_sort(F.collect_set(F.concat(F.lit("@"), c)))
+    langs = tagged.groupBy(F.col("lang").alias("name")).agg(F.lit("concat").alias("kind"), listed("source").alias("parts"))
+    whole = tagged.groupBy(F.lit("all").alias("name")).agg(F.lit("concat").alias("kind"), listed("lang").alias("parts"))
+    return suites.resolve(leaves.union(langs).union(whole))
+
+
+def _runs(max_add: int) -> str:
+    return f"""SELECT 'fold' || text_id % 4 AS dataset, '{SMALL.pattern}' AS shape, 'greedy' AS algo, {max_add} AS max_add, count(DISTINCT text_id) AS texts, count(*) AS m, CAST(count(*) FILTER (kept) AS BIGINT) AS c_count
+FROM (WITH RECURSIVE {sql.selected(*ITEMS, SMALL, max_add, LEAST, sql.BY_SIZE)} SELECT text_id, kept FROM ranks) GROUP BY ALL"""
+
+
+@query(f"{_runs(4)} UNION ALL {_runs(8)}")
+def suite_runs(spark, sf_dir):
+    """A suite over four folds of the benchmark items that stops after its first combination, and is taken up again."""
+    path = f"{shared_folder(spark)}/suite-{uuid.uuid4().hex}"
+    texts = _benchmark(spark, sf_dir).withColumn("dataset", F.concat(F.lit("fold"), (F.col("text_id") % 4).cast("string")))
+    suites.run_suite(texts, [SMALL.pattern], ["greedy"], [4], path)
+    return suites.run_suite(texts, [SMALL.pattern], ["greedy"], [4, 8], path).drop("bytes_total", "bytes_full")
+
+
 @query()
 def gzip_ratio(spark, sf_dir):
     return suites.gzip_ratios(_table(spark, sf_dir, "pages"), "page_id", "html")

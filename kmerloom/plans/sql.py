@@ -120,6 +120,39 @@ topological AS MATERIALIZED (
 turns AS MATERIALIZED (SELECT text_id, name, row_number() OVER (PARTITION BY text_id ORDER BY pos DESC) AS turn FROM topological JOIN (SELECT text_id, name FROM prefer) USING (text_id, name))"""
 
 
+def by_forest(repair: bool = False) -> str:
+    """The choice of greatest coverage on the preference forest, deepest first; then all others by size. A cycle loses the edge of its
+    largest name, with repair that of least coverage if it has less."""
+    lost = "CASE WHEN top_cov > weak.cov THEN weak.n ELSE top END" if repair else "top"
+    return f"""edges AS MATERIALIZED (SELECT p.text_id, p.name, g.name AS src, p.cov FROM preferred p JOIN gsa g ON g.text_id = p.text_id AND g.rank = p.src_lo JOIN intervals i ON i.text_id = p.text_id AND i.name = p.name WHERE i.size >= 3 AND g.name <> p.name),
+paths AS (
+  SELECT text_id, name AS start, src AS at, 1 AS n, name AS top, struct_pack(cov := cov, n := name) AS weak FROM edges
+  UNION ALL SELECT p.text_id, start, e.src, p.n + 1, greatest(top, e.name), least(weak, struct_pack(cov := e.cov, n := e.name)) FROM paths p JOIN edges e ON e.text_id = p.text_id AND e.name = p.at WHERE p.at <> p.start AND p.n < 10000 AND p.n <= (SELECT count(*) FROM edges x WHERE x.text_id = p.text_id)
+),
+cycles AS MATERIALIZED (SELECT p.text_id, p.start AS name, p.top, p.weak, e.cov AS top_cov FROM paths p JOIN edges e ON e.text_id = p.text_id AND e.name = p.top WHERE p.at = p.start),
+forest AS MATERIALIZED (SELECT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM cycles c WHERE c.text_id = e.text_id AND c.name = e.name AND c.name = {lost})),
+depths AS (
+  SELECT text_id, src AS name, CAST(NULL AS BIGINT) AS parent, 0 AS depth, CAST(-1 AS BIGINT) AS cov FROM forest f WHERE NOT EXISTS (SELECT 1 FROM forest g WHERE g.text_id = f.text_id AND g.name = f.src) GROUP BY ALL
+  UNION ALL SELECT f.text_id, f.name, f.src, d.depth + 1, CAST(f.cov AS BIGINT) FROM depths d JOIN forest f ON f.text_id = d.text_id AND f.src = d.name
+),
+placed AS MATERIALIZED (SELECT * FROM depths),
+gains AS (
+  SELECT text_id, name, parent, depth, CAST(0 AS BIGINT) AS keep, cov AS compress FROM placed QUALIFY depth = max(depth) OVER (PARTITION BY text_id)
+  UNION ALL
+  SELECT p.text_id, p.name, any_value(p.parent), any_value(p.depth), CAST(coalesce(sum(greatest(c.keep, c.compress)), 0) AS BIGINT), CAST(any_value(p.cov) + coalesce(sum(c.keep), 0) AS BIGINT)
+  FROM (SELECT text_id, any_value(depth) AS depth FROM gains GROUP BY text_id) d JOIN placed p ON p.text_id = d.text_id AND p.depth = d.depth - 1 LEFT JOIN gains c ON c.text_id = p.text_id AND c.parent = p.name
+  GROUP BY p.text_id, p.name
+),
+settled AS (
+  SELECT text_id, name, depth, false AS wanted FROM gains WHERE depth = 0
+  UNION ALL SELECT g.text_id, g.name, g.depth, NOT s.wanted AND g.compress > g.keep FROM settled s JOIN gains g ON g.text_id = s.text_id AND g.parent = s.name
+),
+turns AS MATERIALIZED (
+  SELECT text_id, name, row_number() OVER (PARTITION BY text_id ORDER BY depth DESC NULLS LAST, CASE WHEN depth IS NULL THEN -size ELSE 0 END, name) AS turn
+  FROM (SELECT DISTINCT text_id, name FROM candidates) JOIN intervals USING (text_id, name) LEFT JOIN (SELECT text_id, name, depth FROM settled WHERE wanted) USING (text_id, name)
+)"""
+
+
 def selected(table: str, key: str, shape: Shape, max_add: int, least: int, turns: str) -> str:
     """WITH RECURSIVE steps up to an index whose names decide in turn: chosen, ranks, h_table, widths and entries (as hexadecimal text).
 

@@ -69,9 +69,36 @@ def test_generated(spark):
 
 
 def test_suites(spark):
-    manifest = {"a": {"kind": "synthetic"}, "b": {"kind": "concat", "parts": ["@a", "@a"]}}
-    assert [x["name"] for x in suites.resolve(manifest, "b")] == ["a", "a"]
-    with pytest.raises(ValueError):
-        suites.resolve({"c": {"kind": "concat", "parts": ["@c"]}}, "c")
+    schema = "name string, kind string, parts array<string>"
+    manifest = [("a", "synthetic", None), ("b", "concat", ["@a", "a", "@d"]), ("d", "provided", []), ("e", "concat", ["@b", "@d"]), ("f", "concat", [])]
+    got = [(r.dataset, r.leaf) for r in suites.resolve(spark.createDataFrame(manifest, schema)).orderBy("dataset", "place").collect()]
+    assert got == [("a", "a"), *[("b", x) for x in "aad"], ("d", "d"), *[("e", x) for x in "aadd"]]
+    for bad, said in (([("c", "concat", ["@c"])], "itself"), ([("c", "concat", ["@x"])], "no dataset"), ([("c", "other", None)], "kind"), ([("c", "concat", ["@g"]), ("g", "concat", ["@c"])], "itself")):
+        with pytest.raises(Exception, match=said):
+            suites.resolve(spark.createDataFrame(bad, schema)).collect()
     results = spark.createDataFrame([(1, "x", 3), (1, "y", 3), (2, "x", 1), (2, "y", 2)], "text_id long, algo string, c_count long")
     assert {(r.algo, r.total, r.wins, r.ties) for r in suites.scoreboard(results).collect()} == {("x", 4, 1, 1), ("y", 5, 0, 1)}
+
+
+def test_a_suite_that_stops_is_taken_up_again(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([("x", 1, "ACGT" * 9), ("x", 2, "AC" * 9), ("y", 3, "GATTACA" * 5)], "dataset string, text_id long, dna string")
+    path, own, calls = str(tmp_path / "suite"), suites.append_results, []
+
+    def stops(rows, to):
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        calls.append(rows)
+        own(rows, to)
+
+    monkeypatch.setattr(suites, "append_results", stops)
+    grid = (["#.#", "##"], ["greedy", "dep-order"], [4])
+    with pytest.raises(RuntimeError, match="stopped"):
+        suites.run_suite(texts, *grid, path)
+    assert suites.finished(spark, path).count() == 4  # two combinations of two datasets
+    monkeypatch.setattr(suites, "append_results", lambda rows, to: (calls.append(rows), own(rows, to)))
+    rows = suites.run_suite(texts, *grid, path)
+    assert len(calls) == 4 and rows.count() == rows.select(*suites.RUN_KEY).distinct().count() == 8
+    own(calls[0], path)  # written again, a run replaces itself
+    assert suites.finished(spark, path).count() == 8
+    more = suites.run_suite(texts.union(spark.createDataFrame([("z", 4, "ACG" * 8)], texts.schema)), *grid, path)
+    assert len(calls) == 8 and more.count() == 12
