@@ -36,7 +36,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -331,8 +331,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, blocks: int, tried: list[DataFr
     """
     part = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for earlier in tried:
-        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    if tried:
+        pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
     cut = written(pairs.withColumn("part", part("a") * blocks + part("b")), "pairs")
     tried.append(cut.select("a", "b"))
     ends = cut.select(F.col("part").alias("block"), F.col("a").alias("node")).union(cut.select("part", "b")).distinct()
