@@ -104,3 +104,11 @@ def conflicts(links: DataFrame) -> DataFrame:
     source = links.select("text_id", "name", F.explode(F.sequence("src_lo", F.col("src_hi") - 1)).alias("rank"))
     covered = links.select("text_id", F.col("name").alias("other"), F.explode("covered").alias("rank"))
     return source.join(covered, ["text_id", "rank"]).select("text_id", "name", "other").distinct()
+
+
+def mean_degrees(found: DataFrame, ranked: DataFrame, cap: int = 16) -> DataFrame:
+    """text_id, mean_degree: neighbours of a name in the dependency graph (either reads from the other), at most ``cap`` of each counted."""
+    edges = source_edges(found, ranked).where("a <> b")
+    both = edges.union(edges.select("text_id", "b", "a")).distinct()
+    degrees = both.groupBy("text_id", "a").agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+    return degrees.groupBy("text_id").agg((F.sum("n") / F.count("*")).alias("mean_degree"))

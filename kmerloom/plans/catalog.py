@@ -74,6 +74,43 @@ def locate(spark, sf_dir):
     return GappedIndex.build(_benchmark(spark, sf_dir), LONG.pattern).locate(turns)
 
 
+@query(f"""
+WITH q AS (SELECT text_id AS query_id, dna AS query FROM ({sql.clean(*ITEMS)}))
+SELECT query_id, CAST("window" AS INTEGER) AS "window", name, text_id, pos FROM ({_WINDOWS}) JOIN ({sql.kmers(*ITEMS, LONG)}) USING (name)""")
+def window_listing(spark, sf_dir):
+    """Every window of each benchmark item with its positions in all items, from their compressed index."""
+    items = _benchmark(spark, sf_dir)
+    return GappedIndex.build(items, LONG.pattern).windows(items.toDF("query_id", "query"))
+
+
+@query(f"""
+WITH e AS ({sql.kmers(*ITEMS, SMALL)}), g AS (SELECT text_id, pos, name FROM ({sql.kmers(*DOCS, SMALL)}) WHERE text_id IN (SELECT text_id FROM e))
+SELECT *, 'missing' AS side FROM (SELECT text_id, name, pos FROM g EXCEPT ALL SELECT text_id, name, pos FROM e) UNION ALL SELECT *, 'extra' FROM (SELECT text_id, name, pos FROM e EXCEPT ALL SELECT text_id, name, pos FROM g)""")
+def posting_differences(spark, sf_dir):
+    """What the index of the benchmark items lacks, and has too much, as an index of the documents of the same ids."""
+    items = _benchmark(spark, sf_dir)
+    docs = _documents(spark, sf_dir).join(items.select("text_id"), "text_id", "left_semi")
+    return index.differences(suffixes.postings(docs, SMALL), GappedIndex.build(items, SMALL.pattern).decoded())
+
+
+_GENOME = "(SELECT 0 AS id, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS text FROM documents)", "id"
+
+
+@query(f"SELECT name, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM ({sql.kmers(*_GENOME, LONG)}) GROUP BY name HAVING count(*) > 1")
+def genome_names(spark, sf_dir):
+    """Names that occur more than once in all documents joined to one text, which no task holds."""
+    blocks = suffixes.joined_blocks(_documents(spark, sf_dir))
+    return suffixes.lextext_of_blocks(blocks, LONG).groupBy("name").agg(F.count("*").alias("n"), F.sum("orig").alias("pos_sum")).where("n > 1")
+
+
+@query()
+def genome_candidates(spark, sf_dir):
+    """Candidate links of all documents joined to one text, its suffixes sorted by ranges: per add their number and sums."""
+    ranked = kept(suffixes.gsa_of_lextext(suffixes.lextext_of_blocks(suffixes.joined_blocks(_documents(spark, sf_dir)), LONG)), "gsa")
+    found = links.candidates(ranked, suffixes.intervals(ranked), LONG.span, MAX_ADD, LEAST)
+    return found.groupBy("add").agg(F.count("*").alias("links"), F.sum("cov").alias("cov_sum"), F.sum("src_lo").alias("src_lo_sum"), F.sum(F.aggregate("covered", F.lit(0).cast("long"), lambda n, r: n + r)).alias("covered_sum"))
+
+
 @query(f"""
 WITH q AS (SELECT text_id AS query_id, dna AS query FROM ({sql.clean(*ITEMS)}))
 SELECT query_id, count(*) AS hits FROM (SELECT DISTINCT query_id, text_id, pos FROM ({_WINDOWS}) JOIN ({sql.kmers(*DOCS, LONG)}) USING (name)) GROUP BY query_id""")
@@ -294,6 +331,23 @@ def dep_graph(spark, sf_dir):
     return degrees.groupBy("text_id").agg((F.sum("n") / F.count("*")).alias("mean_degree"))
 
 
+@query(f"""
+WITH {_CANDIDATES}, ranks AS (SELECT DISTINCT text_id, name, unnest(range(src_lo, src_hi)) AS rank FROM candidates),
+reads AS (SELECT DISTINCT r.text_id, r.name AS a, g.name AS b FROM ranks r JOIN gsa g ON g.text_id = r.text_id AND g.rank = r.rank WHERE r.name <> g.name),
+degrees AS (SELECT text_id, a, least(count(*), 4) AS n FROM (SELECT * FROM reads UNION SELECT text_id, b, a FROM reads) GROUP BY text_id, a)
+SELECT text_id, CAST(sum(n) AS DOUBLE) / count(*) AS mean_degree FROM degrees GROUP BY text_id""")
+def capped_degree(spark, sf_dir):
+    """Mean number of neighbours in the dependency graph, four of a name at most."""
+    found, ranked, _ = _found(spark, sf_dir)
+    return links.mean_degrees(found, ranked, 4)
+
+
+@query(f"""WITH {_CANDIDATES} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY text_id, name ORDER BY cov DESC, add DESC, src_lo) AS INTEGER) AS place FROM candidates) WHERE place <= 2""")
+def capped_candidates(spark, sf_dir):
+    """The two best candidates of each name."""
+    return _flat(links.preferred(_found(spark, sf_dir)[0], keep=2))
+
+
 @query(f"""
 WITH {_CANDIDATES}, s AS (SELECT text_id, name, unnest(range(src_lo, src_hi)) AS rank FROM preferred), c AS (SELECT text_id, name AS other, unnest(CAST(string_split(covered, ',') AS BIGINT[])) AS rank FROM preferred)
 SELECT DISTINCT s.text_id, name, other FROM s JOIN c ON s.text_id = c.text_id AND s.rank = c.rank""")
@@ -317,6 +371,21 @@ def all_links(spark, sf_dir):
     return links.all_links(ranked, own, SMALL.span, MAX_ADD, LEAST).drop("covered")
 
 
+@query(f"""
+WITH {sql.gsa(*ITEMS, SMALL)},
+pairs AS (
+  SELECT t.text_id, t.name, a.add, t.rank AS t, s.rank AS s FROM gsa t JOIN intervals i ON i.text_id = t.text_id AND i.name = t.name AND i.size >= {LEAST}
+  CROSS JOIN (SELECT unnest(range(1, {MAX_ADD + 1})) AS add) a JOIN gsa s ON s.text_id = t.text_id AND s.orig = t.orig - a.add * {SMALL.span}
+),
+marked AS (SELECT *, s - row_number() OVER (PARTITION BY text_id, name, add ORDER BY s) AS run FROM pairs),
+spans AS (SELECT text_id, name, add, run, min(s) AS src_lo, max(s) + 1 AS src_hi, count(*) AS cov FROM marked GROUP BY ALL HAVING count(*) >= {LEAST})
+SELECT text_id, name, CAST(add AS INTEGER) AS add, CAST(src_lo AS INTEGER) AS src_lo, CAST(src_hi AS INTEGER) AS src_hi, CAST(cov AS INTEGER) AS cov FROM spans s
+WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE m.text_id = s.text_id AND m.name = s.name AND m.add = s.add AND m.run = s.run AND m.t >= src_lo AND m.t < src_hi)""")
+def maximal_links(spark, sf_dir):
+    """The decodable links that are whole runs (universe ``maximal``)."""
+    return diff_problem(_benchmark(spark, sf_dir), SMALL.pattern, MAX_ADD, LEAST, universe="maximal")[2].drop("covered")
+
+
 @query()
 def ilp_constraints(spark, sf_dir):
     """The exact selection problem over every decodable link (the full universe), as linear constraints."""
