@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import packed
+from ..functions import monotone, packed
 from ..functions.shape import Shape, whole_windows
 from .tables import kept, numbered
 
@@ -130,6 +130,33 @@ def from_blocks(ranges: DataFrame, heads: DataFrame) -> DataFrame:
     return found.select("text_id", "name", (packed.get_be(F.substring(F.col("raw"), F.col("i") * F.col("pb") + 1, F.col("pb"))) + F.col("shift")).alias("pos"))
 
 
+#: Names of a block of the monotone form.
+NAMES = 4096
+
+
+def name_blocks(entries: DataFrame) -> DataFrame:
+    """text_id, block, first, last, names, starts, h_bytes: the entries (text_id, name, start, entry) of each text in order of names, NAMES a
+    block, with Elias-Fano forms of the names and of the entries' starts in the block's bytes."""
+    rows = numbered(entries, "row", "text_id", "name").withColumn("block", F.floor(F.col("row") / NAMES))
+    grouped = rows.groupBy("text_id", "block").agg(F.array_sort(F.collect_list(F.struct("name", "start", "entry"))).alias("all"), F.min("start").alias("begin"))
+    column = lambda c: F.transform("all", lambda x: x[c])
+    starts = F.transform("all", lambda x: x["start"] - F.col("begin"))
+    whole = F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["entry"])), ""))
+    return grouped.select("text_id", "block", column("name")[0].alias("first"), F.element_at(column("name"), -1).alias("last"), monotone.packed(column("name")).alias("names"), monotone.packed(starts).alias("starts"), whole.alias("h_bytes"))
+
+
+def by_rank(blocks: DataFrame, wanted: list[int]) -> DataFrame:
+    """text_id, name, entry of some names: a block's names are ranked in its Elias-Fano form, which gives the entry's number; its start, and
+    that of the next one, are selected. Blocks of other names are not looked into; their least and largest names are columns that a scan prunes by."""
+    some = F.array(*[F.lit(int(n)).cast("long") for n in wanted]) if wanted else F.array().cast("array<bigint>")
+    low, high = (min(wanted), max(wanted)) if wanted else (0, -1)
+    near = blocks.where((F.col("first") <= high) & (F.col("last") >= low)).withColumn("wanted", F.filter(some, lambda n: n.between(F.col("first"), F.col("last"))))
+    there = near.where(F.size("wanted") > 0).withColumn("hits", F.filter(F.arrays_zip(monotone.places("names", "wanted").alias("at"), F.col("wanted").alias("name")), lambda x: x["at"] >= 0))
+    starts = there.where(F.size("hits") > 0).withColumn("all", monotone.unpacked("starts")).withColumn("hit", F.explode("hits"))
+    start, end = F.element_at("all", F.col("hit.at") + 1), F.coalesce(F.get("all", F.col("hit.at") + 1), F.octet_length("h_bytes").cast("long"))
+    return starts.select("text_id", F.col("hit.name").alias("name"), F.substring(F.col("h_bytes"), (start + 1).cast("int"), (end - start).cast("int")).alias("entry"))
+
+
 def sizes(heads: DataFrame, entries: DataFrame, texts: DataFrame) -> DataFrame:
     """Per text: m, c_count, names, pb, bytes of C, H, entry starts and names, their sum, a full array's bytes, keep_pct, size_pct."""
     h = entries.groupBy("text_id").agg(F.count("*").alias("names"), F.sum(F.octet_length("entry")).alias("bytes_h"), F.max("name").alias("last"))

@@ -434,6 +434,14 @@ def positions_from_bytes(spark, sf_dir):
     return index.lookup(*GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern).serialized(), names, SMALL.span)
 
 
+@query(_SOME)
+def positions_by_rank(spark, sf_dir):
+    """The same from blocks of Elias-Fano names and starts, by rank and select. The names of a short shape are few: at most its name space."""
+    names = [r.name for r in kmers(_documents(spark, sf_dir), SMALL).select("name").distinct().limit(SMALL.name_space).collect()]
+    heads, entries = GappedIndex.build(_benchmark(spark, sf_dir), SMALL.pattern).serialized()
+    return index.from_blocks(index.block_ranges(index.unpacked(heads, index.by_rank(index.name_blocks(entries), names)), SMALL.span), heads)
+
+
 @query(_SOME)
 def positions_saved(spark, sf_dir):
     """The same from a packed index that was saved in buckets and loaded again."""
