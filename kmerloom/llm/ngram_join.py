@@ -50,7 +50,7 @@ from ._common import hot_values, packed_row, partitions_for, row_mark, salted_jo
 
 WORDS = 5
 #: Texts of one part of a task from which on a shingle is counted instead of listed, and entries of a part.
-HOT, PART = 256, 2_000_000
+HOT, PART = 256, 1_000_000
 _BITS = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
