@@ -103,14 +103,6 @@ def genome_names(spark, sf_dir):
     return suffixes.lextext_of_blocks(blocks, LONG).groupBy("name").agg(F.count("*").alias("n"), F.sum("orig").alias("pos_sum")).where("n > 1")
 
 
-@query()
-def genome_candidates(spark, sf_dir):
-    """Candidate links of all documents joined to one text, its suffixes sorted by ranges: per add their number and sums."""
-    ranked = kept(suffixes.gsa_of_lextext(suffixes.lextext_of_blocks(suffixes.joined_blocks(_documents(spark, sf_dir)), LONG)), "gsa")
-    found = links.candidates(ranked, suffixes.intervals(ranked), LONG.span, MAX_ADD, LEAST)
-    return found.groupBy("add").agg(F.count("*").alias("links"), F.sum("cov").alias("cov_sum"), F.sum("src_lo").alias("src_lo_sum"), F.sum(F.aggregate("covered", F.lit(0).cast("long"), lambda n, r: n + r)).alias("covered_sum"))
-
-
 @query(f"""
 WITH q AS (SELECT text_id AS query_id, dna AS query FROM ({sql.clean(*ITEMS)}))
 SELECT query_id, count(*) AS hits FROM (SELECT DISTINCT query_id, text_id, pos FROM ({_WINDOWS}) JOIN ({sql.kmers(*DOCS, LONG)}) USING (name)) GROUP BY query_id""")
