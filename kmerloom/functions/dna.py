@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,20 @@ def clean(text: Column) -> Column:
     return F.translate(letters, _OTHERS, "A" * len(_OTHERS))
 
 
+_LETTERS = bytes(i for i in range(128) if chr(i).isalpha())
+_CLEANED = bytes(c if (c := chr(i).upper().encode("latin-1", "replace")[0]) in BASES.encode() else ord("A") for i in range(256))
+_DROPPED = bytes(i for i in range(256) if i not in _LETTERS)
+
+
 def texts(table: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """text_id, dna of a table's rows."""
-    return table.select(F.col(key).cast("long").alias("text_id"), clean(F.col(text)).alias("dna"))
+    """text_id, dna of a table's rows: what ``clean`` gives, by a table of bytes (all bytes of other characters are no letters)."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x or b"").translate(_CLEANED, _DROPPED) for x in raw], pa.binary()).cast(pa.string())], names=["text_id", "dna"])
+
+    return table.select(F.col(key).cast("long").alias("text_id"), F.col(text).alias("dna")).mapInArrow(run, "text_id long, dna string")
 
 
 def base_value(letter: Column) -> Column:

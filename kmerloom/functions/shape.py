@@ -81,12 +81,13 @@ def window_names(letters: np.ndarray, n: int, shape: Shape) -> np.ndarray:
     ``$`` only stands past the end, so a name is a flat sum over the positions before it: 1 + value * g each.
     """
     values = np.zeros(n + shape.span, np.int64)
-    inside = np.zeros(n + shape.span, np.int64)
     size = min(len(letters), n + shape.span)
-    values[:size], inside[:size] = _VALUES[letters[:size]], 1
-    out = np.zeros(n, np.int64)
+    values[:size] = _VALUES[letters[:size]]
+    out, part = np.full(n, shape.weight, np.int64), np.empty(n, np.int64)
     for offset, block in zip(shape.care, shape.g[1:], strict=True):
-        out += values[offset : offset + n] * block + inside[offset : offset + n]
+        out += np.multiply(values[offset : offset + n], block, out=part)
+    for offset in shape.care:
+        out[max(0, size - offset) :] -= 1
     return out
 
 
@@ -100,11 +101,30 @@ def kmers(texts: DataFrame, shape: Shape) -> DataFrame:
     Spark cuts texts into overlapping blocks (by bytes, so that a cut's cost does not depend on its place), which bound what
     a Python batch holds; a block's names are a few vector sums.
     """
+    return named(blocks(texts, shape), shape)
+
+
+def blocks(texts: DataFrame, shape: Shape) -> DataFrame:
+    """text_id, start, windows, piece: texts (text_id, dna) cut into blocks, each with the letters that its last windows read on."""
     raw = texts.select("text_id", F.col("dna").cast("binary").alias("raw"), F.length("dna").alias("n"))
-    blocks = raw.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(BLOCK)))).select(
+    return raw.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(BLOCK)))).select(
         "text_id", F.col("start").cast("long").alias("start"), F.least(F.lit(BLOCK), F.col("n") + 1 - F.col("start")).alias("windows"), F.substring(F.col("raw"), F.col("start") + 1, F.lit(BLOCK + shape.span)).alias("piece")
     )
-    return named(blocks, shape)
+
+
+def _slices(batch: pa.RecordBatch, shape: Shape, size: int = 1_000_000):
+    """About ``size`` windows of a batch at once: its first and last row, the rows' numbers of windows, and their names."""
+    counts = batch.column(2).to_numpy()
+    edges, done = np.append(0, np.cumsum(counts)), 0
+    while done < len(counts):
+        stop = max(done + 1, int(np.searchsorted(edges, edges[done] + size, side="right")) - 1)
+        own = counts[done:stop]
+        yield done, stop, own, [window_names(np.frombuffer(p.as_buffer(), np.uint8), int(n), shape) for p, n in zip(batch.column(3)[done:stop], own, strict=True)]
+        done = stop
+
+
+def _places(batch: pa.RecordBatch, done: int, stop: int, own: np.ndarray) -> np.ndarray:
+    return np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(batch.column(1).to_numpy()[done:stop], own)
 
 
 def named(blocks: DataFrame, shape: Shape) -> DataFrame:
@@ -112,21 +132,45 @@ def named(blocks: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts = batch.column(2).to_numpy()
-            edges, done = np.append(0, np.cumsum(counts)), 0
-            while done < len(counts):  # about a million windows at once
-                stop = max(done + 1, int(np.searchsorted(edges, edges[done] + 1_000_000, side="right")) - 1)
-                own = counts[done:stop]
-                names = [window_names(np.frombuffer(p.as_buffer(), np.uint8), int(n), shape) for p, n in zip(batch.column(3)[done:stop], own, strict=True)]
-                places = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(batch.column(1).to_numpy()[done:stop], own)
+            for done, stop, own, names in _slices(batch, shape):
                 of_text = batch.column(0)[done:stop].take(pa.array(np.repeat(np.arange(stop - done), own)))
-                yield pa.RecordBatch.from_arrays([of_text, pa.array(places), pa.array(np.concatenate(names))], names=["text_id", "pos", "name"])
-                done = stop
+                yield pa.RecordBatch.from_arrays([of_text, pa.array(_places(batch, done, stop, own)), pa.array(np.concatenate(names))], names=["text_id", "pos", "name"])
 
     schema = T.StructType([blocks.schema["text_id"], T.StructField("pos", T.LongType()), T.StructField("name", T.LongType())])
     return blocks.mapInArrow(run, schema)
 
 
+def block_counts(texts: DataFrame, shape: Shape) -> DataFrame:
+    """text_id, name, n: how many windows of a block of a text have a name. A text of several blocks has several rows of a name, to be summed."""
+
+    def run(batches):
+        for batch in batches:
+            for done, stop, _, names in _slices(batch, shape):
+                found = [np.unique(x, return_counts=True) for x in names]
+                of_text = batch.column(0)[done:stop].take(pa.array(np.repeat(np.arange(stop - done), [len(x) for x, _ in found])))
+                yield pa.RecordBatch.from_arrays([of_text, pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([n for _, n in found]).astype(np.int64))], names=["text_id", "name", "n"])
+
+    schema = T.StructType([texts.schema["text_id"], T.StructField("name", T.LongType()), T.StructField("n", T.LongType())])
+    return blocks(texts, shape).mapInArrow(run, schema)
+
+
+def batch_counts(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """name, n, pos_sum of blocks of one text: number and sum of positions of its windows, to be summed. About four million windows
+    are counted at once, before they leave the task."""
+
+    def run(batches):
+        for batch in batches:
+            for done, stop, own, names in _slices(batch, shape, 4_000_000):
+                names, places = np.concatenate(names), _places(batch, done, stop, own)
+                order = np.argsort(names)
+                names = names[order]
+                first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+                sums = np.add.reduceat(places[order], first)
+                yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(np.diff(np.append(first, len(names)))), pa.array(sums)], names=["name", "n", "pos_sum"])
+
+    return blocks.mapInArrow(run, T.StructType().add("name", "long").add("n", "long").add("pos_sum", "long"))
+
+
 def whole_windows(queries: DataFrame, shape: Shape) -> DataFrame:
     """query_id, window, name of queries (query_id, query): their windows that do not run past the end. Letters are mapped but not dropped."""
     n = F.length("query")
