@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shape import Shape, kmers, named, window_names
+from ..functions.shape import Shape, block_counts, kmers, named, window_names
 from .tables import kept, numbered, with_offsets
 
 #: Letters of a block of a text that is kept in blocks.
@@ -147,6 +147,13 @@ def intervals(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("text_id", "name").agg(F.min("rank").alias("lo"), (F.max("rank") + 1).alias("hi"), F.count("*").cast("int").alias("size"))
 
 
+def name_intervals(texts: DataFrame, shape: Shape) -> DataFrame:
+    """The same of texts of any length, without their suffix arrays: names stand in order there, so sums of their counts are the intervals."""
+    sizes = block_counts(texts, shape).repartition("text_id").groupBy("text_id", "name").agg(F.sum("n").alias("size"))
+    hi = F.sum("size").over(Window.partitionBy("text_id").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.select("text_id", "name", (hi - F.col("size")).cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col("size").cast("int").alias("size"))
+
+
 def postings(texts: DataFrame, shape: Shape) -> DataFrame:
     """text_id, name, pos: the true positions of every name."""
     return kmers(texts, shape).select("text_id", "name", "pos")
