@@ -49,17 +49,21 @@ def joined_blocks(texts: DataFrame, text_id: int = 0) -> DataFrame:
     return some.withColumn("text_id", F.lit(text_id).cast("long")).join(F.broadcast(m), "text_id").select("text_id", "block", "m", "dna")
 
 
-def lextext_of_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
-    """The lextext of a text in blocks; a block's last windows read on in the next one."""
-    if shape.span > BLOCK:
+def overlapping(blocks: DataFrame, span: int) -> DataFrame:
+    """text_id (a struct with m), start, windows, piece of a text in blocks; a block's last windows read on in the next one."""
+    if span > BLOCK:
         raise ValueError(f"a window is at most {BLOCK} letters wide")
-    heads = blocks.select("text_id", (F.col("block") - 1).alias("block"), F.substring("dna", 1, shape.span).alias("head"))
+    heads = blocks.select("text_id", (F.col("block") - 1).alias("block"), F.substring("dna", 1, span).alias("head"))
     own = F.length("dna")
     last = (F.col("block") * BLOCK + own + 1 == F.col("m")).cast("int")  # the end of the text is a window of its last block
-    rows = blocks.join(heads, ["text_id", "block"], "left").select(
+    return blocks.join(heads, ["text_id", "block"], "left").select(
         F.struct("text_id", "m").alias("text_id"), (F.col("block") * BLOCK).alias("start"), (own + last).alias("windows"), F.concat("dna", F.coalesce("head", F.lit(""))).cast("binary").alias("piece")
     )
-    return _in_lextext(named(rows, shape).select("text_id.*", "pos", "name"), shape.span)
+
+
+def lextext_of_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
+    """The lextext of a text in blocks."""
+    return _in_lextext(named(overlapping(blocks, shape.span), shape).select("text_id.*", "pos", "name"), shape.span)
 
 
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
