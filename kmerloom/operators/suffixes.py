@@ -7,7 +7,7 @@ span, then by position; suffixes are compared on it as one string, its end being
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,47 +67,88 @@ def lextext_of_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and LCP by prefix doubling: level k ranks the suffixes by their first 2^k symbols."""
+    """Suffix array and LCP by prefix doubling: level k ranks the suffixes by their first 2^k * per symbols, as many as one key holds."""
     m = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    levels, width = [rank], 1
+    known, own = np.unique(symbols, return_inverse=True)
+    bits = len(known).bit_length()
+    per = min(62 // bits, m)
+    key = np.zeros(m + 1, np.int64)  # 0 beyond the end
+    for j in range(per):
+        key[: m - j] |= (own[j:] + 1) << bits * (per - 1 - j)
+    rank = np.unique(key[:m], return_inverse=True)[1].astype(np.int64)
+    levels, width = [rank], per
     while rank.max() < m - 1:
         after = np.full(m, -1, np.int64)
         after[: max(0, m - width)] = rank[width:]
         rank = np.unique(rank * (m + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         levels.append(rank)
         width *= 2
-    order = np.argsort(rank)
+    order = np.empty(m, np.int64)
+    order[rank] = np.arange(m)
     a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(m, np.int32)
-    for k in range(len(levels) - 1, -1, -1):  # a common prefix is a sum of distinct powers of two
+    for k in range(len(levels) - 2, -1, -1):  # a common prefix is a sum of distinct powers of two, times per, and less than per symbols
         inside = (a < m) & (b < m)
         same = np.zeros(m - 1, bool)
         same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        step = same * (1 << k)
+        step = same * (per << k)
         lcp[1:] += step
         a, b = a + step, b + step
+    differ, same = key[np.minimum(a, m)] ^ key[np.minimum(b, m)], np.ones(m - 1, bool)
+    for j in range(per):
+        same &= differ >> bits * (per - 1 - j) == 0
+        if not same.any():
+            break
+        lcp[1:] += same
     return order, lcp
 
 
+def suffix_array(dna: str, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """lexpos, orig, name and lcp by rank of one text."""
+    own, s = window_names(np.frombuffer(dna.encode(), np.uint8), len(dna) + 1, shape), shape.span
+    orig = np.concatenate([np.arange(r, len(own), s) for r in range(s)])
+    order, lcp = _sorted_suffixes(own[orig])
+    return order, orig[order], own[orig[order]], lcp
+
+
 def gsa(texts: DataFrame, shape: Shape) -> DataFrame:
     """The gapped suffix array of each text, for texts that a task can hold: a row per rank."""
 
-    def run(frames):
-        for frame in frames:
-            made = []
-            for text_id, dna in zip(frame["text_id"], frame["dna"], strict=True):
-                own, s = window_names(np.frombuffer(dna.encode(), np.uint8), len(dna) + 1, shape), shape.span
-                m = len(own)
-                orig = np.concatenate([np.arange(r, m, s) for r in range(s)])
-                order, lcp = _sorted_suffixes(own[orig])
-                made.append(pd.DataFrame({"text_id": text_id, "rank": np.arange(m), "lexpos": order, "orig": orig[order], "name": own[orig[order]], "lcp": lcp}))
-                if sum(map(len, made)) > 200_000:
-                    yield pd.concat(made)
-                    made = []
+    def rows(ids, made):
+        sizes = [len(x[0]) for x in made]
+        of_text = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
+        lexpos, orig, name, lcp = map(np.concatenate, zip(*made, strict=True))
+        return pa.RecordBatch.from_arrays([of_text, pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32()), pa.array(lexpos, pa.int32()), pa.array(orig), pa.array(name), pa.array(lcp, pa.int32())], names=GSA.names)
+
+    def run(batches):
+        for batch in batches:
+            ids, made, size = [], [], 0
+            for text_id, dna in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(text_id)
+                made.append(suffix_array(dna.as_py(), shape))
+                size += len(made[-1][0])
+                if size > 200_000:
+                    yield rows(ids, made)
+                    ids, made, size = [], [], 0
             if made:
-                yield pd.concat(made)
+                yield rows(ids, made)
+
+    return texts.select("text_id", "dna").mapInArrow(run, GSA)
+
+
+def gsa_sums(texts: DataFrame, shape: Shape) -> DataFrame:
+    """text_id, m, order_sum, lcp_sum: ranks of the same arrays, their sums of rank * orig modulo 2^31 - 1 and of lcp. They are summed
+    where an array is made, so that its rows do not leave the task."""
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for dna in batch.column(1):
+                _, orig, _, lcp = suffix_array(dna.as_py(), shape)
+                sums.append((len(orig), int((np.arange(len(orig)) * orig % 2147483647).sum()), int(lcp.sum(dtype=np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*sums, strict=True)]], names=["text_id", "m", "order_sum", "lcp_sum"])
 
-    return texts.select("text_id", "dna").mapInPandas(run, GSA)
+    rows = texts.select("text_id", "dna").mapInArrow(run, "text_id long, m long, order_sum long, lcp_sum long")
+    return rows.groupBy("text_id").agg(*[F.sum(c).alias(c) for c in ("m", "order_sum", "lcp_sum")])
 
 
 def gsa_by_doubling(texts: DataFrame, shape: Shape) -> DataFrame:
