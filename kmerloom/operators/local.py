@@ -101,6 +101,33 @@ def candidates(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: i
     return texts.select("text_id", "dna").mapInArrow(run, LINKS)
 
 
+def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3) -> DataFrame:
+    """text_id, name, n, cov, src_sum, covered_sum, most: number of the same links of each name, sums of cov, src_lo and covered ranks,
+    and the largest cov. They are summed where they are found, so that their ranks do not leave the task."""
+    columns = ("name", "n", "cov", "src_sum", "covered_sum", "most")
+
+    def sums(dna):
+        _, orig, name, lcp = suffix_array(dna, shape)
+        _, src, cov, covered, at = text_links(orig, name, lcp, shape.span, max_add, min_coverage)
+        if not len(at):
+            return np.zeros((6, 0), np.int64)
+        whole, own = np.add.reduceat(covered, at), name[covered[at]]
+        order = np.argsort(own, kind="stable")
+        own, first = own[order], np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+        add = lambda x: np.add.reduceat(x[order], first)
+        return np.stack([own[first], np.diff(np.append(first, len(own))), add(cov), add(src), add(whole), np.maximum.reduceat(cov[order], first)])
+
+    def run(batches):
+        for batch in batches:
+            made = [sums(dna.as_py()) for dna in batch.column(1)]
+            of_text = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), [x.shape[1] for x in made])))
+            yield pa.RecordBatch.from_arrays([of_text, *map(pa.array, np.concatenate(made, axis=1))], names=["text_id", *columns])
+
+    if max_add < 1:
+        raise ValueError("max_add is at least 1")
+    return texts.select("text_id", "dna").mapInArrow(run, "text_id long, " + ", ".join(f"{c} long" for c in columns))
+
+
 def greedy(name: np.ndarray, links) -> tuple[list[int], np.ndarray]:
     """Numbers of the links that greedy takes, and which ranks they remove: largest interval first, its best link that is still free."""
     add, src, cov, covered, at = links
