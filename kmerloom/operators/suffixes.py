@@ -66,6 +66,12 @@ def lextext_of_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
     return _in_lextext(named(overlapping(blocks, shape.span), shape).select("text_id.*", "pos", "name"), shape.span)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return first, np.diff(np.append(first, len(values)))
+
+
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and LCP by prefix doubling: level k ranks the suffixes by their first 2^k * per symbols, as many as one key holds."""
     m = len(symbols)
@@ -75,15 +81,22 @@ def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(m + 1, np.int64)  # 0 beyond the end
     for j in range(per):
         key[: m - j] |= (own[j:] + 1) << bits * (per - 1 - j)
-    rank = np.unique(key[:m], return_inverse=True)[1].astype(np.int64)
-    levels, width = [rank], per
-    while rank.max() < m - 1:
-        after = np.full(m, -1, np.int64)
-        after[: max(0, m - width)] = rank[width:]
-        rank = np.unique(rank * (m + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+    order, rank = np.argsort(key[:m]), np.empty(m, np.int64)
+    first, sizes = _runs(key[order])
+    rank[order] = np.repeat(first, sizes)  # the first place of the equal ones
+    levels, width, tied = [rank], per, order[np.repeat(sizes > 1, sizes)]
+    while len(tied):  # only suffixes that are still equal to others are sorted on
+        after = np.where(tied + width < m, rank[np.minimum(tied + width, m - 1)], -1)
+        both = rank[tied] * (m + 1) + after + 1
+        again = np.argsort(both)
+        tied, both = tied[again], both[again]
+        was, were = _runs(rank[tied])
+        first, sizes = _runs(both)
+        rank = rank.copy()
+        rank[tied] += np.repeat(first, sizes) - np.repeat(was, were)
+        tied = tied[np.repeat(sizes > 1, sizes)]
         levels.append(rank)
         width *= 2
-    order = np.empty(m, np.int64)
     order[rank] = np.arange(m)
     a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(m, np.int32)
     for k in range(len(levels) - 2, -1, -1):  # a common prefix is a sum of distinct powers of two, times per, and less than per symbols
