@@ -106,8 +106,11 @@ class GappedIndex:
 
         A position has one name, so a query's distinct names have distinct positions.
         """
-        found = self.h_table.join(index.windows(queries, self.shape).select("query_id", "name").distinct(), "name")
-        return index.positions(found, self.c_array, self.shape.span, ["query_id", "text_id"])
+        names = self.h_table.select("name").distinct()
+        probes = kept(index.windows(queries, self.shape).select("query_id", "name").join(names, "name", "left_semi").distinct(), "probes")
+        # A name's positions are decoded once, not once for each query that has it.
+        listed = kept(self.positions_of(probes), "listed")
+        return probes.join(listed, "name").select("query_id", "text_id", "pos")
 
     def stats(self) -> DataFrame:
         """text_id, m, names, c_count."""
