@@ -22,15 +22,28 @@ _CLEANED = bytes(c if (c := chr(i).upper().encode("latin-1", "replace")[0]) in B
 _DROPPED = bytes(i for i in range(256) if i not in _LETTERS)
 
 
-def texts(table: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """text_id, dna of a table's rows: what ``clean`` gives, by a table of bytes (all bytes of other characters are no letters)."""
+#: Rows that are cleaned together.
+ROWS = 1000
+
 
-    def run(batches):
-        for batch in batches:
+def cleaned(batches):
+    """Arrow batches (text_id, dna) of raw texts as batches of what ``clean`` gives, by a table of bytes (all bytes of other characters
+    are no letters). A function for mapInArrow, or for another one that cleans the texts it reads in its own task."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(begin, ROWS)
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x or b"").translate(_CLEANED, _DROPPED) for x in raw], pa.binary()).cast(pa.string())], names=["text_id", "dna"])
 
-    return table.select(F.col(key).cast("long").alias("text_id"), F.col(text).alias("dna")).mapInArrow(run, "text_id long, dna string")
+
+def raw(table: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """text_id, dna of a table's rows before they are cleaned."""
+    return table.select(F.col(key).cast("long").alias("text_id"), F.col(text).alias("dna"))
+
+
+def texts(table: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """text_id, dna of a table's rows, cleaned."""
+    return raw(table, key, text).mapInArrow(cleaned, "text_id long, dna string")
 
 
 def base_value(letter: Column) -> Column:

@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.dna import cleaned
 from ..functions.shape import Shape
 from .suffixes import suffix_array
 
 LINKS = T.StructType().add("text_id", "long").add("name", "long").add("add", "integer").add("src_lo", "integer").add("src_hi", "integer").add("cov", "integer").add("covered", T.ArrayType(T.IntegerType()))
-#: Ranks of rows that leave a task together.
+#: Ranks that leave a task together.
 ROWS = 500_000
+#: Ranks times adds that are looked at together.
+CELLS = 200_000
 
 
 def _bounds(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,46 +30,55 @@ def _bounds(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_links(orig: np.ndarray, name: np.ndarray, lcp: np.ndarray, span: int, max_add: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """add, src_lo, cov, and all covered ranks one after another with the place of each link's first, of a suffix array by rank."""
+    """add, src_lo, cov, covered and at of the links of a suffix array by rank: link i covers the ranks covered[at[i] : at[i] + cov[i]].
+    The windows of a run share its ranks: there are at most max_add * m of them, while cov can sum to the square of m where a text
+    repeats itself. Adds are taken together as far as CELLS allows."""
     m, (lo, hi) = len(orig), _bounds(name)
-    at = np.empty(m, np.int64)
+    at = np.full(m + max_add * span, m)  # no rank beyond the end
     at[orig] = np.arange(m)
-    found = []
-    for add in range(1, max_add + 1):
-        place = orig + add * span
-        t = np.where(place < m, at[np.minimum(place, m - 1)], -1)  # the rank that s leads to
-        there = (t >= 0) & (hi[t] - lo[t] >= max(2, least))
-        begins = there & ~(np.append(False, there[:-1]) & (lo[t] == np.append(-1, lo[t][:-1])) & (lcp >= add + 1))
+    large, lo = np.append(hi - lo >= max(2, least), False), np.append(lo, m)
+    found, before, step = [], 0, max(1, CELLS // m)
+    for begin in range(1, max_add + 1, step):
+        adds = np.arange(begin, min(begin + step, max_add + 1))
+        t = at[orig + adds[:, None] * span]  # the rank that s leads to
+        there, to = large[t].ravel(), lo[t].ravel()
+        goes_on = (lcp >= adds[:, None] + 1).ravel()  # never at rank 0, which shares nothing
+        goes_on[1:] &= there[:-1] & (to[1:] == to[:-1])
         s = np.flatnonzero(there)
-        start = np.flatnonzero(begins[s])  # a run is of consecutive s, for any gap begins a run
+        start = np.flatnonzero(~goes_on[s])  # a run is of consecutive s, for any gap begins a run
         length = np.diff(np.append(start, len(s)))
-        keep = np.repeat(length >= least, length)
-        s, length = s[keep], length[length >= least]
+        s, t, length = s[np.repeat(length >= least, length)], t.ravel(), length[length >= least]
         if len(s):
-            found.append(_cut(s, t[s], length, lo, hi, add, least))
+            add, src, cov, place = _cut(s, t[s], length, m, least)
+            found.append((adds[add], src, cov, t[s], place + before))
+            before += len(s)
     if not found:
         return (np.zeros(0, np.int64),) * 5
-    add, src, cov, covered = map(np.concatenate, zip(*found, strict=True))
-    return add, src, cov, covered, np.cumsum(cov) - cov
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _cut(s, t, length, lo, hi, add, least):
-    """Whole runs, or their maximal windows that hold none of the ranks they cover where a run reaches into its own interval."""
+def _cut(s, t, length, m, least):
+    """Whole runs, or their maximal windows that hold none of the ranks they cover where a run reaches into its own interval: number of
+    the add, first rank, size, and place of the first in t. s counts m ranks an add."""
     run = np.repeat(np.arange(len(length)), length)
     begin = np.cumsum(length) - length
-    first, n = s[begin], np.arange(len(s)) - begin[run]
+    add, first = np.divmod(s[begin], m)
+    n = np.arange(len(s)) - begin[run]
     u = t - first[run]
     bar = np.zeros(len(s), np.int64)
-    inside = (u >= 0) & (u < length[run])
-    np.maximum.at(bar, begin[run[inside]] + np.maximum(n, u)[inside], np.minimum(n, u)[inside] + 1)
+    inside = np.flatnonzero((u >= 0) & (u < length[run]))
+    np.maximum.at(bar, begin[run[inside]] + np.maximum(n[inside], u[inside]), np.minimum(n[inside], u[inside]) + 1)
     wide = int(length.max()) + 1
     p = np.maximum.accumulate(bar + run * wide) - run * wide
     ends = np.append(run[1:] != run[:-1], True) | (np.append(bar[1:], 0) > p)
     ends &= n + 1 - p >= least
     p, q, run = p[ends], n[ends] + 1, run[ends]
-    cov = q - p
-    take = np.repeat(begin[run] + p - (np.cumsum(cov) - cov), cov) + np.arange(cov.sum())
-    return np.full(len(cov), add), first[run] + p, cov, t[take]
+    return add[run], first[run] + p, q - p, begin[run] + p
+
+
+def _spread(covered: np.ndarray, at: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """The covered ranks of some links one after another."""
+    return covered[np.repeat(at - (np.cumsum(cov) - cov), cov) + np.arange(cov.sum())]
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind) -> pa.ListArray:
@@ -90,11 +102,15 @@ def candidates(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: i
             for text_id, dna in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, orig, name, lcp = suffix_array(dna.as_py(), shape)
                 add, src, cov, covered, at = text_links(orig, name, lcp, shape.span, max_add, min_coverage)
-                made.append((text_id, name[covered[at]], add, src, cov, covered))
-                size += len(covered)
-                if size > ROWS:
-                    yield rows(made)
-                    made, size = [], 0
+                own, until, done = name[covered[at]], np.cumsum(cov), 0
+                while done < len(at):  # as many links as cover ROWS ranks, or one
+                    some = slice(done, max(done + 1, int(np.searchsorted(until, until[done] - cov[done] + ROWS, side="right"))))
+                    made.append((text_id, own[some], add[some], src[some], cov[some], _spread(covered, at[some], cov[some])))
+                    size += len(made[-1][-1])
+                    if size > ROWS:
+                        yield rows(made)
+                        made, size = [], 0
+                    done = some.stop
             if made:
                 yield rows(made)
 
@@ -111,7 +127,8 @@ def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverag
         _, src, cov, covered, at = text_links(orig, name, lcp, shape.span, max_add, min_coverage)
         if not len(at):
             return np.zeros((6, 0), np.int64)
-        whole, own = np.add.reduceat(covered, at), name[covered[at]]
+        until = np.append(0, np.cumsum(covered))
+        whole, own = until[at + cov] - until[at], name[covered[at]]
         order = np.argsort(own, kind="stable")
         own, first = own[order], np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
         add = lambda x: np.add.reduceat(x[order], first)
@@ -151,9 +168,8 @@ for _field in ("off_pos", "off_add", "off_num", "rest_pos", "rest_num"):
     INDEX = INDEX.add(_field, T.ArrayType(T.IntegerType()))
 
 
-def build(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3) -> DataFrame:
-    """The greedy index of each text (text_id, dna) as one row: the kept positions ``c`` in order of rank, and h_table's columns as
-    arrays in order of names; a number of 0 where h_table has nulls."""
+def _building(shape: Shape, max_add: int, min_coverage: int):
+    """A function from Arrow batches of texts to batches of their indexes."""
     if max_add < 1:
         raise ValueError("max_add is at least 1")
 
@@ -191,20 +207,53 @@ def build(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int =
             if made:
                 yield rows(ids, made)
 
-    return texts.select("text_id", "dna").mapInArrow(run, INDEX)
+    return run
 
 
-def decoded(built: DataFrame, span: int) -> DataFrame:
-    """text_id, name, pos: all positions of all names, from the rows of ``build`` alone."""
+def _decoding(span: int):
+    """A function from Arrow batches of indexes to batches of all their positions, about ROWS at once or those of one text."""
+
+    def positions(batch):
+        c, name, off_pos, off_add, off_num, rest_pos, rest_num = [batch.column(i).flatten().to_numpy() for i in range(1, 8)]
+        kept, entries = batch.column(1).value_lengths().to_numpy().astype(np.int64), batch.column(2).value_lengths().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), entries)
+        base = (np.cumsum(kept) - kept)[row]  # where the entry's text begins in c
+        first, n = np.concatenate([base + off_pos, base + rest_pos]), np.concatenate([off_num, rest_num])
+        end = np.cumsum(n, dtype=np.int64)
+        take = np.repeat(first - (end - n), n) + np.arange(end[-1])
+        shift = np.repeat(np.append(off_add * np.int64(span), np.zeros(len(name), np.int64)), n)
+        columns = [batch.column(0).take(pa.array(np.repeat(np.append(row, row), n))), pa.array(np.repeat(np.append(name, name), n)), pa.array(c[take] + shift)]
+        return pa.RecordBatch.from_arrays(columns, names=["text_id", "name", "pos"])
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                c, name, off_pos, off_add, off_num, rest_pos, rest_num = [batch.column(i)[row].values.to_numpy() for i in range(1, 8)]
-                first, n = np.concatenate([off_pos, rest_pos]).astype(np.int64), np.concatenate([off_num, rest_num]).astype(np.int64)
-                take = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shift = np.repeat(np.concatenate([off_add * np.int64(span), np.zeros(len(name), np.int64)]), n)
-                of_text = batch.column(0)[row : row + 1].take(pa.array(np.zeros(len(take), np.int64)))
-                yield pa.RecordBatch.from_arrays([of_text, pa.array(np.repeat(np.concatenate([name, name]), n)), pa.array(c[take] + shift)], names=["text_id", "name", "pos"])
-
-    return built.select(*INDEX.names).mapInArrow(run, "text_id long, name long, pos long")
+            edges = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(), dtype=np.int64))
+            until = np.append(0, np.cumsum(batch.column(5).flatten().to_numpy() + batch.column(7).flatten().to_numpy(), dtype=np.int64))[edges]
+            done = 0
+            while done < batch.num_rows:
+                stop = max(done + 1, int(np.searchsorted(until, until[done] + ROWS, side="right")) - 1)
+                yield positions(batch.slice(done, stop - done))
+                done = stop
+
+    return run
+
+
+POSITIONS = "text_id long, name long, pos long"
+
+
+def build(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3) -> DataFrame:
+    """The greedy index of each text (text_id, dna) as one row: the kept positions ``c`` in order of rank, and h_table's columns as
+    arrays in order of names; a number of 0 where h_table has nulls."""
+    return texts.select("text_id", "dna").mapInArrow(_building(shape, max_add, min_coverage), INDEX)
+
+
+def decoded(built: DataFrame, span: int) -> DataFrame:
+    """text_id, name, pos: all positions of all names, from the rows of ``build`` alone."""
+    return built.select(*INDEX.names).mapInArrow(_decoding(span), POSITIONS)
+
+
+def decoded_raw(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3) -> DataFrame:
+    """The same of raw texts (text_id, dna), whose indexes are made and decoded batch by batch in one task: a cleaning, a building and
+    a decoding worker a core would each hold a batch of texts or indexes, and so would Spark between them."""
+    building, decoding = _building(shape, max_add, min_coverage), _decoding(shape.span)
+    return texts.select("text_id", "dna").mapInArrow(lambda batches: decoding(building(cleaned(batches))), POSITIONS)
