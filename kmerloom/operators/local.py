@@ -16,7 +16,7 @@ from ..functions.shape import Shape
 from .suffixes import suffix_array
 
 LINKS = T.StructType().add("text_id", "long").add("name", "long").add("add", "integer").add("src_lo", "integer").add("src_hi", "integer").add("cov", "integer").add("covered", T.ArrayType(T.IntegerType()))
-#: Ranks that leave a task together.
+#: Ranks, or rows of sums, that leave a task together.
 ROWS = 500_000
 #: Ranks times adds that are looked at together.
 CELLS = 200_000
@@ -117,9 +117,9 @@ def candidates(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: i
     return texts.select("text_id", "dna").mapInArrow(run, LINKS)
 
 
-def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3) -> DataFrame:
+def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverage: int = 3, raw: bool = False) -> DataFrame:
     """text_id, name, n, cov, src_sum, covered_sum, most: number of the same links of each name, sums of cov, src_lo and covered ranks,
-    and the largest cov. They are summed where they are found, so that their ranks do not leave the task."""
+    and the largest cov. They are summed where they are found, so that their ranks do not leave the task. Raw texts are cleaned there."""
     columns = ("name", "n", "cov", "src_sum", "covered_sum", "most")
 
     def sums(dna):
@@ -134,11 +134,19 @@ def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverag
         add = lambda x: np.add.reduceat(x[order], first)
         return np.stack([own[first], np.diff(np.append(first, len(own))), add(cov), add(src), add(whole), np.maximum.reduceat(cov[order], first)])
 
+    def rows(ids, made):
+        of_text = ids.take(pa.array(np.repeat(np.arange(len(made)), [x.shape[1] for x in made])))
+        return pa.RecordBatch.from_arrays([of_text, *map(pa.array, np.concatenate(made, axis=1))], names=["text_id", *columns])
+
     def run(batches):
-        for batch in batches:
-            made = [sums(dna.as_py()) for dna in batch.column(1)]
-            of_text = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), [x.shape[1] for x in made])))
-            yield pa.RecordBatch.from_arrays([of_text, *map(pa.array, np.concatenate(made, axis=1))], names=["text_id", *columns])
+        for batch in cleaned(batches) if raw else batches:
+            made, size, done = [], 0, 0
+            for i, dna in enumerate(batch.column(1)):
+                made.append(sums(dna.as_py()))
+                size += made[-1].shape[1]
+                if size > ROWS or i + 1 == batch.num_rows:
+                    yield rows(batch.column(0)[done : i + 1], made)
+                    made, size, done = [], 0, i + 1
 
     if max_add < 1:
         raise ValueError("max_add is at least 1")

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kmerloom.functions.shape import Shape
 from kmerloom.operators import local, suffixes
@@ -52,3 +53,17 @@ def test_indexes_are_decoded_in_pieces(monkeypatch):
     assert [b.num_rows for b in pieces] == [67, 81, 66]  # of three texts together, and of one
     key = lambda x: tuple(x.values())
     assert sorted((x for b in pieces for x in b.to_pylist()), key=key) == sorted(whole, key=key) and len(whole) == sum(len(x) + 1 for x in texts.column(1).to_pylist())
+
+
+def test_sums_of_links_are_made_in_one_worker_and_lose_none(spark, tmp_path):
+    """Before, a second worker a core held the texts, and sums of all texts of a batch stood together."""
+    texts = [(i, x) for i, x in enumerate([*ODD, UNIT * 300, UNIT * 30])]  # the fifth one's links cover more ranks than leave a task together
+    spark.createDataFrame([*texts, (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.candidates_documents(spark, str(tmp_path))
+    assert plan(got).count("MapInArrow") == 1
+    links = local.candidates(catalog._documents(spark, str(tmp_path)), catalog.SHORT, catalog.MAX_ADD, catalog.LEAST)
+    links = links.withColumn("whole", F.aggregate("covered", F.lit(0).cast("long"), lambda a, x: a + x))
+    names = links.groupBy("text_id", "name").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("cov", "src_lo", "whole")], F.max("cov").alias("most"))
+    want = names.groupBy("text_id").agg(F.count("*"), *[F.sum(c) for c in ("n", "cov", "src_lo", "whole", "most")]).collect()
+    assert max(r[3] for r in want) > local.ROWS
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
