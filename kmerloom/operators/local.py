@@ -36,44 +36,49 @@ def text_links(orig: np.ndarray, name: np.ndarray, lcp: np.ndarray, span: int, m
     m, (lo, hi) = len(orig), _bounds(name)
     at = np.full(m + max_add * span, m)  # no rank beyond the end
     at[orig] = np.arange(m)
-    large, lo = np.append(hi - lo >= max(2, least), False), np.append(lo, m)
+    to_of = np.append(np.where(hi - lo >= max(2, least), lo, -1), -1)[at]  # by position: its name's first rank, if the name has enough
     found, before, step = [], 0, max(1, CELLS // m)
     for begin in range(1, max_add + 1, step):
         adds = np.arange(begin, min(begin + step, max_add + 1))
-        t = at[orig + adds[:, None] * span]  # the rank that s leads to
-        there, to = large[t].ravel(), lo[t].ravel()
+        place = (orig + adds[:, None] * span).ravel()
+        to = to_of[place]
         goes_on = (lcp >= adds[:, None] + 1).ravel()  # never at rank 0, which shares nothing
-        goes_on[1:] &= there[:-1] & (to[1:] == to[:-1])
-        s = np.flatnonzero(there)
+        goes_on[1:] &= to[1:] == to[:-1]
+        s = np.flatnonzero(to >= 0)
         start = np.flatnonzero(~goes_on[s])  # a run is of consecutive s, for any gap begins a run
         length = np.diff(np.append(start, len(s)))
-        s, t, length = s[np.repeat(length >= least, length)], t.ravel(), length[length >= least]
-        if len(s):
-            add, src, cov, place = _cut(s, t[s], length, m, least)
-            found.append((adds[add], src, cov, t[s], place + before))
-            before += len(s)
+        s, length = s[np.repeat(length >= least, length)], length[length >= least]
+        if not len(s):
+            continue
+        t = at[place[s]]  # the rank that s leads to
+        at_first = np.cumsum(length) - length
+        add, first = np.divmod(s[at_first], m)
+        own = lo[first] == to[s[at_first]]  # the ranks of a run have one name, so only these can be among those they lead to
+        found.append((adds[add[~own]], first[~own], length[~own], t, at_first[~own] + before))
+        if own.any():
+            run, p, cov = _cut(t[np.repeat(own, length)], first[own], length[own], least)
+            found.append((adds[add[own][run]], first[own][run] + p, cov, t[:0], at_first[own][run] + p + before))
+        before += len(s)
     if not found:
         return (np.zeros(0, np.int64),) * 5
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _cut(s, t, length, m, least):
-    """Whole runs, or their maximal windows that hold none of the ranks they cover where a run reaches into its own interval: number of
-    the add, first rank, size, and place of the first in t. s counts m ranks an add."""
+def _cut(t, first, length, least):
+    """Maximal windows, of runs that reach into their own intervals, that hold none of the ranks they cover: number of the run, place of
+    the window in it, and size."""
     run = np.repeat(np.arange(len(length)), length)
     begin = np.cumsum(length) - length
-    add, first = np.divmod(s[begin], m)
-    n = np.arange(len(s)) - begin[run]
+    n = np.arange(len(t)) - begin[run]
     u = t - first[run]
-    bar = np.zeros(len(s), np.int64)
+    bar = np.zeros(len(t), np.int64)
     inside = np.flatnonzero((u >= 0) & (u < length[run]))
     np.maximum.at(bar, begin[run[inside]] + np.maximum(n[inside], u[inside]), np.minimum(n[inside], u[inside]) + 1)
     wide = int(length.max()) + 1
     p = np.maximum.accumulate(bar + run * wide) - run * wide
     ends = np.append(run[1:] != run[:-1], True) | (np.append(bar[1:], 0) > p)
     ends &= n + 1 - p >= least
-    p, q, run = p[ends], n[ends] + 1, run[ends]
-    return add[run], first[run] + p, q - p, begin[run] + p
+    return run[ends], p[ends], n[ends] + 1 - p[ends]
 
 
 def _spread(covered: np.ndarray, at: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -153,21 +158,34 @@ def candidate_sums(texts: DataFrame, shape: Shape, max_add: int = 8, min_coverag
     return texts.select("text_id", "dna").mapInArrow(run, "text_id long, " + ", ".join(f"{c} long" for c in columns))
 
 
+def _order(sizes, begins, cov, add, src) -> np.ndarray:
+    """Links by size of the covered interval, largest first, its first rank, cov and add, largest first, and src: by one key where they fit."""
+    fields = [(int(x.max(initial=0)) - x if falls else x) for x, falls in ((sizes, True), (begins, False), (cov, True), (add, True), (src, False))]
+    bits = [int(x.max(initial=0)).bit_length() for x in fields]
+    if sum(bits) > 63:
+        return np.lexsort(fields[::-1])
+    key = np.zeros(len(src), np.int64)
+    for x, width in zip(fields, bits, strict=True):
+        key = key << width | x
+    return np.argsort(key)
+
+
 def greedy(name: np.ndarray, links) -> tuple[list[int], np.ndarray]:
     """Numbers of the links that greedy takes, and which ranks they remove: largest interval first, its best link that is still free."""
     add, src, cov, covered, at = links
     lo, hi = _bounds(name)
     target = covered[at]
     removed, barred, taken = np.zeros(len(name), bool), np.zeros(len(name), bool), []
-    done = -1
-    for i in np.lexsort((src, -add, -cov, lo[target], (lo - hi)[target])).tolist():
-        if lo[target[i]] == done:
+    done, begins = -1, lo[target]
+    order = _order((hi - lo)[target], begins, cov, add, src)
+    for i, begin in zip(order.tolist(), begins[order].tolist(), strict=True):
+        if begin == done:
             continue
         own, source = covered[at[i] : at[i] + cov[i]], slice(src[i], src[i] + cov[i])
         if not (removed[source].any() or barred[own].any()):
             removed[own] = barred[own] = barred[source] = True
             taken.append(i)
-            done = lo[target[i]]
+            done = begin
     return taken, removed
 
 

@@ -72,11 +72,20 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(values)))
 
 
+def _numbered(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbols by their numbers among those that occur, and the bits of how many do; small symbols are looked up, not sorted."""
+    if symbols.max() > 4 * len(symbols) + 1024:
+        known, own = np.unique(symbols, return_inverse=True)
+        return own, len(known).bit_length()
+    known = np.zeros(symbols.max() + 1, bool)
+    known[symbols] = True
+    return (np.cumsum(known) - 1)[symbols], int(known.sum()).bit_length()
+
+
 def _sorted_suffixes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and LCP by prefix doubling: level k ranks the suffixes by their first 2^k * per symbols, as many as one key holds."""
     m = len(symbols)
-    known, own = np.unique(symbols, return_inverse=True)
-    bits = len(known).bit_length()
+    own, bits = _numbered(symbols)
     per = min(62 // bits, m)
     key = np.zeros(m + 1, np.int64)  # 0 beyond the end
     for j in range(per):

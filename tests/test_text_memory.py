@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -67,3 +68,15 @@ def test_sums_of_links_are_made_in_one_worker_and_lose_none(spark, tmp_path):
     want = names.groupBy("text_id").agg(F.count("*"), *[F.sum(c) for c in ("n", "cov", "src_lo", "whole", "most")]).collect()
     assert max(r[3] for r in want) > local.ROWS
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def test_orders_and_numbers_by_either_way():
+    """Small symbols are looked up and large ones sorted; links are ordered by one key, or by several where one does not hold them."""
+    rng = np.random.default_rng(3)
+    for top in (40, 1 << 40):
+        symbols = rng.integers(0, top, 200)
+        own, bits = suffixes._numbered(symbols)
+        known, want = np.unique(symbols, return_inverse=True)
+        assert own.tolist() == want.tolist() and bits == len(known).bit_length()
+        sizes, begins, cov, add, src = fields = [rng.integers(0, 4, 300) * (top // 40) for _ in range(4)] + [rng.permutation(300)]
+        assert local._order(*fields).tolist() == np.lexsort((src, -add, -cov, begins, -sizes)).tolist()
