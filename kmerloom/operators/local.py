@@ -178,14 +178,15 @@ def greedy(name: np.ndarray, links) -> tuple[list[int], np.ndarray]:
     removed, barred, taken = np.zeros(len(name), bool), np.zeros(len(name), bool), []
     done, begins = -1, lo[target]
     order = _order((hi - lo)[target], begins, cov, add, src)
-    for i, begin in zip(order.tolist(), begins[order].tolist(), strict=True):
-        if begin == done:
-            continue
-        own, source = covered[at[i] : at[i] + cov[i]], slice(src[i], src[i] + cov[i])
-        if not (removed[source].any() or barred[own].any()):
-            removed[own] = barred[own] = barred[source] = True
-            taken.append(i)
-            done = begin
+    for part in np.array_split(order, len(order) // ROWS + 1):
+        for i, begin in zip(part.tolist(), begins[part].tolist(), strict=True):
+            if begin == done:
+                continue
+            own, source = covered[at[i] : at[i] + cov[i]], slice(src[i], src[i] + cov[i])
+            if not (removed[source].any() or barred[own].any()):
+                removed[own] = barred[own] = barred[source] = True
+                taken.append(i)
+                done = begin
     return taken, removed
 
 
